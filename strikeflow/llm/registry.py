@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strikeflow.llm.bpe import bpe_round_trip
 from strikeflow.llm.ngram_join import ngram_jaccard_join
 
 
@@ -15,5 +16,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_byte_bpe": op6_byte_bpe}
 ORACLES: dict[str, str] = {}

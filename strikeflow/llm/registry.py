@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strikeflow.llm.bpe import bpe_round_trip
 from strikeflow.llm.ngram_join import ngram_jaccard_join
+from strikeflow.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +23,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_byte_bpe": op6_byte_bpe}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), 400, keep_first=False).drop("row", "kept_text")
+
+
+QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op8_suffix_dedup": op8_suffix_dedup}
 ORACLES: dict[str, str] = {}

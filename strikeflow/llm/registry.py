@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.llm.bpe import bpe_round_trip
+from strikeflow.llm.chat_format import conversation_digests, log_of, reconstruct
 from strikeflow.llm.language_id import identify_language
+from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
@@ -25,6 +27,13 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(reconstruct(log_of(rows.unionAll(extra))))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = fit_quality(docs, _table(spark, sf_dir, "labels"), _remainder(5) != 0)
@@ -47,7 +56,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"), _remainder(4) == 2)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op9_license_scan": op9_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_language_id": op10_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op8_suffix_dedup": op8_suffix_dedup}

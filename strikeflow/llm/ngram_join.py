@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.llm.graph import components
 from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, drop_stored, mix, pieces, run_hashes, shingles, spans, stored
 
-#: Cells of the table of hashed shingle frequencies (4 bytes each): its size never grows.
-CELLS = 1 << 20
+#: Cells of the table of hashed shingle frequencies: its size never grows.
+CELLS = 1 << 21
 SLICES = 64
 PIVOT_ROUNDS = 2
 
@@ -66,7 +66,7 @@ def _signatures(n: int):
             cells += np.bincount((grams & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
             k = piece.num_rows
             yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(grams, bounds)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "cells"])
-        used = [(i, c) for i, c in enumerate(np.split(cells, SLICES)) if c.any()]
+        used = [(i, np.minimum(c, 65535).astype(np.uint16)) for i, c in enumerate(np.split(cells, SLICES)) if c.any()]
         if used:
             k = len(used)
             yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in used], pa.int32()), pa.array([c.tobytes() for _, c in used], pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "cells"])
@@ -78,7 +78,7 @@ def _sum_cells(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     total = None
     for b in batches:
         for c in b.column("cells").to_pylist():
-            c = np.frombuffer(c, np.int32).astype(np.int64)
+            c = np.frombuffer(c, np.uint16).astype(np.int64)
             total = c if total is None else total + c
     total = np.minimum(total, 2**31 - 1).astype(np.int32)
     yield pa.record_batch([pa.array([keys[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "cells"])
@@ -153,11 +153,12 @@ def _shared(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
 
 
 def _filters(num: int, den: int):
-    """Length and positional filters of a candidate pair (x_*, y_*), as a column."""
+    """Length and positional filters of a candidate pair (x_*, y_*), as a column: what two sets
+    share is at most the shared prefix shingles so far, this one, and the shorter rest."""
     x, y = F.col("x_size").cast("long"), F.col("y_size").cast("long")
     # 100 * overlap >= 75 * union, for the given fraction: overlap >= ceil(num (x + y) / (num + den))
     need = F.expr(f"({num} * (cast(x_size as bigint) + y_size) + {num + den - 1}) div {num + den}")
-    room = F.least(F.col("x_pos"), F.col("y_pos")) + 1 + F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) - 1
+    room = F.least(F.col("x_before"), F.col("y_before")) + 1 + F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) - 1
     return (den * F.least(x, y) >= num * F.greatest(x, y)) & (room >= need)
 
 
@@ -220,7 +221,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     cells = spark.sparkContext.broadcast(freq)
 
     packed = docs.select("text").mapInArrow(_prefixes(n, num, den, parts, cells), "part int, grams binary, nodes binary, sizes binary, positions binary")
-    buckets = stored(packed.groupBy("part").applyInArrow(_shared, "gram long, node long, size int, pos int"), "ngram-buckets")
+    shared = packed.groupBy("part").applyInArrow(_shared, "gram long, node long, size int, pos int")
+    # How many shingles of a set's prefix stand before this one and in another set, too; how many stand in no other.
+    own = Window.partitionBy("node")
+    lone = F.expr(f"size - ({num} * cast(size as bigint) + {den - 1}) div {den} + 1") - F.count("*").over(own)
+    buckets = stored(shared.select("*", (F.row_number().over(own.orderBy("pos")) - 1).alias("before"), (lone / F.col("size")).alias("lone")), "ngram-buckets")
 
     # Texts of the sets that share a prefix shingle with another one; a set's texts give the same shingles.
     named = docs.where("text is not null").mapInArrow(_with_node(n), "node long, text string")
@@ -266,7 +271,7 @@ def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
-    return df.select("gram", F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("pos").alias(f"{s}_pos"), F.col("root").alias(f"{s}_root"))
+    return df.select("gram", F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("pos").alias(f"{s}_pos"), F.col("before").alias(f"{s}_before"), F.col("root").alias(f"{s}_root"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -274,11 +279,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(buckets: DataFrame, roots: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
-    """Each bucket row with the bucket's pivot: the set that comes first in a shuffled order,
-    the same for all buckets, so that similar buckets have the same pivot."""
+    """Each bucket row with the bucket's pivot: in the first round the set with the fewest
+    shingles of its own, which among edited copies is the one nearest to their origin; later a
+    set that comes first in a shuffled order. Similar buckets have the same pivot."""
     b = _labelled(buckets, roots)
-    order = F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node", "size", "pos", "root")
-    pivot = b.groupBy("gram").agg(F.min(order).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.size").alias("y_size"), F.col("p.pos").alias("y_pos"), F.col("p.root").alias("y_root"))
+    order = F.struct(F.lit(0.0) if k else F.col("lone"), F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node", "size", "pos", "before", "root")
+    pivot = b.groupBy("gram").agg(F.min(order).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.size").alias("y_size"), F.col("p.pos").alias("y_pos"), F.col("p.before").alias("y_before"), F.col("p.root").alias("y_root"))
     return _ordered(_side(b, "x").join(pivot, "gram").where("x <> y and x_root <> y_root").where(_filters(num, den)))
 
 

@@ -12,6 +12,7 @@ from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
+from strikeflow.llm.token_output import token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,12 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "\\### Assistant: </turn> ok"
@@ -61,6 +68,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_output": op1_token_output,
     "op2_chat_format": op2_chat_format,
     "op9_license_scan": op9_license_scan,
     "op4_quality_classifier": op4_quality_classifier,

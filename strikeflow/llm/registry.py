@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeflow.llm.bpe import bpe_round_trip
 from strikeflow.llm.chat_format import conversation_digests, log_of, reconstruct
+from strikeflow.llm.decontaminate import find_leaks
 from strikeflow.llm.language_id import identify_language
 from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
@@ -55,6 +56,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), 400, keep_first=False).drop("row", "kept_text")
 
@@ -68,6 +73,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_decontamination": op7_decontamination,
     "op1_token_output": op1_token_output,
     "op2_chat_format": op2_chat_format,
     "op9_license_scan": op9_license_scan,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strikeflow.llm.bpe import bpe_round_trip
 from strikeflow.llm.chat_format import conversation_digests, log_of, reconstruct
 from strikeflow.llm.decontaminate import find_leaks
+from strikeflow.llm.embedding_dedup import embedding_near_dedup
 from strikeflow.llm.language_id import identify_language
 from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
@@ -50,6 +51,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op1_token_output": op1_token_output,
     "op2_chat_format": op2_chat_format,

@@ -7,26 +7,14 @@ from pyspark.sql import functions as F
 
 from strikeflow.schema import AMERICAN, EUROPEAN, FUTURE, FUTURE_COMBO, OPTION, OPTION_COMBO, SPOT
 
-MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
-
-
 def ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
 def expiration_date(code: Column) -> Column:
     """`3FEB25`, `28feb25` or `280225` as a date at midnight, anything else as null."""
-    text = F.upper(code)
-    day = F.regexp_extract(text, r"^(\d{1,2})([A-Z]{3})(\d{2})$", 1)
-    name = F.regexp_extract(text, r"^(\d{1,2})([A-Z]{3})(\d{2})$", 2)
-    year = F.regexp_extract(text, r"^(\d{1,2})([A-Z]{3})(\d{2})$", 3)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
-    digits = text.rlike(r"^\d{6}$")
-    y = F.when(digits, F.substring(text, 5, 2)).otherwise(year)
-    m = F.when(digits, F.substring(text, 3, 2).try_cast("int")).otherwise(month.cast("int"))
-    d = F.when(digits, F.substring(text, 1, 2)).otherwise(day)
-    made = F.concat(F.lit("20"), y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    return F.when(digits | ((day != "") & (month > 0)), made.try_cast("timestamp_ntz"))
+    named = F.when(code.rlike(r"^\d{1,2}[A-Za-z]{3}\d{2}$"), F.try_to_timestamp(F.upper(code), F.lit("dMMMyy")))
+    return ntz(F.when(code.rlike(r"^\d{6}$"), F.try_to_timestamp(code, F.lit("ddMMyy"))).otherwise(named))
 
 
 def epoch_millis(c: Column) -> Column:
@@ -70,6 +58,12 @@ def instrument(code: Column) -> Column:
     )
 
 
+def with_instruments(df: DataFrame) -> DataFrame:
+    """Adds what the names in asset_code say. Names are few and rows many: each name is parsed once."""
+    known = df.select("asset_code").distinct().withColumn("p", instrument(F.col("asset_code"))).select("asset_code", "p.*")
+    return df.join(known, "asset_code", "left")
+
+
 def underlying_expiration(index: Column) -> Column:
     """The expiry in an underlying's name; synthetic and index underlyings have none."""
     return F.when(index.startswith("SYN.") | (index == "index_price"), F.lit(None)).otherwise(expiration_date(F.try_element_at(F.split(index, "-"), F.lit(2))))

@@ -11,12 +11,15 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strikeflow.schema import FUTURE, FUTURE_DEFAULT, OPTION, OPTION_DEFAULT, TIMEFRAMES
+from strikeflow.schema import COLUMNS, FUTURE, FUTURE_DEFAULT, OPTION, OPTION_DEFAULT, TEXT, TIMEFRAMES, struct
 
 PARTITIONS = ("exchange_code", "base_asset_code", "asset_type", "timeframe", "year")
 
+#: Every column a history file may have; absent ones read as null, and a scan takes only what is asked.
+HISTORY = StructType([*struct(*(c for c in COLUMNS if c not in PARTITIONS)).fields, *(StructField(c, TEXT) for c in PARTITIONS[:-1]), StructField("year", IntegerType())])
+
 #: Fixed value: names of update files.
 FILE_NAME = r"(\d{4}|\d{2})-(\d{2})-(\d{2})(?:T(\d{2})(?:-(\d{2}))?)?\.parquet$"
 
@@ -42,10 +45,9 @@ def _period(df: DataFrame, year: int | None, on: date | None, start: datetime |
     return df
 
 
-def load_history(spark: SparkSession, path: str, kind: str, asset: str | None = None, timeframe: str | None = None, columns: Sequence[str] = (), year: int | None = None, on: date | None = None, start: datetime | None = None, end: datetime | None = None, schema: StructType | None = None) -> DataFrame:
+def load_history(spark: SparkSession, path: str, kind: str, asset: str | None = None, timeframe: str | None = None, columns: Sequence[str] = (), year: int | None = None, on: date | None = None, start: datetime | None = None, end: datetime | None = None, schema: StructType = HISTORY) -> DataFrame:
     """Rows of one kind of a period: a year, a date, or an inclusive range; filters on partition columns prune files."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(path).where(F.col("asset_type") == kind)
+    df = spark.read.schema(schema).parquet(path).where(F.col("asset_type") == kind)
     if asset is not None:
         df = df.where(F.col("base_asset_code") == asset)
     if timeframe is not None:

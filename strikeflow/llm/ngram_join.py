@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.llm.graph import components
@@ -27,7 +27,9 @@ from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, drop_stored, mi
 #: Cells of the table of hashed shingle frequencies: its size never grows.
 CELLS = 1 << 21
 SLICES = 64
-PIVOT_ROUNDS = 2
+#: Open buckets are compared in full when that is at most so many pairs for each row, or after the last round.
+CROSS_FACTOR = 8
+PIVOT_ROUNDS = 4
 
 
 def _sets(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,36 +131,56 @@ def _prefixes(n: int, num: int, den: int, parts: int, cells):
     return run
 
 
-def _shared(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one part: the prefix shingles that two sets or more hold, as buckets of rows."""
-    cols = [[], [], [], []]
-    for b in batches:
-        for x, name, kind in zip(cols, ("grams", "nodes", "sizes", "positions"), (U64, np.int64, np.uint32, np.uint32), strict=True):
-            x += [np.frombuffer(v, kind) for v in b.column(name).to_pylist()]
-    g, node, size, pos = (np.concatenate(x) for x in cols)
-    cols.clear()
-    order = np.lexsort((node, g))
-    g, node, size, pos = g[order], node[order], size[order], pos[order]
-    keep = np.ones(len(g), bool)
-    keep[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
-    g, node, size, pos = g[keep], node[keep], size[keep], pos[keep]
-    same = g[1:] == g[:-1]
-    keep = np.zeros(len(g), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    for at in range(0, len(g), 1 << 18):
-        cut = slice(at, at + (1 << 18))
-        k = keep[cut]
-        yield pa.record_batch([pa.array(g[cut][k].view(np.int64)), pa.array(node[cut][k]), pa.array(size[cut][k].astype(np.int32)), pa.array(pos[cut][k].astype(np.int32))], names=["gram", "node", "size", "pos"])
+def _shared(num: int, den: int):
+    """Of one part: the prefix shingles that two sets or more hold, as buckets of rows. A row has its
+    bucket's pivot, unless the length or the positional filter rules a link with it out.
+
+    The pivot is the set in which the shingle comes first for its size: of edited copies that is the one with the fewest
+    shingles of its own, the one nearest to their origin."""
+
+    def run(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[], [], [], []]
+        for b in batches:
+            for x, name, kind in zip(cols, ("grams", "nodes", "sizes", "positions"), (U64, np.int64, np.uint32, np.uint32), strict=True):
+                x += [np.frombuffer(v, kind) for v in b.column(name).to_pylist()]
+        g, node, size, pos = (np.concatenate(x) for x in cols)
+        cols.clear()
+        order = np.lexsort((node, g))
+        g, node, size, pos = g[order], node[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+        keep = np.ones(len(g), bool)
+        keep[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
+        same = np.append(False, g[1:] == g[:-1])
+        first = ~same
+        members = np.bincount(np.cumsum(first) - 1, keep)
+        keep &= (members > 1)[np.cumsum(first) - 1]
+        g, node, size, pos = g[keep], node[keep], size[keep], pos[keep]
+        order = np.lexsort((mix(node.view(U64)), pos / size, g))
+        g, node, size, pos = g[order], node[order], size[order], pos[order]
+        first = np.append(True, g[1:] != g[:-1])[: len(g)]
+        bucket = np.cumsum(first) - 1
+        at = np.flatnonzero(first)[bucket]
+        need = -(-num * (size + size[at]) // (num + den))
+        near = (node != node[at]) & (den * np.minimum(size, size[at]) >= num * np.maximum(size, size[at])) & (np.minimum(size - pos, size[at] - pos[at]) >= need)
+        members = np.bincount(bucket)[bucket] if len(g) else bucket
+        use = np.flatnonzero(near | (members > 2))
+        for k in range(0, len(use), 1 << 17):
+            w = use[k : k + (1 << 17)]
+            yield pa.record_batch(
+                [pa.array(g[w].view(np.int64)), pa.array(node[w]), pa.array(size[w].astype(np.int32)), pa.array(pos[w].astype(np.int32)), pa.array(members[w].astype(np.int32)), pa.array(node[at[w]], mask=~near[w])],
+                names=["gram", "node", "size", "pos", "members", "pivot"],
+            )
+
+    return run
 
 
 def _filters(num: int, den: int):
-    """Length and positional filters of a candidate pair (x_*, y_*), as a column: what two sets
-    share is at most the shared prefix shingles so far, this one, and the shorter rest."""
+    """Length and positional filters of a candidate pair (x_*, y_*), as a column. At the first shingle
+    that two sets share, in the global order, they share at most this one and the shorter rest.
+    So a pair that links passes in at least one bucket, that of its first common shingle."""
     x, y = F.col("x_size").cast("long"), F.col("y_size").cast("long")
     # 100 * overlap >= 75 * union, for the given fraction: overlap >= ceil(num (x + y) / (num + den))
     need = F.expr(f"({num} * (cast(x_size as bigint) + y_size) + {num + den - 1}) div {num + den}")
-    room = F.least(F.col("x_before"), F.col("y_before")) + 1 + F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) - 1
+    room = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
     return (den * F.least(x, y) >= num * F.greatest(x, y)) & (room >= need)
 
 
@@ -221,25 +243,29 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     cells = spark.sparkContext.broadcast(freq)
 
     packed = docs.select("text").mapInArrow(_prefixes(n, num, den, parts, cells), "part int, grams binary, nodes binary, sizes binary, positions binary")
-    shared = packed.groupBy("part").applyInArrow(_shared, "gram long, node long, size int, pos int")
-    # How many shingles of a set's prefix stand before this one and in another set, too; how many stand in no other.
-    own = Window.partitionBy("node")
-    lone = F.expr(f"size - ({num} * cast(size as bigint) + {den - 1}) div {den} + 1") - F.count("*").over(own)
-    buckets = stored(shared.select("*", (F.row_number().over(own.orderBy("pos")) - 1).alias("before"), (lone / F.col("size")).alias("lone")), "ngram-buckets")
+    buckets = stored(packed.groupBy("part").applyInArrow(_shared(num, den), "gram long, node long, size int, pos int, members int, pivot long"), "ngram-buckets")
 
     # Texts of the sets that share a prefix shingle with another one; a set's texts give the same shingles.
     named = docs.where("text is not null").mapInArrow(_with_node(n), "node long, text string")
-    texts = stored(named.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
-
-    checked = links = roots = None
-    for k in range(PIVOT_ROUNDS + 1):
-        pairs = _pivot_pairs(buckets, roots, k, num, den) if k < PIVOT_ROUNDS else _cross_pairs(buckets, roots, num, den)
-        if checked is not None:
-            pairs = pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti")
-        found = stored(_texts(pairs, texts).mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs")
-        checked = found if checked is None else checked.unionAll(found)
-        links = checked.where("linked").select("x", "y")
-        roots = stored(components(links, "x", "y"), "ngram-roots")
+    asked = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null")).distinct()
+    texts = stored(named.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
+
+    # First every row against its bucket's pivot: that settles buckets of two.
+    pairs = _ordered(buckets.where("pivot is not null").select(F.col("node").alias("x"), F.col("pivot").alias("y")))
+    checked = stored(_texts(pairs, texts).mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs")
+    roots = stored(components(checked.where("linked"), "x", "y"), "ngram-roots")
+    left = stored(_open(buckets.where("members > 2").select("gram", "node", "size", "pos"), roots), "ngram-open")
+    for k in range(1, PIVOT_ROUNDS + 1):
+        size = left.groupBy("gram").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        last = k == PIVOT_ROUNDS or size["pairs"] <= CROSS_FACTOR * size["rows"]
+        pairs = (_cross_pairs(left, num, den) if last else _pivot_pairs(left, k, num, den)).join(checked.select("x", "y"), ["x", "y"], "left_anti")
+        checked = checked.unionAll(stored(_texts(pairs, texts).mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs"))
+        roots = stored(components(checked.where("linked"), "x", "y"), "ngram-roots")
+        if last:
+            break
+        left = stored(_open(left.drop("root"), roots), "ngram-open")
 
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     of = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -261,34 +287,29 @@ def _texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts.select(F.col("node").alias("y"), F.col("text").alias("y_text")), "y").select("x", "y", "x_text", "y_text")
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Buckets that hold sets of two components or more, with the component of each row."""
-    if roots is None:
-        return buckets.withColumn("root", F.col("node"))
     b = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = b.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    return b.join(open_, "gram", "left_semi")
+    two = b.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    return b.join(two, "gram", "left_semi")
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
-    return df.select("gram", F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("pos").alias(f"{s}_pos"), F.col("before").alias(f"{s}_before"), F.col("root").alias(f"{s}_root"))
+    return df.select("gram", F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("pos").alias(f"{s}_pos"), F.col("root").alias(f"{s}_root"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _pivot_pairs(buckets: DataFrame, roots: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
-    """Each bucket row with the bucket's pivot: in the first round the set with the fewest
-    shingles of its own, which among edited copies is the one nearest to their origin; later a
-    set that comes first in a shuffled order. Similar buckets have the same pivot."""
-    b = _labelled(buckets, roots)
-    order = F.struct(F.lit(0.0) if k else F.col("lone"), F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node", "size", "pos", "before", "root")
-    pivot = b.groupBy("gram").agg(F.min(order).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.size").alias("y_size"), F.col("p.pos").alias("y_pos"), F.col("p.before").alias("y_before"), F.col("p.root").alias("y_root"))
+def _pivot_pairs(b: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Each row of open buckets with another pivot: the set that comes first in a shuffled order, so
+    that similar buckets have the same one."""
+    order = F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node", "size", "pos", "root")
+    pivot = b.groupBy("gram").agg(F.min(order).alias("p")).select("gram", F.col("p.node").alias("y"), F.col("p.size").alias("y_size"), F.col("p.pos").alias("y_pos"), F.col("p.root").alias("y_root"))
     return _ordered(_side(b, "x").join(pivot, "gram").where("x <> y and x_root <> y_root").where(_filters(num, den)))
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a bucket's rows that are still in different components."""
-    b = _labelled(buckets, roots)
+def _cross_pairs(b: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of an open bucket's rows that are still in different components."""
     return _ordered(_side(b, "x").join(_side(b, "y"), "gram").where("x < y and x_root <> y_root").where(_filters(num, den)))

@@ -55,8 +55,9 @@ def bundles(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(rows), np.diff(at))
     letters = np.bincount(row[code > 0], minlength=rows)
     # A blank at both ends of each row, then only the first of several blanks.
-    code = np.insert(code, np.concatenate([at[:-1], at[1:]]), 0)
-    row = np.insert(row, np.concatenate([at[:-1], at[1:]]), np.concatenate([np.arange(rows)] * 2))
+    # Ends go in first, so that a row's end comes before the next row's start.
+    row = np.insert(row, np.concatenate([at[1:], at[:-1]]), np.concatenate([np.arange(rows)] * 2))
+    code = np.insert(code, np.concatenate([at[1:], at[:-1]]), 0)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0) | (row[1:] != row[:-1])
     code, row = code[keep], row[keep]

@@ -26,10 +26,18 @@ REPEAT_BYTES = 200
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier, trained on the labels of four fifths of them, accepts."""
     net = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    return quality_scores(docs, net).where(F.col("score") >= QUALITY).select(docs.columns)
+    score = _free(docs, "score")
+    return quality_scores(docs, net, score).where(F.col(score) >= QUALITY).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +50,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages that stand in an earlier document or further up; every document stays, if with less text."""
-    cut = suffix_dedup(docs, REPEAT_BYTES, keep_first=True).where("n_removed > 0").select("row", "kept_text")
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(cut, "row", "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
+    row, kept = _free(docs, "row"), _free(docs, "kept_text")
+    cut = suffix_dedup(docs, REPEAT_BYTES, keep_first=True).where("n_removed > 0").select(F.col("row").alias(row), F.col("kept_text").alias(kept))
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(cut, row, "left")
+    same = F.col(kept).isNull()
+    text = F.when(same, F.col("text")).otherwise(F.col(kept))
+    n_chars = F.when(same, F.col("n_chars")).otherwise(F.length(kept).cast("long"))
     return rows.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item is found."""
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row").distinct()
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(leaks, "row", "left_anti").select(docs.columns)
+    row = _free(docs, "row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(leaks.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,12 +142,12 @@ def _encoded(batches):
         yield pa.record_batch([piece.column("doc_id"), piece.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
 
-def _scored(net: Net | None):
+def _scored(net: Net | None, column: str):
     def run(batches):
         for piece in pieces(batches):
             x, at = passages(piece.column("text"))
             score = net.score(x, at) if net else np.full(piece.num_rows, 0.5)
-            yield pa.record_batch([*piece.columns, pa.array(score)], names=[*piece.schema.names, "score"])
+            yield pa.record_batch([*piece.columns, pa.array(score)], names=[*piece.schema.names, column])
 
     return run
 
@@ -167,13 +167,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE
     return Net().fit([seen[k][1] for k in order], np.array([seen[k][0] for k in order], np.float32))
 
 
-def quality_scores(docs: DataFrame, net: Net | None) -> DataFrame:
-    """`docs` with a column `score`, the probability of good quality, in place of any of that name.
+def quality_scores(docs: DataFrame, net: Net | None, column: str = "score") -> DataFrame:
+    """`docs` with a column of this name, the probability of good quality, in place of any of that name.
 
     Null and empty texts are scored as one passage without features; without a net
     every score is 0.5. Whole texts are read; other columns are kept as they are.
     """
     from pyspark.sql.types import DoubleType, StructType
 
-    docs = docs.drop("score")
-    return docs.mapInArrow(_scored(net), StructType([*docs.schema.fields]).add("score", DoubleType()))
+    docs = docs.drop(column)
+    return docs.mapInArrow(_scored(net, column), StructType([*docs.schema.fields]).add(column, DoubleType()))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strikeflow.llm.graph import components
 from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, drop_stored, mix, pieces, run_hashes, shingles, spans, stored
 
-#: Cells of the table of hashed shingle frequencies: its size never grows.
-CELLS = 1 << 21
+#: Cells of the table of hashed shingle frequencies (a byte each): its size never grows.
+CELLS = 1 << 23
 SLICES = 64
 #: Open buckets are compared in full when that is at most so many pairs for each row, or after the last round.
 CROSS_FACTOR = 8
@@ -58,16 +58,27 @@ def _nodes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams & U64(CELLS - 1)).astype(np.int32)
+
+
 def _signatures(n: int):
     """Per row: id, set size and set id; and per task the frequencies of hashed shingles."""
 
     def run(batches):
         cells = np.zeros(CELLS, np.int32)
+        held, got = [], 0
         for piece in pieces(batches):
             grams, bounds = _sets(piece, n)
-            cells += np.bincount((grams & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
+            held.append(_cell(grams))
+            got += len(grams)
+            if got > 1 << 22:
+                cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
+                held, got = [], 0
             k = piece.num_rows
             yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(grams, bounds)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "cells"])
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
         used = [(i, np.minimum(c, 65535).astype(np.uint16)) for i, c in enumerate(np.split(cells, SLICES)) if c.any()]
         if used:
             k = len(used)
@@ -116,7 +127,7 @@ def _prefixes(n: int, num: int, den: int, parts: int, cells):
                 continue
             size = np.diff(bounds)
             rows = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((grams, freq[(grams & U64(CELLS - 1)).astype(np.int64)], rows))
+            order = np.lexsort((grams, freq[_cell(grams)], rows))
             rank = np.arange(len(grams)) - bounds[:-1][rows]
             take = rank < _prefix_size(size, num, den)[rows]
             rows, rank = rows[take], rank[take]
@@ -237,9 +248,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     seen = stored(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, node long, slice int, cells binary"), "ngram-sets")
     rows = seen.where("slice is null").select("doc_id", "n_shingles", "node")
-    freq = np.zeros(CELLS, np.int32)
+    freq = np.zeros(CELLS, np.uint8)
     for r in seen.where("slice is not null").select("slice", "cells").groupBy("slice").applyInArrow(_sum_cells, "slice int, cells binary").toLocalIterator():
-        freq[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["cells"], np.int32)
+        freq[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.floor(8 * np.log2(1 + np.frombuffer(r["cells"], np.int32)))
     cells = spark.sparkContext.broadcast(freq)
 
     packed = docs.select("text").mapInArrow(_prefixes(n, num, den, parts, cells), "part int, grams binary, nodes binary, sizes binary, positions binary")
@@ -255,6 +266,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     checked = stored(_texts(pairs, texts).mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs")
     roots = stored(components(checked.where("linked"), "x", "y"), "ngram-roots")
     left = stored(_open(buckets.where("members > 2").select("gram", "node", "size", "pos"), roots), "ngram-open")
+    # Few texts are left in open buckets: later rounds exchange only these.
+    texts = stored(texts.join(left.select("node").distinct(), "node", "left_semi"), "ngram-texts")
     for k in range(1, PIVOT_ROUNDS + 1):
         size = left.groupBy("gram").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
         if not size["rows"]:

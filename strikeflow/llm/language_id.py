@@ -22,6 +22,8 @@ from strikeflow.llm.textcore import U64, buffers, mix, pieces
 DIM = 1024
 GRAM = 3
 SEED = 20
+#: Texts handled at once: bounds the table of their n-gram counts.
+PIECE_TEXTS = 512
 
 
 @functools.cache
@@ -88,7 +90,7 @@ def _profiles(dim: int):
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for piece in pieces(batches, limit=1 << 19):
+        for piece in pieces(batches, limit=1 << 19, rows=PIECE_TEXTS):
             made, _ = bundles(piece.column("text"), dim)
             langs = np.array(piece.column("lang").to_pylist(), object)
             for lang in set(langs):
@@ -107,7 +109,7 @@ def language_profiles(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
 def _predict(names: list[str], profiles: np.ndarray, dim: int):
     def run(batches):
-        for piece in pieces(batches, limit=1 << 19):
+        for piece in pieces(batches, limit=1 << 19, rows=PIECE_TEXTS):
             made, letters = bundles(piece.column("text"), dim)
             size = np.linalg.norm(made.astype(np.float64), axis=1)
             cos = made.astype(np.float64) @ profiles.T / np.maximum(size, 1e-30)[:, None] if names else np.zeros((len(made), 1))

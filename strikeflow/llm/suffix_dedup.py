@@ -208,6 +208,8 @@ def _cut_out(size: int):
             for doc_id, row, text, wanted in zip(*(b.column(c) for c in cols), strict=True):
                 raw = text.as_py().encode()
                 out += [(doc_id.as_py(), row.as_py(), w["s0"], w["s1"], w["anchor"], w["hot"], raw[w["s0"] : w["s1"] + size]) for w in wanted.as_py()]
+            if not out:
+                continue
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "s0", "s1", "anchor", "hot", "bytes"])
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+PIECE_ROWS = 4096
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -43,8 +44,8 @@ def buffers(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts hold about `limit` bytes, or one longer text."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most `rows` texts that hold up to `limit` bytes, or of one longer text."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -53,7 +54,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < n:
             base = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
+            end = min(max(at + 1, int(np.searchsorted(size, base + limit, side="right"))), at + rows)
             yield batch.slice(at, end - at)
             at = end
 

@@ -21,19 +21,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = stored(e, "cc")
     for _ in range(ROUNDS):
+        if _stars(e):
+            break
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("s")).select("s.a", F.col("s.m").alias("b")).where("a <> b").distinct()
-        small = stored(small, "cc")
-        # Stars: no node is both a leaf and a root, and every leaf has one root.
-        left = small.select(F.col("a").alias("x")).join(small.select(F.col("b").alias("x")).distinct(), "x", "left_semi").limit(1).count()
-        twice = small.groupBy("a").count().where("count > 1").limit(1).count() if not left else 1
-        e = small
-        if not left and not twice:
-            break
+        e = stored(small, "cc")
     else:
         raise RuntimeError("components did not converge")
     nodes = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), "b").distinct())
     return nodes.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node is either a root or a leaf of one root."""
+    ends = e.select(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionAll(e.select(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+    return not ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf > 1 or leaf = 1 and root = 1").limit(1).count()

@@ -27,8 +27,8 @@ from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, drop_stored, mi
 #: Cells of the table of hashed shingle frequencies (a byte each): its size never grows.
 CELLS = 1 << 23
 SLICES = 64
-#: Open buckets are compared in full when that is at most so many pairs for each row, or after the last round.
-CROSS_FACTOR = 8
+#: Open buckets of up to so many rows are compared in full, larger ones only after the last round of pivots.
+SMALL_BUCKET = 16
 PIVOT_ROUNDS = 4
 
 
@@ -259,7 +259,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     # Texts of the sets that share a prefix shingle with another one; a set's texts give the same shingles.
     named = docs.where("text is not null").mapInArrow(_with_node(n), "node long, text string")
     asked = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null")).distinct()
-    texts = stored(named.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
+    texts = stored(named.join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
 
     # First every row against its bucket's pivot: that settles buckets of two.
     pairs = _ordered(buckets.where("pivot is not null").select(F.col("node").alias("x"), F.col("pivot").alias("y")))
@@ -267,18 +267,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     roots = stored(components(checked.where("linked"), "x", "y"), "ngram-roots")
     left = stored(_open(buckets.where("members > 2").select("gram", "node", "size", "pos"), roots), "ngram-open")
     # Few texts are left in open buckets: later rounds exchange only these.
-    texts = stored(texts.join(left.select("node").distinct(), "node", "left_semi"), "ngram-texts")
+    texts = stored(texts.join(left.select("node").distinct().hint("merge"), "node", "left_semi"), "ngram-texts")
     for k in range(1, PIVOT_ROUNDS + 1):
-        size = left.groupBy("gram").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        last = k == PIVOT_ROUNDS or size["pairs"] <= CROSS_FACTOR * size["rows"]
-        pairs = (_cross_pairs(left, num, den) if last else _pivot_pairs(left, k, num, den)).join(checked.select("x", "y"), ["x", "y"], "left_anti")
+        sized = left.join(left.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+        # Small buckets are compared in full; large ones with another pivot, and in full if that does not end.
+        few, many = sized.where(F.col("n") <= SMALL_BUCKET), sized.where(F.col("n") > SMALL_BUCKET)
+        more = k < PIVOT_ROUNDS and not many.isEmpty()
+        pairs = _cross_pairs(few, num, den).unionAll(_pivot_pairs(many, k, num, den)).distinct() if more else _cross_pairs(sized, num, den)
+        pairs = pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti")
         checked = checked.unionAll(stored(_texts(pairs, texts).mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs"))
         roots = stored(components(checked.where("linked"), "x", "y"), "ngram-roots")
-        if last:
+        if not more:
             break
-        left = stored(_open(left.drop("root"), roots), "ngram-open")
+        left = stored(_open(many.drop("root", "n"), roots), "ngram-open")
 
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     of = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -296,8 +297,9 @@ def _with_node(n: int):
 
 
 def _texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
-    return left.join(texts.select(F.col("node").alias("y"), F.col("text").alias("y_text")), "y").select("x", "y", "x_text", "y_text")
+    """Pairs with both texts. Merge joins at every size: neither side is bounded."""
+    left = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
+    return left.join(texts.select(F.col("node").alias("y"), F.col("text").alias("y_text")).hint("merge"), "y").select("x", "y", "x_text", "y_text")
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -175,3 +175,18 @@ def test_leaks(spark, make_prose, odd_docs, no_docs):
     assert find_leaks(odd_docs, bench.limit(0)).count() == 0
     own = spark.createDataFrame([(1, odd_docs.where("doc_id = 1").first()["text"], "x")], "item_id long, text string, doc_id string")
     assert sorted((r["doc_id"] for r in find_leaks(odd_docs, own).collect()), key=str) == sorted([1, 2, 2, None], key=str)
+
+
+def test_widespread_leaks(spark, make_prose):
+    rng = random.Random(31)
+    item, plain = make_prose(rng, 30), "it is for the with that on be by this in of"
+    hot = " ".join([make_prose(rng, 60), item, make_prose(rng, 30)])
+    docs = [(i, make_prose(rng, 300)) for i in range(300)] + [(1000 + i, hot) for i in range(150)]
+    # The copies differ, so that no count over different texts tells them from others.
+    docs += [(2000 + i, f"v{i} {hot} w{i}") for i in range(150)]
+    rare = lambda: " ".join("".join(rng.choice("jkqvwxyz") for _ in range(9)) for _ in range(40))
+    docs += [(3000, f"{rare()} {item} {rare()}"), (3001, f"{rare()} {plain} {rare()}")]
+    bench = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got >= {(i, 1) for i, _ in docs if 1000 <= i <= 3000} and (3001, 2) in got
+    assert not [i for i, item in got if item == 1 and i < 1000]

@@ -190,3 +190,14 @@ def test_widespread_leaks(spark, make_prose):
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got >= {(i, 1) for i, _ in docs if 1000 <= i <= 3000} and (3001, 2) in got
     assert not [i for i, item in got if item == 1 and i < 1000]
+
+
+def test_leaks_of_many_items(spark, make_prose):
+    rng = random.Random(33)
+    lexicon = [make_prose(rng, 1) for _ in range(20000)]
+    prose = lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+    items = [(i, prose(40)) for i in range(1100)]
+    docs = [(i, " ".join([prose(30), text, prose(30)])) for i, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i, _ in items}

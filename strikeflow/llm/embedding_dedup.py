@@ -5,8 +5,10 @@ joined with its reverse: all vectors that meet at a common neighbour - neighbour
 neighbours - are compared there, and what is closer enters the lists. Lists start from
 neighbours in several random-projection orders. A list holds its K best entries and, when
 these are all above the threshold, grows to hold every one above it. The rounds
-end when lists hardly change and an audit - brute force for a sample against all vectors -
-finds nearly all links; then the threshold edges are kept.
+end when an audit - brute force for a sample against all vectors - finds nearly all links; while
+it fails and lists hardly change, further random orders are taken in. Sampled rounds are slow to
+find all pairs of large clusters, so vectors of at least DENSE links are compared with all such
+vectors of their cluster, block by block. Then the threshold edges are kept.
 
 Equal vectors are one node. Nothing is grouped without bound: the start uses range-sorted rows,
 and the vectors meeting at one neighbour are split into blocks of BLOCK.
@@ -28,7 +30,11 @@ K = 10
 SAMPLE_NEW, SAMPLE_OLD = 8, 8
 BLOCK = 256
 ORDERS, REACH = 6, 4
-ROUNDS_MIN, ROUNDS_MAX = 2, 12
+ROUNDS_MIN = 2
+#: Vectors with so many links are compared with all of their cluster; the links that join a cluster, of each of them.
+DENSE, JOINED = 256, 32
+#: Vectors in a partition of an order, at least.
+START_ROWS = 4096
 CHANGES = 0.02
 AUDIT = 256
 RECALL = 0.97
@@ -49,9 +55,9 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _orders(dim: int):
+def _orders(dim: int, seed: int):
     """Each vector with a sort key of random-projection signs, for each of ORDERS orders."""
-    planes = np.random.default_rng(5).standard_normal((ORDERS, dim, 24)).astype(np.float32)
+    planes = np.random.default_rng(seed).standard_normal((ORDERS, dim, 24)).astype(np.float32)
 
     def run(batches):
         for b in batches:
@@ -153,6 +159,61 @@ def _round(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Data
     return _lists(old.unionAll(pairs.select("a", "b", "sim", F.lit(False).alias("old"), F.lit(True).alias("new"))), threshold)
 
 
+def _crossed(threshold: float):
+    """Close pairs (a < b) of the rows of each (root, lo, hi), sorted by it: within a block, or between two."""
+
+    def solve(lo, hi, side, nodes, x):
+        if lo == hi:
+            i, j = np.nonzero(np.triu(x @ x.T >= threshold - SLACK, 1))
+            return nodes[i], nodes[j], (x[i] * x[j]).sum(1)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sim = x[one] @ x[two].T
+        i, j = np.nonzero(sim >= threshold - SLACK)
+        return nodes[one[i]], nodes[two[j]], sim[i, j]
+
+    def answer(part, i, j):
+        a, b, s = solve(part[1][i], part[2][i], part[3][i:j], part[4][i:j], part[5][i:j].astype(np.float32))
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s.astype(np.float32))], names=["a", "b", "sim"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float16).reshape(b.num_rows, -1)
+            part = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("root", "lo", "hi", "side", "node")), x]
+            if held is not None:
+                part = [np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
+            edge = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1
+            for i, j in zip(np.concatenate([[0], edge])[:-1], edge, strict=True):
+                yield answer(part, i, j)
+            held = [p[edge[-1] if len(edge) else 0 :] for p in part]
+        if held is not None:
+            yield answer(held, 0, len(held[0]))
+
+    return run
+
+
+def _dense_pairs(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b, sim), a < b: all close pairs of vectors with DENSE links or more within each of their clusters.
+
+    A cluster goes in blocks of BLOCK vectors, and every two blocks are a group of their own.
+    """
+    near = F.filter("list", lambda x: x["sim"] >= threshold)
+    dense = lists.where(F.size(near) >= DENSE)
+    if not dense.limit(1).count():
+        return None
+    # The least by one hash: vectors of a cluster name mostly the same ones.
+    joined = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.xxhash64(x["b"]).alias("h"), x["b"].alias("b")))), 1, JOINED)
+    roots = components(dense.select("a", F.explode(joined).alias("e")).select("a", F.col("e.b").alias("b")))
+    members = stored(roots.join(dense.select(F.col("a").alias("node")), "node", "left_semi"), "dense")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(vectors.select("node", "vec"), "node")
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "vec")
+    return other.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_crossed(threshold), "a long, b long, sim float")
+
+
 def _brute(queries: np.ndarray, ids: np.ndarray, threshold: float):
     """Links of the given unit vectors among all vectors, in double precision."""
 
@@ -191,22 +252,41 @@ def _exact(threshold: float):
 
 def neighbour_edges(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b), a < b: linked nodes. `nodes` (node, exact) are different unit vectors of one dimension."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    start = nodes.select("node", "exact").mapInArrow(_orders(dim), "order int, sign long, node long, vec binary")
+    total = nodes.count()
+    # In parts of a few vectors an order would have no neighbours.
+    parts = min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, total // START_ROWS))
+
+    def entries(seed: int) -> tuple[DataFrame, DataFrame]:
+        start = nodes.select("node", "exact").mapInArrow(_orders(dim, seed), "order int, sign long, node long, vec binary")
+        ranged = start.repartitionByRange(parts, "order", "sign", F.xxhash64("node")).sortWithinPartitions("order", "sign", F.xxhash64("node"))
+        return start, ranged.select("node", "vec").mapInArrow(_near_rows, "a long, b long, sim float").where("a <> b")
+
+    start, first = entries(5)
     half = stored(start.where("order = 0").select("node", "vec"), "vectors")
-    ranged = start.repartitionByRange(parts, "order", "sign", F.xxhash64("node")).sortWithinPartitions("order", "sign", F.xxhash64("node"))
-    first = ranged.select("node", "vec").mapInArrow(_near_rows, "a long, b long, sim float").where("a <> b")
     lists = stored(_lists(first.select("a", "b", "sim", F.lit(True).alias("old"), F.lit(True).alias("new")), threshold), "lists")
-    total = nodes.count()
     queries = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "exact")
-    for k in range(ROUNDS_MAX):
+    k = 0
+    while True:
         made = stored(_round(lists, half, threshold, k), "lists")
         drop_stored(lists)
         lists = made
+        k += 1
         fresh = lists.select(F.sum(F.size(F.filter("list", lambda x: x["new"]))).alias("n")).first()["n"] or 0
-        if k + 1 >= ROUNDS_MIN and (fresh <= CHANGES * total * K or k + 1 >= ROUNDS_MIN + 1 and audit_recall(nodes, _above(lists, threshold), queries, threshold) >= RECALL):
-            break
-    close = _above(lists, threshold)
+        quiet = fresh <= CHANGES * total * K
+        if k > ROUNDS_MIN or k == ROUNDS_MIN and quiet:
+            close = _above(lists, threshold)
+            dense = _dense_pairs(lists, half, threshold)
+            if dense is not None:
+                close = stored(close.unionAll(dense).groupBy("a", "b").agg(F.max("sim").alias("sim")), "close")
+            if audit_recall(nodes, close, queries, threshold) >= RECALL:
+                break
+            if dense is not None:
+                drop_stored(close)
+        if quiet:
+            held = lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"), F.lit(True).alias("old"), F.col("e.new").alias("new"))
+            made = stored(_lists(held.unionAll(entries(5 + k)[1].select("a", "b", "sim", F.lit(False).alias("old"), F.lit(True).alias("new"))), threshold), "lists")
+            drop_stored(lists)
+            lists = made
     sure = close.where(F.col("sim") >= threshold + SLACK).select("a", "b")
     near = close.where(F.col("sim") < threshold + SLACK)
     vec = nodes.select("node", "exact")
@@ -223,8 +303,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.9) -> DataFram
     """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id long, embedding array).
 
     Links are pairs of rows with a cosine of `threshold` or more in double precision, as far as
-    NN-descent finds them (the audit demands a recall of RECALL on its sample, or rounds until nothing
-    changes). n_links counts other rows linked directly, equal vectors included; component_id is the smallest vec_id reachable;
+    NN-descent finds them (the rounds go on until the audit has a recall of RECALL on its sample; pairs within
+    clusters of vectors with DENSE links are all compared). n_links counts other rows linked directly, equal vectors included; component_id is the smallest vec_id reachable;
     kept marks vec_id = component_id. Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, and neither do vectors of different length. Rows with the same vec_id
     are rows of their own; a null vec_id takes part but names no component (kept is then

@@ -43,3 +43,31 @@ def test_audit(spark):
     one = spark.createDataFrame([(0, 1)], "a long, b long")
     assert E.audit_recall(nodes, one, nodes, 0.9) == 1.0
     assert E.audit_recall(nodes, one.limit(0), nodes, 0.9) == 0.0
+
+
+def test_large_cluster_is_finished(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(16) + 0.1 * rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, bytearray(v.astype(np.float16).tobytes())) for i, v in enumerate(x)], "node long, vec binary")
+    near = brute(None, x, 0.95)
+    some = [(i, [(int(j), float(x[i] @ x[j]), False) for j in rng.permutation(np.flatnonzero(near[i]))[: E.DENSE]]) for i in range(len(x))]
+    lists = spark.createDataFrame(some, "a long, list array<struct<b: long, sim: float, new: boolean>>")
+    dense = np.array([len(v) >= E.DENSE for _, v in some])
+    rows = E._dense_pairs(lists, vectors, 0.95).where(F.col("sim") >= 0.951).toPandas()
+    want = np.triu((x @ x.T >= 0.952) & dense[:, None] & dense[None, :], 1)
+    assert dense.sum() > 1000 and (rows["a"] < rows["b"]).all() and not rows.duplicated(["a", "b"]).any()
+    assert {*zip(*(v.tolist() for v in np.nonzero(want)), strict=True)} <= {*zip(rows["a"], rows["b"], strict=True)}
+    assert E._dense_pairs(lists.limit(0), vectors, 0.95) is None
+
+
+def test_few_vectors_in_many_partitions(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = E.embedding_near_dedup(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1)]

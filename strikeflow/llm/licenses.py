@@ -2,7 +2,8 @@
 
 A text is reduced to its words; hundreds of regexes look for license names, notices and
 tags in the words. Most texts are settled by the keyword prefilter: a rule
-is tried only where all its keywords stand in the text. Overlapping detections are
+is tried only where all its keywords stand in the text, be it inside longer words. Every match
+of a rule holds all its keywords, so that the prefilter drops none. Overlapping detections are
 resolved by priority and interval containment: a detection that lies within a kept one of
 the same or higher priority is dropped.
 """
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.llm.textcore import ALNUM, LOWER, buffers, pieces, run_hashes, spans
+from strikeflow.llm.textcore import ALNUM, LOWER, buffers, pieces, spans
 
 #: The three phrases that are always counted.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -80,11 +81,11 @@ def _rules() -> list[tuple[str, str, tuple[str, ...], int]]:
         key = re.match(r"[a-z]+", full)[0]
         for v in versions:
             w = digits(v)
-            rule(f"{name}-{v}", rf"\b{full} (?:the )?v(?:ersion )?{w}\b", key)
-            rule(f"{name}-{v}", rf"\b{full} {w}\b", key)
+            rule(f"{name}-{v}", rf"\b{full} (?:the )?v(?:ersion )?{w}\b", f"{key} licen")
+            rule(f"{name}-{v}", rf"\b{full} {w}\b", f"{key} licen")
             rule(f"{name}-{v}", rf"\blicensed under (?:the )?{name.replace('-', ' ')} (?:v(?:ersion )?)?{w}\b", "licensed under", NOTICE)
             tag(f"{name}-{v}", rf"{name.replace('-', ' ')} {w}\b")
-        rule(name, rf"\b{full}\b", key, NOTICE)
+        rule(name, rf"\b{full}\b", f"{key} licen", NOTICE)
     for kind, words in (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative)?s?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?")):
         short = kind.replace("-", " ")
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
@@ -103,19 +104,19 @@ def _rules() -> list[tuple[str, str, tuple[str, ...], int]]:
     rule("bsd", r"\bredistribution and use in source and binary forms with or without modification are permitted\b", "redistribution binary")
     rule("bsd", r"\bbsd(?: style)? licen[cs]e\b", "bsd", NOTICE)
     rule("mit", r"\bpermission is hereby granted free of charge to any person obtaining a copy\b", "hereby granted")
-    rule("mit", r"\b(?:under the )?mit licen[cs]e\b", "mit")
+    rule("mit", r"\b(?:under the )?mit licen[cs]e\b", "mit licen")
     rule("mit", r"\blicensed under (?:the )?mit\b", "licensed mit", NOTICE)
     rule("isc", r"\bpermission to use copy modify and or distribute this software for any purpose\b", "permission distribute")
-    rule("isc", r"\bisc licen[cs]e\b", "isc")
+    rule("isc", r"\bisc licen[cs]e\b", "isc licen")
     rule("zlib", r"\bzlib(?: libpng)? licen[cs]e\b", "zlib")
     rule("zlib", r"\bprovided as is without any express or implied warranty in no event will the authors\b", "provided warranty")
     rule("unlicense", r"\bthis is free and unencumbered software released into the public domain\b", "unencumbered domain")
     rule("unlicense", r"\bthe unlicense\b", "unlicense")
     rule("wtfpl", r"\bdo what the fuck you want to public licen[cs]e\b", "want public")
     rule("wtfpl", r"\bwtfpl\b", "wtfpl")
-    rule("vim", r"\bvim licen[cs]e\b", "vim")
-    rule("ruby", r"\bruby licen[cs]e\b", "ruby")
-    rule("beerware", r"\bbeer ?ware licen[cs]e\b", "licen")
+    rule("vim", r"\bvim licen[cs]e\b", "vim licen")
+    rule("ruby", r"\bruby licen[cs]e\b", "ruby licen")
+    rule("beerware", r"\bbeer ?ware licen[cs]e\b", "beer licen")
     rule("public-domain", r"\b(?:released|placed|dedicated) (?:in|into|to) the public domain\b", "public domain")
     rule("public-domain", r"\bpublic domain\b", "public domain", HINT)
     rule("proprietary", r"\bproprietary and confidential\b", "proprietary confidential")
@@ -140,25 +141,21 @@ RULES = _rules()
 def _compiled():
     """Compiled rules, and the rarest-looking keyword of each: the one that gates it."""
     gates = [max(keywords, key=len) for _, _, keywords, _ in RULES]
-    words = sorted(set(gates))
-    data = np.frombuffer("".join(words).encode(), np.uint8)
-    ends = np.cumsum([len(w.encode()) for w in words])
-    marks = run_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
     by_gate: dict[str, list] = {}
     for (label, pattern, keywords, priority), gate in zip(RULES, gates, strict=True):
         by_gate.setdefault(gate, []).append((label, re.compile(pattern), keywords, priority))
-    return by_gate, np.sort(marks)
+    return by_gate
 
 
 def detect(words: list[str]) -> list[tuple[int, int, str, int]]:
     """Kept detections (first word, end, label, priority) in a list of words."""
-    by_gate, _ = _compiled()
-    have = set(words)
     text = " ".join(words)
-    found = []
-    for gate in have & by_gate.keys():
-        for label, pattern, keywords, priority in by_gate[gate]:
-            if all(k in have for k in keywords):
+    found, has = [], functools.cache(text.__contains__)
+    for gate, rules in _compiled().items():
+        if not has(gate):
+            continue
+        for label, pattern, keywords, priority in rules:
+            if all(map(has, keywords)):
                 found += [(m.start(), m.end(), label, priority) for m in pattern.finditer(text)]
     if not found:
         return []
@@ -189,20 +186,18 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
 
 
 def _scan(batches):
-    _, marks = _compiled()
+    gates = [g.encode() for g in _compiled()]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     for piece in pieces(batches):
         data, offs = buffers(piece.column("text"))
         data = LOWER[data]
         starts, ends, bounds = spans(data, offs, ALNUM)
-        hashes = run_hashes(data, starts, ends)
-        near = np.minimum(np.searchsorted(marks, hashes), len(marks) - 1)
-        hit = np.concatenate([[0], np.cumsum(marks[near] == hashes)])[bounds]
         rows = []
         raw = data.tobytes()
         for i in range(piece.num_rows):
             places, kept = [], []
-            if hit[i + 1] > hit[i]:
+            text = raw[offs[i] : offs[i + 1]]
+            if any(g in text for g in gates):
                 a, b = bounds[i], bounds[i + 1]
                 words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
                 places, kept = base_places(words), detect(words)

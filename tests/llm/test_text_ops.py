@@ -201,3 +201,26 @@ def test_leaks_of_many_items(spark, make_prose):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def test_licenses_without_gates(spark, monkeypatch):
+    from strikeflow.llm import licenses
+
+    texts = ["Released under GPLv2", "LGPLv3 applies", "AGPLv3", "GPL2 or GPLv3", "the Beerware License", "beer-ware licence", "\u201cGPL v2\u201d", "\u00a9copyright\u20142020", "onlygnu General Public License version 2 onlyx", "xspdx-license-identifier: mitx", "\u201cmit license\u201d", "permit", "plain"]
+    rng = random.Random(16)
+    parts = sorted({w for _, pattern, keywords, _ in RULES for w in (*re.findall("[a-z0-9]+", pattern), *keywords)})
+    texts += [" ".join(rng.choice(parts) for _ in range(60)) for _ in range(50)]
+    # A match of each rule, as far as one is easily made.
+    for _, pattern, *_ in RULES:
+        plain = re.sub(r"\\b|\(\?:[^()]*\)\?|\?", "", pattern).replace("licen[cs]e", "license")
+        plain = re.sub(r"\(\?:|\)|:", "", re.sub(r"\|[^()|]*", "", plain)).replace("\\d", "1")
+        texts += [plain, f"\u201c{plain}\u201d"]
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD)) for t in texts]
+    got = [detect(w) for w in words]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ungated = {"": [(label, re.compile(pattern), (), priority) for label, pattern, _, priority in RULES]}
+    monkeypatch.setattr(licenses, "_compiled", lambda: ungated)
+    want = [detect(w) for w in words]
+    assert got == want and all(want[:11])
+    base = [{label for phrase, label in BASE.items() if f" {phrase} " in f" {' '.join(w)} "} for w in words]
+    assert {r["doc_id"]: r["labels"] for r in rows} == {i: ",".join(sorted(b | {label for *_, label, _ in w})) for i, (b, w) in enumerate(zip(base, want, strict=True))}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.llm.graph import components
-from strikeflow.llm.textcore import drop_stored, stored
+from strikeflow.llm.textcore import release, stored
 
 K = 10
 SAMPLE_NEW, SAMPLE_OLD = 8, 8
@@ -268,7 +268,7 @@ def neighbour_edges(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     k = 0
     while True:
         made = stored(_round(lists, half, threshold, k), "lists")
-        drop_stored(lists)
+        release(nodes.sparkSession, lists)
         lists = made
         k += 1
         fresh = lists.select(F.sum(F.size(F.filter("list", lambda x: x["new"]))).alias("n")).first()["n"] or 0
@@ -281,11 +281,11 @@ def neighbour_edges(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
             if audit_recall(nodes, close, queries, threshold) >= RECALL:
                 break
             if dense is not None:
-                drop_stored(close)
+                release(nodes.sparkSession, close)
         if quiet:
             held = lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"), F.lit(True).alias("old"), F.col("e.new").alias("new"))
             made = stored(_lists(held.unionAll(entries(5 + k)[1].select("a", "b", "sim", F.lit(False).alias("old"), F.lit(True).alias("new"))), threshold), "lists")
-            drop_stored(lists)
+            release(nodes.sparkSession, lists)
             lists = made
     sure = close.where(F.col("sim") >= threshold + SLACK).select("a", "b")
     near = close.where(F.col("sim") < threshold + SLACK)

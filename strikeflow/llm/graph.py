@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.llm.textcore import stored
+from strikeflow.llm.textcore import release, stored
 
 ROUNDS = 60
 
@@ -28,7 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("s")).select("s.a", F.col("s.m").alias("b")).where("a <> b").distinct()
-        e = stored(small, "cc")
+        made = stored(small, "cc")
+        release(e.sparkSession, e)
+        e = made
     else:
         raise RuntimeError("components did not converge")
     nodes = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), "b").distinct())

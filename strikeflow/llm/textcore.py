@@ -6,6 +6,7 @@ small whatever the batch size is; one text is never cut here.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,13 +130,15 @@ def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def shared_dir(spark, name: str) -> str:
-    """A new folder below the one that driver and executors share. The cluster's setting
-    wins; only where there is none (tests, local runs) a temporary folder is set."""
+    """A new folder below the one that driver and executors share, from the cluster's setting. Only a local run
+    that has none gets a temporary folder: elsewhere executors would write to their own disks."""
     import tempfile
     import uuid
 
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strikeflow-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -150,10 +153,12 @@ def stored(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df) -> None:
-    """Removes the files of a frame made by stored() when nothing reads it any more."""
-    spark = df.sparkSession
+def release(spark, *frames) -> None:
+    """Removes the files of frames made by stored() that nothing reads any more, and lets Spark drop the shuffle
+    files of finished steps: these go when the driver's JVM collects its garbage, which a mostly idle
+    driver may not do before executors' disks fill."""
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()

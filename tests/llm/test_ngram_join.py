@@ -42,9 +42,10 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("rounds", [1, 4])
-def test_against_all_pairs(spark, make_prose, rounds, monkeypatch):
-    monkeypatch.setattr(J, "PIVOT_ROUNDS", rounds)
+@pytest.mark.parametrize(("salted", "small"), [(J.SALTED, J.SMALL_BUCKET), (2, 2)])
+def test_against_all_pairs(spark, make_prose, salted, small, monkeypatch):
+    monkeypatch.setattr(J, "SALTED", salted)
+    monkeypatch.setattr(J, "SMALL_BUCKET", small)
     rng = random.Random(5)
     bases = [make_prose(rng, rng.randint(30, 150)) for _ in range(6)]
     rows = [(i, edited(rng, b, rng.randint(0, 9))) for i, b in enumerate(b for b in bases for _ in range(12))]
@@ -70,6 +71,37 @@ def test_threshold_is_exact(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_partners_against_all_pairs():
+    rng = np.random.default_rng(4)
+    bucket = np.sort(rng.integers(0, 30, 300))
+    size = rng.integers(1, 40, 300)
+    order = np.lexsort((size, bucket))
+    size = size[order]
+    pos = (rng.random(300) * (size - -(-75 * size // 100) + 1)).astype(int)
+    most = J._most(size, pos, 75, 100)
+    want = []
+    for i in range(300):
+        # At least 3/7 of both sizes in common, of what is left from the shared shingle on
+        want.append(any(i != j and bucket[i] == bucket[j] and 175 * min(size[i] - pos[i], size[j] - pos[j]) >= 75 * (size[i] + size[j]) for j in range(300)))
+    assert J._has_partner(bucket, size, most).tolist() == want
+    assert any(want) and not all(want)
+
+
+def test_suffix_filter_is_a_bound():
+    rng = np.random.default_rng(6)
+    draw = lambda n: np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+    import pyarrow as pa
+
+    for n in (20, 300, 5000):
+        both, mine, yours = draw(n), draw(n // 7), draw(n // 9)
+        x, y = np.sort(np.concatenate([both, mine])), np.sort(np.concatenate([both, yours]))
+        far = draw(n)
+        rows = [(1, 2, J._ranges(x), J._ranges(y), len(x), len(y)), (1, 3, J._ranges(x), J._ranges(far), len(x), len(far)), (1, 4, b"", J._ranges(far), len(x), len(far))]
+        batch = pa.RecordBatch.from_pydict(dict(zip(("x", "y", "x_ranges", "y_ranges", "x_size", "y_size"), map(list, zip(*rows, strict=True)), strict=True)))
+        kept = {y for b in J._may_link(75, 100)([batch]) for y in b.column("y").to_pylist()}
+        assert {2, 4} <= kept and (n < 100 or 3 not in kept)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     chain = [(i, i + 1) for i in range(40)]

@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.llm.graph import components
-from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, mix, pieces, release, run_hashes, shingles, spans, stored
+from strikeflow.llm.textcore import FILTER_BITS, LOWER, SPACED, U64, buffers, id_bits, mix, pieces, release, run_hashes, shingles, spans, stored
 
 #: Cells of the table of hashed shingle frequencies (a byte each): its size never grows.
 CELLS = 1 << 23
 SLICES = 64
-#: Bits of the filter that spares most texts without candidates an exchange (8 MB); when it fills, more texts are exchanged.
-ASKED = 1 << 26
 #: Rows of one shingle that go to one task; frequent shingles are salted.
 SALTED = 1 << 14
 #: Open buckets of up to so many rows are compared in full, larger ones only after a second pivot.
@@ -290,18 +288,6 @@ def _frequencies(seen: DataFrame) -> tuple[np.ndarray, int]:
     return freq, total
 
 
-def _asked(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size that all the given nodes pass."""
-    at = F.pmod("node", F.lit(ASKED)) + 1
-    made = nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(ASKED // 8, np.uint8)
-    for r in made.toLocalIterator():
-        bits = np.frombuffer(r["bits"], np.uint8)
-        first = (r["k"] - 1) * len(bits)
-        out[first : first + len(bits)] |= bits[: len(out) - first]
-    return out
-
-
 def _texts_of(n: int, asked):
     """(node, size, ranges, text) of the sets that pass the filter, once for each task; a set's texts give the same shingles."""
 
@@ -310,7 +296,7 @@ def _texts_of(n: int, asked):
         for piece in pieces(batches):
             grams, bounds = _sets(piece, n)
             nodes = _nodes(grams, bounds)
-            at = nodes & (ASKED - 1)
+            at = nodes & (FILTER_BITS - 1)
             use = []
             for i in np.flatnonzero((np.diff(bounds) > 0) & (asked.value[at >> 3] >> (at & 7) & 1 > 0)).tolist():
                 if nodes[i] not in done:
@@ -357,7 +343,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     release(spark)
 
     members = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null")).distinct()
-    asked = spark.sparkContext.broadcast(_asked(members))
+    asked = spark.sparkContext.broadcast(id_bits(members, F.col("node")))
     named = docs.where("text is not null").select("text").mapInArrow(_texts_of(n, asked), "node long, size int, ranges binary, text string")
     # The filter may let others pass.
     texts = stored(named.join(members.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")

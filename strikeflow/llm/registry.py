@@ -66,7 +66,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"), 400, keep_first=False).drop("row", "kept_text")
+    return suffix_dedup(_table(spark, sf_dir, "documents"), 400, keep_first=False, least=200).drop("row")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
-"""Removal of long repeated strings by suffix order.
+"""Removal of long repeated strings by longest-previous-factor arrays.
 
-A position of a text has a previous factor of `size` bytes or more exactly if, in suffix
-order, its previous or next smaller position shares that many bytes with it. The suffix
-order is only built where repeats can be:
+The longest previous factor of a position is the longest string there that also starts at an
+earlier position; in suffix order it is shared with the previous or the next smaller position.
+A position whose factor has `size` bytes or more starts a repeat; the same towards later positions
+gives the copies that come after. The suffix order is only built where repeats can be:
 
 1. Every window of `size` bytes is filed under its anchor, the window's least k-gram; equal
    windows have equal anchors at the same offset. Neighbouring windows of one anchor are a
-   segment. Segments are compared by fingerprint, with map-side counting; a segment that
-   occurs twice is repeated throughout, an anchor that occurs once has no repeats.
-2. What is left - different segments around the same anchor - is suffix sorted, bucket by
-   bucket, and previous/next positions in suffix order give each window's earlier and later matches.
-3. Buckets with more than BUCKET_MAX segments are never gathered: their windows are
-   fingerprinted and counted one by one instead, which is exact at any size.
+   segment. Equal segments are counted with map-side combination, and one of each kind stands for all:
+   a kind that occurs twice is repeated throughout, an anchor that occurs once has no repeats.
+2. The different kinds around one anchor are put in suffix order, bucket by bucket; the order's common
+   prefixes and its previous and next smaller positions give the factors.
+3. Buckets with more than BUCKET_MAX kinds are split further, into one bucket for each different window. All
+   suffixes of such a bucket share `size` bytes, so that the factor is full for all but the
+   first; no bucket is gathered, only counted.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.llm.textcore import BASE, U64, buffers, mix, pieces, powers, stored
+from strikeflow.llm.textcore import BASE, U64, buffers, id_filter, mix, numbered, pieces, powers, release, stored
 
 GRAM = 32
 BLOCK = 1 << 19
-BUCKET_MAX = 2000
-BATCH_BYTES = 1 << 20
+BUCKET_MAX = 512
+#: Suffixes that are sorted together.
+BATCH_STARTS = 1 << 15
 
 
 @functools.cache
@@ -83,7 +86,7 @@ def anchored(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _segments(size: int):
-    """(row, doc_id, s0, s1, anchor, print) of all segments, block by block in long texts."""
+    """(row, doc_id, s0, s1, anchor, print) of all segments, block by block in long texts. Places count from `base` on."""
 
     def run(batches):
         for piece in pieces(batches, limit=BLOCK):
@@ -92,7 +95,7 @@ def _segments(size: int):
                 cut = data[at : at + BLOCK + size - 1] if piece.num_rows == 1 else data
                 o = offs if piece.num_rows > 1 else np.array([0, len(cut)])
                 row, s0, s1, anchor, mark = anchored(cut, o, size)
-                base = at - o[row]
+                base = at - o[row] + piece.column("base").to_numpy(zero_copy_only=False)[row]
                 yield pa.record_batch(
                     [piece.column("row").take(pa.array(row)), piece.column("doc_id").take(pa.array(row)), pa.array(s0 + base), pa.array(s1 + base), pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64))],
                     names=["row", "doc_id", "s0", "s1", "anchor", "print"],
@@ -103,41 +106,31 @@ def _segments(size: int):
     return run
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The given suffixes, all at least `size` bytes long, in the order of their first `size`
-    bytes (then of position), and whether each shares all `size` bytes with the one before.
-
-    Prefix doubling: ranks by 8 bytes, then by twice as many at each step; the last step overlaps."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    rank = np.zeros(n, U64)
-    for j in range(8):
-        rank = (rank << U64(8)) | padded[j : n + j].astype(U64)
-    width = 8
-    while width < size:
-        # Ranks fit in 32 bits from here on, so that a pair is one number.
-        rank = np.unique(rank, return_inverse=True)[1].astype(U64)
-        step = min(width, size - width)
-        ahead = np.zeros(n, U64)
-        ahead[: n - step] = rank[step:]
-        rank = (rank << U64(32)) | ahead
-        width += step
-    key = rank[starts]
-    order = np.lexsort((starts, key))
-    same = np.zeros(len(order), bool)
-    same[1:] = key[order][1:] == key[order][:-1]
-    return order, same
-
-
-def previous_and_next(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix whether it has an earlier and a later match of full size. Suffixes that share all
-    `size` bytes stand together in suffix order, by position: the previous smaller
-    position is then the one just before, the next larger the one just after."""
-    earlier = np.zeros(len(order), bool)
-    later = np.zeros(len(order), bool)
-    earlier[order[same]] = True
-    later[order[np.append(same[1:], False)]] = True
-    return earlier, later
+def suffix_order(windows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, given by their first bytes (a row each), within their buckets, and how many
+    bytes each shares with the one before it."""
+    key = np.concatenate([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), windows], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), kind="stable")
+    key = key[order]
+    other = key[1:] != key[:-1]
+    shared = np.where(other.any(1), other.argmax(1), key.shape[1]) - 4
+    return order, np.append(0, np.maximum(shared, 0))[: len(order)]
+
+
+def previous_factors(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, with their places and the bytes that each shares with the one before:
+    the longest prefix that each shares with a suffix at a smaller place."""
+
+    def nearest(place, shared):
+        # `at` runs back to the nearest smaller place over what is known to be larger, `low` is the least common prefix on the way.
+        at, low = np.arange(-1, len(place) - 1), shared.copy()
+        while len(far := np.flatnonzero((at >= 0) & (place[at] > place))):
+            low[far] = np.minimum(low[far], low[at[far]])
+            at[far] = at[at[far]]
+        return np.where(at >= 0, low, 0)
+
+    after = nearest(place[::-1], np.append(0, shared[:0:-1])[: len(place)])[::-1]
+    return np.maximum(nearest(place, shared), after)
 
 
 def _runs(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,35 +142,52 @@ def _runs(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
+def _windows(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the segments of a table: the bytes of the segments end to end, where in them each window starts, its segment and its place in the text."""
+    text, ends = buffers(t["bytes"])
+    s0, s1 = (t[c].to_numpy() for c in ("s0", "s1"))
+    count = s1 - s0 + 1
+    seg = np.repeat(np.arange(len(count)), count)
+    inner = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    return text, ends[:-1][seg] + inner, seg, s0[seg] + inner
+
+
 def _sorted_buckets(size: int, keep_first: bool):
     """Segments sorted by bucket -> repeated window starts (row, first, last). Whole buckets are
-    sorted together up to BATCH_BYTES of text; buckets do not influence each other, as equal
+    sorted together, up to BATCH_STARTS windows; buckets do not influence each other, as equal
     windows have equal anchors."""
 
-    def solve(rows):
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))  # by document, then place
-        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        base = np.cumsum([0, *(len(r[4]) for r in rows)])[:-1]
-        count = np.array([r[3] - r[2] + 1 for r in rows])
-        seg = np.repeat(np.arange(len(rows)), count)
-        inner = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        order, same = suffix_order(text, base[seg] + inner, size)
-        earlier, later = previous_and_next(order, same)
-        first, last = _runs(earlier if keep_first else earlier | later, seg)
-        s0 = np.array([r[2] for r in rows])[seg] + inner
-        return pa.record_batch([pa.array([rows[k][1] for k in seg[first]], pa.int64()), pa.array(s0[first]), pa.array(s0[last])], names=["row", "first", "last"])
+    def solve(t):
+        ids = t["doc_id"]
+        order = np.lexsort((t["s0"].to_numpy(), t["row"].to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy()))
+        t = t.take(pa.array(order))
+        text, starts, seg, place = _windows(t, size)
+        bucket = np.unique(t["anchor"].to_numpy(), return_inverse=True)[1]
+        order, shared = suffix_order(np.lib.stride_tricks.sliding_window_view(text, size)[starts], bucket[seg])
+        factor = np.zeros(len(order), np.int64)
+        # The table is in the order of places.
+        factor[order] = previous_factors(order, shared)
+        if not keep_first:
+            later = np.zeros(len(order), np.int64)
+            later[order] = previous_factors(-order, shared)
+            factor = np.maximum(factor, later)
+        first, last = _runs(factor >= size, seg)
+        return pa.record_batch([pa.array(t["row"].to_numpy()[seg[first]]), pa.array(place[first]), pa.array(place[last])], names=["row", "first", "last"])
 
     def run(batches):
-        held, got, anchor = [], 0, None
+        held = None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "s0", "s1", "bytes", "anchor")), strict=True):
-                if r[5] != anchor and got >= BATCH_BYTES:
-                    yield solve(held)
-                    held, got = [], 0
-                anchor = r[5]
-                held.append(r[:5])
-                got += len(r[4])
-        if held:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            anchor = t["anchor"].to_numpy()
+            cuts = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            total = np.cumsum(t["s1"].to_numpy() - t["s0"].to_numpy() + 1)
+            at = 0
+            for cut in cuts.tolist():
+                if total[cut - 1] - (total[at - 1] if at else 0) >= BATCH_STARTS:
+                    yield solve(t.slice(at, cut - at))
+                    at = cut
+            held = t.slice(at)
+        if held is not None and held.num_rows:
             yield solve(held)
 
     return run
@@ -188,12 +198,14 @@ def _window_prints(size: int):
 
     def run(batches):
         for b in batches:
-            for doc_id, row, s0, anchor, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "s0", "anchor", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                total, inverse = _prefix(data)
-                k = len(data) - size + 1
-                mark = mix(mix((total[size:] - total[:-size]) * inverse[:k]) + U64(anchor % (1 << 64)))
-                yield pa.record_batch([pa.array([doc_id] * k, pa.int64()), pa.array([row] * k, pa.int64()), pa.array(s0 + np.arange(k)), pa.array(mark.view(np.int64))], names=["doc_id", "row", "first", "print"])
+            for at in range(0, b.num_rows, 512):
+                t = pa.Table.from_batches([b.slice(at, 512)]).combine_chunks()
+                text, starts, seg, place = _windows(t, size)
+                total, inverse = _prefix(text)
+                mark = mix(mix((total[starts + size] - total[starts]) * inverse[starts]) + t["anchor"].to_numpy().view(U64)[seg])
+                for k in range(0, len(seg), 1 << 16):
+                    w = seg[k : k + (1 << 16)]
+                    yield pa.record_batch([t["doc_id"].combine_chunks().take(pa.array(w)), pa.array(t["row"].to_numpy()[w]), pa.array(place[k : k + len(w)]), pa.array(mark[k : k + len(w)].view(np.int64))], names=["doc_id", "row", "first", "print"])
 
     return run
 
@@ -202,86 +214,132 @@ def _cut_out(size: int):
     """Texts with the segments wanted of them -> the segments' bytes."""
 
     def run(batches):
-        for b in batches:
-            cols = ("doc_id", "row", "text", "wanted")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        for piece in pieces(batches):
             out = []
-            for doc_id, row, text, wanted in zip(*(b.column(c) for c in cols), strict=True):
-                raw = text.as_py().encode()
-                out += [(doc_id.as_py(), row.as_py(), w["s0"], w["s1"], w["anchor"], w["hot"], raw[w["s0"] : w["s1"] + size]) for w in wanted.as_py()]
-            if not out:
-                continue
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "s0", "s1", "anchor", "hot", "bytes"])
+            for doc_id, row, base, text, wanted in zip(*(piece.column(c) for c in ("doc_id", "row", "base", "text", "wanted")), strict=True):
+                raw, base = text.as_py(), base.as_py()
+                # A row may come in several parts.
+                out += [(doc_id.as_py(), row.as_py(), w["s0"], w["s1"], w["anchor"], w["hot"], raw[w["s0"] - base : w["s1"] - base + size]) for w in wanted.as_py() if base <= w["s0"] and w["s1"] + size <= base + len(raw)]
+            if out:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "row", "s0", "s1", "anchor", "hot", "bytes"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
-    """(row, first, last): runs of window starts that are to be removed. `docs` has row, doc_id, text."""
+    """(row, found): the runs of window starts that are to be removed, as an array of (first, last), stored. `docs` has row, doc_id, base
+    and text (binary), a stored table; a row's text starts at byte `base`, and a row may come in parts that are apart."""
+    spark = docs.sparkSession
     segments = stored(docs.mapInArrow(_segments(size), "row long, doc_id long, s0 long, s1 long, anchor long, print long"), "segments")
     place = F.struct("doc_id", "row", "s0", "s1")
     kinds = segments.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least"))
     kinds = stored(kinds.join(anchors.where("total > 1"), "anchor"), "kinds")
+    release(spark)
 
     # A segment that occurs again is repeated as a whole.
     again = segments.join(kinds.where("n > 1").select("anchor", "print", "one"), ["anchor", "print"])
     if keep_first:
         again = again.where((F.col("row") != F.col("one.row")) | (F.col("s0") != F.col("one.s0")))
-    whole = again.select("row", F.col("s0").alias("first"), F.col("s1").alias("last"))
+    whole = stored(again.select("row", F.col("s0").alias("first"), F.col("s1").alias("last")), "repeats")
+    release(spark, segments)
 
     # One of each kind where an anchor has several.
     open_ = kinds.where("kinds > 1" if keep_first else "kinds > 1 and least = 1")
     wanted = open_.select("one.row", F.struct("one.s0", "one.s1", "anchor", (F.col("kinds") > BUCKET_MAX).alias("hot")).alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    parts = stored(docs.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_cut_out(size), "doc_id long, row long, s0 long, s1 long, anchor long, hot boolean, bytes binary"), "suffixes")
+    wanted = stored(wanted, "wanted")
+    asked = id_filter(wanted.select("row"), "row")
+    parts = docs.where(asked("row")).join(wanted, "row").select("doc_id", "row", "base", "text", "wanted")
+    parts = stored(parts.mapInArrow(_cut_out(size), "doc_id long, row long, s0 long, s1 long, anchor long, hot boolean, bytes binary"), "suffixes")
+    release(spark, kinds, wanted)
     found = "row long, first long, last long"
     cool = parts.where("not hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(size, keep_first), found)
 
-    marks = parts.where("hot").select("doc_id", "row", "s0", "anchor", "bytes").mapInArrow(_window_prints(size), "doc_id long, row long, first long, print long")
+    marks = stored(parts.where("hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes").mapInArrow(_window_prints(size), "doc_id long, row long, first long, print long"), "windows")
     seen = marks.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("one")).where("n > 1")
     hot = marks.join(seen, "print")
     if keep_first:
         hot = hot.where((F.col("row") != F.col("one.row")) | (F.col("first") != F.col("one.first")))
-    return whole.unionAll(cool).unionAll(hot.select("row", "first", F.col("first").alias("last")))
+    runs = whole.unionAll(cool).unionAll(hot.select("row", "first", F.col("first").alias("last")))
+    out = stored(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found")), "found")
+    release(spark, whole, parts, marks)
+    return out
+
+
+def _covered(found, n: int, reach: int) -> np.ndarray:
+    """Which of n bytes are reached from the window starts of the given runs."""
+    hit = np.zeros(n + 1, np.int32)
+    for f in found or ():
+        hit[f["first"]] += 1
+        hit[f["last"] + reach] -= 1
+    return np.cumsum(hit[:-1]) > 0
+
+
+def _fragments(size: int, least: int):
+    """Of each text the parts that may hold a repeat of `size` bytes: all its windows of `least` bytes are repeated."""
+
+    def run(batches):
+        for piece in pieces(batches):
+            out = []
+            for row, doc_id, text, found in zip(*(piece.column(c) for c in ("row", "doc_id", "text", "found")), strict=True):
+                raw, row, doc_id = text.as_py(), row.as_py(), doc_id.as_py()
+                starts = _covered(found.as_py(), len(raw), 1)
+                for a, b in zip(*(x.tolist() for x in _runs(starts, np.zeros(len(raw), np.int8))), strict=True):
+                    if b + least - a >= size:
+                        out.append((row, doc_id, a, raw[a : b + least]))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "base", "text"])
+
+    return run
+
+
+_OUT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept_sha256 string, kept_text string"
 
 
-def _removed(size: int):
+def _removed(size: int, least: int):
     def run(batches):
         for piece in pieces(batches):
-            ids, texts = piece.column("doc_id"), piece.column("text")
-            n, gone, runs, marks, left = [], [], [], [], []
-            for text, found in zip(texts, piece.column("found"), strict=True):
-                raw = (text.as_py() or "").encode()
-                hit = np.zeros(len(raw) + 1, np.int32)
-                for f in found.as_py() or ():
-                    hit[f["first"]] += 1
-                    hit[f["last"] + size] -= 1
-                out = np.cumsum(hit[:-1]) > 0
+            rows = []
+            for text, found, shorter in zip(*(piece.column(c) for c in ("text", "found", "shorter")), strict=True):
+                raw = text.as_py() or b""
+                out = _covered(found.as_py(), len(raw), size)
+                again = _covered(shorter.as_py(), len(raw), least) if shorter.is_valid else out
                 data = np.frombuffer(raw, np.uint8)[~out].tobytes() if found.is_valid else raw
-                n.append(len(raw))
-                gone.append(int(out.sum()))
-                runs.append(int((out[1:] & ~out[:-1]).sum() + (len(out) > 0 and out[0])))
-                marks.append(hashlib.sha256(data).hexdigest())
-                left.append(data.decode("utf-8", "ignore"))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([piece.column("row"), ids, *(pa.array(x, k) for x, k in zip((n, gone, runs, marks, left), kinds, strict=True))], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                spans = int((out[1:] & ~out[:-1]).sum() + (len(out) > 0 and out[0]))
+                rows.append((len(raw), int(out.sum()), spans, int(again.sum()), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.record_batch([piece.column("row"), piece.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256", "kept_text"])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, size: int = 400, keep_first: bool = True) -> DataFrame:
-    """(row, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), one for each row of `docs`.
+def suffix_dedup(docs: DataFrame, size: int = 400, keep_first: bool = True, least: int | None = None, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_bytes, n_removed, n_spans, n_repeated, kept_sha256, kept_text), one for each row of `docs`.
 
     Bytes of the UTF-8 text that a repeated string of `size` bytes covers are removed; matches
     never cross documents and strings are judged on the input. With `keep_first`
     a string's first copy stays (by doc_id, then row, then place); without it all copies go.
-    n_spans counts maximal removed runs. kept_sha256 is over the remaining bytes;
+    n_spans counts maximal removed runs. n_repeated counts the bytes that a string of `least` bytes (below `size`)
+    covers which also starts anywhere else, first copies included; without `least` it is n_removed. kept_sha256 is over the remaining bytes;
     kept_text drops bytes of a character that was cut through. Null texts read as empty;
     texts shorter than `size` stay; repeated rows are copies of each other; null doc_ids
-    come first. An empty table gives no rows. Other columns are ignored. `row` numbers the
-    rows of the scan, so `docs` should be a stored table, scanned alike each time.
+    come first. An empty table gives no rows. Other columns are ignored. `row` names a column that numbers the
+    rows of `docs`, a stored table; without it the rows are numbered and stored here.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    found = repeated_windows(docs.where("text is not null"), size, keep_first)
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    return docs.join(spans, "row", "left").select("row", "doc_id", "text", "found").mapInArrow(_removed(size), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    least = min(size, least or size)
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", "text"), "row", "numbered"), "row"
+    docs = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("base"), F.col("text").cast("string").cast("binary").alias("text"))
+    short = repeated_windows(docs.where("text is not null"), least, keep_first and least == size)
+    found, shorter = short, short.select("row", F.col("found").alias("shorter"))
+    if least < size:
+        # A repeat of `size` bytes lies within what repeats of `least` bytes cover.
+        asked = id_filter(short.select("row"), "row")
+        parts = docs.where(asked("row")).join(short, "row").select("row", "doc_id", "text", "found")
+        parts = stored(parts.mapInArrow(_fragments(size, least), "row long, doc_id long, base long, text binary"), "fragments")
+        found = repeated_windows(parts, size, keep_first)
+        release(docs.sparkSession, parts)
+    spans = found.join(shorter, "row", "full") if least < size else found.withColumn("shorter", F.lit(None).cast(found.schema["found"].dataType))
+    return docs.join(spans, "row", "left").select("row", "doc_id", "text", "found", "shorter").mapInArrow(_removed(size, least), _OUT)

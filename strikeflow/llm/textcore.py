@@ -10,9 +10,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
+#: Bits of the filters of ids (8 MB), whatever the number of ids.
+FILTER_BITS = 1 << 26
 PIECE_BYTES = 1 << 20
 PIECE_ROWS = 4096
 U64 = np.uint64
@@ -153,6 +157,37 @@ def stored(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df, row: str, name: str):
+    """The frame stored with a number for each row in a column `row`: a scan may be split otherwise
+    the next time, so that numbers given while reading would not stay."""
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+def id_bits(ids, hashed) -> np.ndarray:
+    """A filter of FILTER_BITS bits that is set at the given column of hashes, modulo its size."""
+    at = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
+    made = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in made.toLocalIterator():
+        bits = np.frombuffer(r["bits"], np.uint8)
+        first = (r["k"] - 1) * len(bits)
+        out[first : first + len(bits)] |= bits[: len(out) - first]
+    return out
+
+
+def id_filter(ids, column: str):
+    """A function of a column that is true for all the given ids and false for most others, to spare rows an
+    exchange before they are joined with the ids. When the filter fills, it lets more rows pass."""
+    shared = ids.sparkSession.sparkContext.broadcast(id_bits(ids, F.xxhash64(column)))
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1) > 0)
+
+    return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)))
+
+
 def release(spark, *frames) -> None:
     """Removes the files of frames made by stored() that nothing reads any more, and lets Spark drop the shuffle
     files of finished steps: these go when the driver's JVM collects its garbage, which a mostly idle

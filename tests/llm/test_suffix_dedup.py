@@ -31,6 +31,7 @@ def brute(rows, size, keep_first):
 
 def run(df, size, keep_first):
     got = S.suffix_dedup(df, size, keep_first).collect()
+    assert all(r["n_repeated"] == r["n_removed"] for r in got)
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str)
 
 
@@ -61,14 +62,44 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert run(no_docs, 200, False) == []
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_shorter_repeats_are_counted(spark, make_prose, keep_first):
+    rng = random.Random(9)
+    shared = make_prose(rng, 90)
+    rows = []
+    for i in range(20):
+        a, n = rng.randint(0, 200), rng.randint(60, 260)
+        rows.append((i, " ".join([make_prose(rng, rng.randint(0, 40)), shared[a : a + n], make_prose(rng, 9), shared[5 : 5 + n // 2]])))
+    rows.append((30, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = S.suffix_dedup(df, 150, keep_first, least=80).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == brute(rows, 150, keep_first)
+    assert sorted(((r["doc_id"], r["n_repeated"]) for r in got), key=str) == [(r[0], r[2]) for r in brute(rows, 80, False)]
+    assert any(r["n_repeated"] > r["n_removed"] > 0 for r in got)
+
+
 def test_suffix_order():
     import numpy as np
 
-    data = np.frombuffer(b"abracadabra" * 5, np.uint8)
-    starts = np.arange(len(data) - 20)
-    order, same = S.suffix_order(data, starts, 20)
-    text = data.tobytes()
-    assert [text[i : i + 20] for i in starts[order]] == sorted(text[i : i + 20] for i in starts)
-    assert same.sum() == len(starts) - len({text[i : i + 20] for i in starts})
-    earlier, later = S.previous_and_next(order, same)
-    assert not earlier[0] and earlier[11] and later[0]
+    text = b"abracadabra" * 5
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 20)
+    bucket = np.arange(len(windows)) % 2
+    order, shared = S.suffix_order(windows, bucket)
+    keyed = [(int(bucket[i]), bytes(windows[i])) for i in order]
+    assert keyed == sorted(keyed)
+    for k in range(1, len(order)):
+        (p, x), (q, y) = keyed[k - 1 : k + 1]
+        assert shared[k] == (next((i for i in range(20) if x[i] != y[i]), 20) if p == q else 0)
+
+
+def test_previous_factors_against_all_pairs():
+    import numpy as np
+
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"ab") for _ in range(150))
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 12)
+    order, shared = S.suffix_order(windows, np.zeros(len(windows), int))
+    got = np.zeros(len(order), int)
+    got[order] = S.previous_factors(order, shared)
+    common = lambda x, y: next((i for i in range(12) if x[i] != y[i]), 12)
+    assert got.tolist() == [max((common(windows[i], windows[j]) for j in range(i)), default=0) for i in range(len(windows))]

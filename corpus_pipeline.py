@@ -15,7 +15,7 @@ from strikeflow.llm.decontaminate import find_leaks
 from strikeflow.llm.ngram_join import ngram_jaccard_join
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
-from strikeflow.llm.textcore import shared_dir
+from strikeflow.llm.textcore import numbered, release, shared_dir
 
 #: Documents with a lower score go.
 QUALITY = 0.3
@@ -34,40 +34,63 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality classifier, trained on the labels of four fifths of them, accepts."""
+    """Keeps the documents that the quality classifier, trained on the labels of four fifths of them, accepts.
+
+    Null and empty texts are scored like any other; whole texts are read, however long. Equal texts have equal scores, so repeated
+    rows stay or go together; a score of exactly QUALITY stays. Where no labels fit, all stay. A column
+    named like the score is left as it is.
+    """
     net = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     score = _free(docs, "score")
     return quality_scores(docs, net, score).where(F.col(score) >= QUALITY).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates; documents without words
-    stay, rows with null doc_id stay unless they are linked to a row with one, and repeated rows are one."""
-    groups = ngram_jaccard_join(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of near duplicates: that of the smallest doc_id, then the first row; null doc_ids come last.
+
+    Rows without words are linked with nothing and stay. Repeated rows are one group, and so are different texts under one doc_id only if they are linked. Other columns
+    stay as they are, whatever their names.
+    """
+    row = _free(docs, "row")
+    docs = numbered(docs, row, "near-duplicates")
+    groups = ngram_jaccard_join(docs.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "at")
+    named = groups.select(F.col("doc_id").alias("at"), "component_id").join(docs.select(F.col(row).alias("at"), F.col("doc_id").alias("id")), "at")
+    firsts = named.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first.at").alias("at"))
+    others = named.select("at").join(firsts, "at", "left_anti").withColumnRenamed("at", row)
+    return docs.join(others, row, "left_anti").drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that stand in an earlier document or further up; every document stays, if with less text."""
+    """Cuts out passages of REPEAT_BYTES bytes and more that stand in an earlier document or further up; every row stays, if with less text.
+
+    Earlier is by doc_id (null first), then row: of repeated rows the first keeps its text. Null and short texts stay as they are;
+    n_chars is counted anew where a text is cut. Other columns stay as they are, whatever their names.
+    """
     row, kept = _free(docs, "row"), _free(docs, "kept_text")
-    cut = suffix_dedup(docs, REPEAT_BYTES, keep_first=True).where("n_removed > 0").select(F.col("row").alias(row), F.col("kept_text").alias(kept))
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(cut, row, "left")
+    docs = numbered(docs, row, "repeated-passages")
+    cut = suffix_dedup(docs.select(row, "doc_id", "text"), REPEAT_BYTES, keep_first=True, row=row).where("n_removed > 0").select(F.col("row").alias(row), F.col("kept_text").alias(kept))
+    rows = docs.join(cut, row, "left")
     same = F.col(kept).isNull()
     text = F.when(same, F.col("text")).otherwise(F.col(kept))
     n_chars = F.when(same, F.col("n_chars")).otherwise(F.length(kept).cast("long"))
-    return rows.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    return rows.withColumns({"text": text, "n_chars": n_chars}).drop(row, kept)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item is found."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row").distinct()
+    """Drops the rows in which a benchmark item is found, as find_leaks() has it.
+
+    Null and empty texts stay; whole texts are searched; of repeated rows all go. An item that just reaches a bound
+    is found. Other columns stay as they are, whatever their names.
+    """
     row = _free(docs, "row")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(leaks.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
+    docs = numbered(docs, row, "decontaminated")
+    leaks = find_leaks(docs.select(row, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=row)
+    return docs.join(leaks.select(F.col("row").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
+    """Token counts and digests of the ids and of the decoded bytes, one row for each row; null texts count as empty, other columns are left out."""
     import public_tokenizers
 
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -83,10 +106,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, *([before] if before is not None else []))
+        before = docs = spark.read.parquet(path)
     return docs

@@ -27,7 +27,7 @@ from strikeflow.llm.textcore import FILTER_BITS, LOWER, SPACED, U64, buffers, id
 
 #: Cells of the table of hashed shingle frequencies (a byte each): its size never grows.
 CELLS = 1 << 23
-SLICES = 64
+SLICES = 1024
 #: Rows of one shingle that go to one task; frequent shingles are salted.
 SALTED = 1 << 14
 #: Open buckets of up to so many rows are compared in full, larger ones only after a second pivot.
@@ -342,11 +342,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     buckets = stored(packed.groupBy("part").applyInArrow(_shared(num, den), "gram long, node long, size int, pos int, members int, pivot long"), "ngram-buckets")
     release(spark)
 
-    members = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null")).distinct()
+    members = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null"))
     asked = spark.sparkContext.broadcast(id_bits(members, F.col("node")))
     named = docs.where("text is not null").select("text").mapInArrow(_texts_of(n, asked), "node long, size int, ranges binary, text string")
     # The filter may let others pass.
-    texts = stored(named.join(members.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
+    texts = stored(named.join(members.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
     release(spark)
 
     # First every row against its bucket's pivot: that settles nearly all.
@@ -360,10 +360,13 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
         # Small buckets are compared in full; large ones with another pivot, and in full if that does not end.
         few, many = sized.where(F.col("n") <= SMALL_BUCKET), sized.where(F.col("n") > SMALL_BUCKET)
         pairs = _cross_pairs(sized, num, den) if last else _cross_pairs(few, num, den).unionAll(_pivot_pairs(many, num, den)).distinct()
-        new = _checked(pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti"), texts, n, num, den)
-        checked = checked.unionAll(new)
-        links = roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionAll(new.where("linked").select("x", "y"))
-        roots = stored(components(links, "x", "y"), "ngram-roots")
+        pairs = stored(pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti"), "ngram-cross")
+        if not pairs.isEmpty():
+            new = _checked(pairs, texts, n, num, den, few=True)
+            checked = checked.unionAll(new)
+            links = roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionAll(new.where("linked").select("x", "y"))
+            roots = stored(components(links, "x", "y"), "ngram-roots")
+        release(spark, pairs)
         if last or many.isEmpty():
             break
         still = stored(_open(many.drop("root", "n"), roots), "ngram-open")
@@ -373,18 +376,17 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     return seen.where("slice is null").select("doc_id", "n_shingles", "node"), roots
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(x, y, linked) of the pairs that pass the suffix filter; texts travel for these alone."""
+def _checked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, few: bool = False) -> DataFrame:
+    """(x, y, linked) of the pairs that pass the suffix filter; texts travel for these alone. `few`: pairs of which Spark may
+    broadcast as many as its own bound allows; otherwise merge joins at every size."""
 
-    def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(s if c == "node" else f"{s}_{c}") for c in df.columns))
+    def side(s: str, *columns: str) -> DataFrame:
+        df = texts.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
+        return df if few else df.hint("merge")
 
-    known = texts.select("node", "size", "ranges")
-    near = pairs.join(side(known, "x").hint("merge"), "x").join(side(known, "y").hint("merge"), "y")
+    near = pairs.join(side("x", "size", "ranges"), "x").join(side("y", "size", "ranges"), "y")
     near = stored(near.select("x", "y", "x_size", "y_size", "x_ranges", "y_ranges").mapInArrow(_may_link(num, den), "x long, y long"), "ngram-near")
-    text = texts.select("node", "text")
-    # Merge joins at every size: neither side is bounded.
-    both = near.join(side(text, "x").hint("merge"), "x").join(side(text, "y").hint("merge"), "y")
+    both = near.join(side("x", "text"), "x").join(side("y", "text"), "y")
     out = stored(both.select("x", "y", "x_text", "y_text").mapInArrow(_verify(n, num, den), "x long, y long, linked boolean"), "ngram-pairs")
     release(pairs.sparkSession, near)
     return out

@@ -102,11 +102,12 @@ def test_suffix_filter_is_a_bound():
         assert {2, 4} <= kept and (n < 100 or 3 not in kept)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [None, 7])
+def test_components(spark, local):
     rng = np.random.default_rng(1)
     chain = [(i, i + 1) for i in range(40)]
     edges = chain + [(int(a), int(b)) for a, b in rng.integers(100, 160, (40, 2))]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*edges, (7, 7), (None, 3)], "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*edges, (7, 7), (None, 3)], "a long, b long"), local=local).collect()}
     root = {}
     for a, b in edges:
         x, y = a, b

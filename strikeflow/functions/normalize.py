@@ -33,35 +33,34 @@ def filled_price(price: Column, last: Column, ask: Column, bid: Column, high: Co
     return F.coalesce(price, last, (F.coalesce(upper, lower) + F.coalesce(lower, upper)) / 2)
 
 
-def instrument(code: Column) -> Column:
-    """A struct (asset_type, base_asset_code, expiration_date, strike, option_type, parse_error) of an instrument's name."""
-    text = F.regexp_replace(code, r"(\d)[dD](\d)", "$1.$2")
-    part = F.split(text, "-")
-    n = F.size(part)
-    second, third = expiration_date(F.try_element_at(part, F.lit(2))), F.split(F.try_element_at(part, F.lit(3)), "_")[0]
-    perpetual = F.upper(F.try_element_at(part, F.lit(2))) == "PERPETUAL"
+NAMED = ("asset_type", "base_asset_code", "expiration_date", "strike", "option_type", "parse_error")
+
+
+def with_instruments(df: DataFrame) -> DataFrame:
+    """Adds what the names in asset_code say: NAMED. In steps, so that a part or a date that several columns
+    need is taken from the name once; no row leaves its partition."""
+    df = df.withColumn("_part", F.split(F.regexp_replace("asset_code", r"(\d)[dD](\d)", "$1.$2"), "-"))
+    at = lambda k: F.try_element_at("_part", F.lit(k))
+    df = df.withColumns({"_n": F.size("_part"), "_two": at(2), "_three": F.split(at(3), "_")[0], "_four": at(4)})
+    df = df.withColumns({"_second": expiration_date(F.col("_two")), "_third": expiration_date(F.col("_three"))})
+    n, second, third = F.col("_n"), F.col("_second"), F.col("_third")
     kind = (
         F.when(n == 1, SPOT)
-        .when((n == 2) & (perpetual | second.isNotNull()), FUTURE)
-        .when((n == 3) & expiration_date(third).isNotNull(), FUTURE_COMBO)
+        .when((n == 2) & ((F.upper("_two") == "PERPETUAL") | second.isNotNull()), FUTURE)
+        .when((n == 3) & third.isNotNull(), FUTURE_COMBO)
         .when((n == 4) & second.isNotNull(), OPTION)
-        .when((n == 4) & expiration_date(third).isNotNull(), OPTION_COMBO)
-    )
-    single = kind.isin(FUTURE, OPTION)
-    return F.struct(
-        kind.alias("asset_type"),
-        part[0].alias("base_asset_code"),
-        F.when(single, second).when(kind.isin(FUTURE_COMBO, OPTION_COMBO), expiration_date(third)).alias("expiration_date"),
-        F.when(kind == OPTION, F.try_element_at(part, F.lit(3)).try_cast("double")).alias("strike"),
-        F.when(kind == OPTION, F.lower(F.try_element_at(part, F.lit(4)))).alias("option_type"),
-        (kind.isNull() & code.isNotNull()).alias("parse_error"),
+        .when((n == 4) & third.isNotNull(), OPTION_COMBO)
     )
-
-
-def with_instruments(df: DataFrame) -> DataFrame:
-    """Adds what the names in asset_code say. Names are few and rows many: each name is parsed once."""
-    known = df.select("asset_code").distinct().withColumn("p", instrument(F.col("asset_code"))).select("asset_code", "p.*")
-    return df.join(known, "asset_code", "left")
+    df = df.withColumn("asset_type", kind)
+    kind = F.col("asset_type")
+    new = {
+        "base_asset_code": F.col("_part")[0],
+        "expiration_date": F.when(kind.isin(FUTURE, OPTION), second).when(kind.isin(FUTURE_COMBO, OPTION_COMBO), third),
+        "strike": F.when(kind == OPTION, at(3).try_cast("double")),
+        "option_type": F.when(kind == OPTION, F.lower("_four")),
+        "parse_error": kind.isNull() & F.col("asset_code").isNotNull(),
+    }
+    return df.withColumns(new).drop("_part", "_n", "_two", "_three", "_four", "_second", "_third")
 
 
 def underlying_expiration(index: Column) -> Column:
@@ -75,8 +74,9 @@ def codes(c: Column, table: dict[str, str]) -> Column:
 
 
 def option_type_of(contract: Column) -> Column:
-    """The first C or P in a contract's id that letters and then digits follow, in lower case."""
-    found = F.regexp_extract(contract, r"([CP])(?=\w+\d+\.?\d*)", 1)
+    """The first C or P of a contract's id from which on it still holds a digit, in lower case."""
+    # Fixed value: the pattern, which looks ahead from the letter's own place.
+    found = F.regexp_extract(contract, r"(?=\w+\d+\.?\d*)([CP])", 1)
     return F.when(found != "", F.lower(found))
 
 
@@ -121,8 +121,7 @@ VENDOR = {"instrument_name": "asset_code", "bid_price": "bid", "ask_price": "ask
 def normalize_book(raw: DataFrame, request_time: Column) -> DataFrame:
     """A raw book with the dictionary's columns: names parsed, times rounded, prices filled and converted."""
     df = raw.withColumnsRenamed({k: v for k, v in VENDOR.items() if k in raw.columns})
-    name = instrument(F.col("asset_code"))
-    df = df.withColumn("name", name).select("*", *(F.col(f"name.{c}").alias(c) for c in ("asset_type", "base_asset_code", "expiration_date", "strike", "option_type", "parse_error"))).drop("name")
+    df = with_instruments(df)
     empty = F.lit(None).cast("double")
     get = lambda c: F.col(c) if c in df.columns else empty
     df = df.withColumns(

@@ -63,6 +63,18 @@ def fill_price(spark, d):
     return V.quotes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", N.filled_price(none, F.col("last"), F.col("ask"), F.col("bid"), none, none).alias("price"))
 
 
+@query(
+    f"""WITH {V.ENRICHED} SELECT {KEYS}, option_type, strike, true AS forced, underlying_price, intrinsic_value FROM enriched
+    UNION ALL SELECT {KEYS}, option_type, strike, false, 0.0::DOUBLE, CASE WHEN option_type = 'p' THEN strike ELSE 0.0::DOUBLE END FROM enriched"""
+)
+def forced_enrichment(spark, d):
+    """Columns that are there are kept, or computed anew where that is forced."""
+    stale = V.options(spark, d).withColumn("underlying_price", F.lit(0.0))
+    both = [enrich_options(stale, V.futures(spark, d), ("intrinsic_value",), force=f).withColumn("forced", F.lit(f)) for f in (True, False)]
+    columns = (*CHAIN, "option_type", "strike", "forced", "underlying_price", "intrinsic_value")
+    return both[0].select(*columns).unionAll(both[1].select(*columns))
+
+
 # Resampling
 
 
@@ -251,8 +263,8 @@ def parse_instruments(spark, d):
     return N.with_instruments(n).select("l_orderkey", "l_linenumber", "asset_code", "asset_type", "base_asset_code", "expiration_date", "strike", "option_type", "parse_error")
 
 
-def _raw_book(spark, d) -> DataFrame:
-    n = V.names(spark, d)
+def _raw_book(spark, d, lineitem: DataFrame | None = None) -> DataFrame:
+    n = V.names(spark, d, lineitem)
     millis = (F.unix_micros(F.col("original_timestamp").cast("timestamp")) / 1000).cast("long") + F.col("l_suppkey") % 1000
     return n.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("asset_code").alias("instrument_name"), "last", F.col("bid").alias("bid_price"), F.col("ask").alias("ask_price"), "volume",
@@ -263,16 +275,30 @@ def _raw_book(spark, d) -> DataFrame:
     )
 
 
-@query(
+BOOK_SQL = (
     f"""WITH {PARSED}, m AS (SELECT *, epoch_us(original_timestamp) // 1000 + l_suppkey % 1000 AS ms, len(string_split(asset_code, '-')) = 4 AND l_suppkey % 2 = 0 AND l_suppkey % 5 > 1 AS conv, {V.FILLED} AS filled FROM p)
     SELECT l_orderkey, l_linenumber, l_partkey, asset_type, base_asset_code, expiration_date, strike, option_type,
       make_timestamp(ms * 1000) AS original_timestamp, make_timestamp(CAST(round_even(ms / 1000.0, 0) AS BIGINT) * 1000000) AS timestamp,
       CASE WHEN conv THEN filled * 2.0 ELSE filled END AS price, CASE WHEN conv THEN ask * 2.0 ELSE ask END AS ask, CASE WHEN conv THEN ask END AS source_ask,
       CASE WHEN conv THEN premium END AS volume_notional, CASE WHEN l_suppkey % 3 = 2 THEN TIMESTAMP '2025-02-28' END AS underlying_expiration_date FROM m"""
 )
+BOOK = ("l_orderkey", "l_linenumber", "l_partkey", "asset_type", "base_asset_code", "expiration_date", "strike", "option_type", "original_timestamp", "timestamp", "price", "ask", "source_ask", "volume_notional", "underlying_expiration_date")
+
+
+@query(BOOK_SQL)
 def normalize_book(spark, d):
+    return N.normalize_book(_raw_book(spark, d), F.current_timestamp()).select(*BOOK)
+
+
+@query(
+    f"""WITH {PARSED}, m AS (SELECT asset_code, l_orderkey, l_linenumber, l_partkey, epoch_us(original_timestamp) // 1000 + l_suppkey % 1000 AS ms, len(string_split(asset_code, '-')) = 4 AND l_suppkey % 2 = 0 AND l_suppkey % 5 > 1 AS conv, ask FROM p),
+    r AS (SELECT asset_code, (CAST(round_even(ms / 1000.0, 0) AS BIGINT), ms, l_orderkey, l_linenumber, l_partkey) AS o, date_trunc('day', make_timestamp(CAST(round_even(ms / 1000.0, 0) AS BIGINT) * 1000000))::TIMESTAMP AS timestamp, CASE WHEN conv THEN ask * 2.0 ELSE ask END AS ask, CASE WHEN conv THEN ask END AS source_ask FROM m)
+    SELECT asset_code, timestamp, arg_max(ask, o) FILTER (ask IS NOT NULL) AS ask, arg_max(source_ask, o) FILTER (source_ask IS NOT NULL) AS source_ask FROM r GROUP BY 1, 2"""
+)
+def resample_book(spark, d):
+    """Bars of a normalised book by the dictionary's rules; source_ask goes by the rule of ask."""
     book = N.normalize_book(_raw_book(spark, d), F.current_timestamp())
-    return book.select("l_orderkey", "l_linenumber", "l_partkey", "asset_type", "base_asset_code", "expiration_date", "strike", "option_type", "original_timestamp", "timestamp", "price", "ask", "source_ask", "volume_notional", "underlying_expiration_date")
+    return R.resample(book, "EOD", tie=("l_orderkey", "l_linenumber", "l_partkey")).select("asset_code", "timestamp", "ask", "source_ask")
 
 
 @query(f"WITH {V.TICKS} SELECT event_id, make_timestamp(CAST(round_even(epoch_us(timestamp) / 1000000.0, 0) AS BIGINT) * 1000000) AS timestamp FROM ticks")
@@ -353,13 +379,14 @@ def value_pairs(spark, d):
 
 
 @query(
-    f"""WITH {V.QUOTES}, q AS (SELECT DISTINCT 'SI' || CAST(CAST(strike AS INTEGER) AS VARCHAR) || upper(option_type) || 'M' || strftime(expiration_date, '%d%m%y') AS contract_id, base_asset_code, option_type FROM quotes)
+    f"""WITH {V.QUOTES}, q AS (SELECT DISTINCT 'SI' || CAST(CAST(strike AS INTEGER) AS VARCHAR) || unnest([upper(option_type) || 'M' || strftime(expiration_date, '%d%m%y'), 'B' || upper(option_type) || CAST(month(expiration_date) % 10 AS VARCHAR)]) AS contract_id, base_asset_code, option_type FROM quotes)
     SELECT contract_id, base_asset_code, option_type, base_asset_code || '.FUTURES/MOEX' AS underlying_id, CASE option_type WHEN 'c' THEN 'call' ELSE 'put' END AS long_name FROM q"""
 )
 def contract_ids(spark, d):
     q = V.quotes(spark, d)
-    contract = F.concat(F.lit("SI"), F.col("strike").cast("int").cast("string"), F.upper("option_type"), F.lit("M"), F.date_format("expiration_date", "ddMMyy"))
-    q = q.select(contract.alias("contract_id"), "base_asset_code").distinct()
+    head, kind = F.concat(F.lit("SI"), F.col("strike").cast("int").cast("string")), F.upper("option_type")
+    long_, short = F.concat(head, kind, F.lit("M"), F.date_format("expiration_date", "ddMMyy")), F.concat(head, F.lit("B"), kind, (F.month("expiration_date") % 10).cast("string"))
+    q = q.select(F.explode(F.array(long_, short)).alias("contract_id"), "base_asset_code").distinct()
     kind = N.option_type_of(F.col("contract_id"))
     return q.select("contract_id", "base_asset_code", kind.alias("option_type"), N.underlying_id(F.col("base_asset_code"), F.lit("futures")).alias("underlying_id"), N.codes(kind, {"c": "call", "p": "put"}).alias("long_name"))
 
@@ -394,6 +421,20 @@ def split_book(spark, d):
     return B.union_books(*parts).groupBy("asset_type", "base_asset_code").agg(F.count("*").alias("rows"), F.count("strike").alias("strikes"), F.count("expiration_date").alias("expirations"))
 
 
+@query(f"WITH {PARSED} SELECT l_orderkey, l_linenumber, asset_code, volume, last, bid, ask, asset_type, base_asset_code, expiration_date, parse_error FROM p WHERE asset_type = 'f'")
+def book_of_futures(spark, d):
+    """Futures of a book: columns that only options have are gone, those that the dictionary does not know stay."""
+    n = N.with_instruments(V.names(spark, d).select("l_orderkey", "l_linenumber", "asset_code", "volume", "last", "bid", "ask"))
+    return B.of_kind(n.withColumn("iv", F.col("volume")), "f")
+
+
+@query(f"WITH {PARSED} SELECT asset_code, base_asset_code, asset_type, volume, bid, ask, CAST(NULL AS VARCHAR) AS currency, CAST(NULL AS TIMESTAMP) AS request_timestamp FROM p WHERE asset_type = 's'")
+def projected_spot(spark, d):
+    """Spot rows with listed columns of the dictionary, typed; absent ones are null."""
+    n = N.with_instruments(V.names(spark, d).select("l_orderkey", "asset_code", F.col("volume").cast("string").alias("volume"), "bid", "ask"))
+    return B.project(B.of_kind(n, "s"), ("asset_code", "base_asset_code", "asset_type", "volume", "bid", "ask", "currency", "request_timestamp"))
+
+
 def _with_underlying(spark, d) -> DataFrame:
     kind = F.when(F.col("underlying_expiration_date").isNotNull(), "f").otherwise("i")
     code = F.when(F.col("underlying_expiration_date").isNotNull(), F.concat("base_asset_code", F.lit("-"), F.date_format("underlying_expiration_date", "ddMMyy"))).otherwise(F.col("base_asset_code"))

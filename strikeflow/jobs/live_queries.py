@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from strikeflow.jobs import views as V
-from strikeflow.jobs.catalog import OHLC, SPLIT, _bars_sql, query
+from strikeflow.functions import normalize as N
+from strikeflow.jobs.catalog import BOOK, BOOK_SQL, OHLC, SPLIT, _bars_sql, _raw_book, query
 from strikeflow.operators import resample as R
 from strikeflow.schema import CHAIN
 from strikeflow.sources import history as H
@@ -35,6 +36,57 @@ def futures_year(spark, d):
     return H.load_futures(spark, path, (*CHAIN, "price"), year=YEAR)
 
 
+@query(f"WITH {V.OPTIONS} SELECT base_asset_code, timestamp, expiration_date, option_type, strike, price FROM options WHERE volume >= 10 AND year(timestamp) = {YEAR}")
+def priced_options_year(spark, d):
+    """A year of options from the partitioned layout; rows stored without a price are left out."""
+    path = shared_dir(spark, "history")
+    o = V.options(spark, d).withColumn("price", F.when(F.col("volume") >= 10, F.col("price")))
+    H.write_history(o.withColumns({"exchange_code": F.lit("x"), "timeframe": F.lit("EOD"), "asset_type": F.lit("o")}), path)
+    return H.load_options(spark, path, (*CHAIN, "option_type", "strike", "price"), year=YEAR)
+
+
+#: Rows of updates: quotes at the first three days of a quarter; some come in late.
+NIGHT = datetime(1998, 1, 1)
+UPDATES = f"""{V.QUOTES}, updates AS (SELECT base_asset_code, base_asset_code || '-' || option_type AS asset_code, CAST(date_trunc('quarter', original_timestamp) + to_days(CAST(l_linenumber % 3 AS INTEGER)) AS TIMESTAMP) AS timestamp,
+  original_timestamp, premium AS price, volume, bid AS iv FROM quotes)"""
+
+
+@query(
+    f"""WITH {UPDATES} SELECT base_asset_code, asset_code, timestamp, CAST(year(timestamp) AS INTEGER) AS year, arg_max(price, (original_timestamp, price, volume)) AS price, arg_max(volume, (original_timestamp, price, volume)) AS volume,
+      round(avg(iv), 6) AS iv, count(iv) AS iv_count FROM updates WHERE year(timestamp) BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3"""
+)
+def nightly_merge(spark, d):
+    """Two nights: update files found by their names, from a start on, become daily bars of each exchange, asset, kind and year;
+    the second night brings late rows of old years as well. Means stay exact."""
+    q = V.quotes(spark, d)
+    day = F.expr("cast(cast(date_trunc('quarter', original_timestamp) as timestamp_ntz) + make_dt_interval(l_linenumber % 3) as timestamp_ntz)")
+    rows = q.select(
+        F.lit("x").alias("exchange_code"), "base_asset_code", F.lit("o").alias("asset_type"), F.lit("1m").alias("timeframe"), F.concat_ws("-", "base_asset_code", "option_type").alias("asset_code"), day.alias("timestamp"), "original_timestamp",
+        F.col("premium").alias("price"), "volume", F.col("bid").alias("iv"), (F.col("l_suppkey") % 4 == 0).alias("late"),
+    )
+    first = (F.col("timestamp") < F.lit(NIGHT)) & ~F.col("late")
+    history = shared_dir(spark, "history")
+    model = {"original_timestamp": "last", "price": "last", "volume": "last", "iv": "mean"}
+    for night, some in (("one", rows.where(first)), ("two", rows.where(~first))):
+        updates = shared_dir(spark, f"updates-{night}")
+        H.write_updates(some.drop("late"), updates, "EOD")
+        # Two-digit years of names are of this century.
+        H.merge_updates(spark, updates, history, "EOD", datetime(2096, 1, 1), model, ("price", "volume"))
+    made = spark.read.schema(H.HISTORY).parquet(history)
+    return made.select("base_asset_code", "asset_code", "timestamp", "year", "price", "volume", F.round("iv", 6).alias("iv"), "iv_count")
+
+
+@query(BOOK_SQL)
+def stream_normalized(spark, d):
+    """Arriving snapshots normalised and appended to the folder of their kind and asset."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{d}/lineitem.parquet*")
+    path = shared_dir(spark, "sink")
+    s = N.normalize_book(_raw_book(spark, d, raw), F.current_timestamp()).select(*BOOK)
+    L.ingest(s, shared_dir(spark, "progress"), path)
+    return spark.read.schema(s.schema).parquet(path).select(*BOOK)
+
+
 def _stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{d}/events.parquet*")

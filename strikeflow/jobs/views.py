@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+def quotes(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Quotes of the line items, or of the given ones (a stream, say)."""
+    rows = (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     month = "cast(date_trunc('month', l_shipdate) as timestamp_ntz)"
     quarter = "cast(date_trunc('quarter', l_shipdate) as timestamp_ntz)"
     premium = "l_extendedprice / 1000"
@@ -113,9 +114,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TICKS = """ticks AS (SELECT 'A' || CAST(user_id AS VARCHAR) AS asset_code, ts AS timestamp, value AS price, event_id, event_type FROM events)"""
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def names(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Quotes with an exchange's instrument name; the kind goes by l_linenumber."""
-    q = quotes(spark, sf_dir)
+    q = quotes(spark, sf_dir, lineitem)
     day = F.upper(F.date_format("expiration_date", "dMMMyy"))
     base = F.col("base_asset_code")
     k = F.col("strike").cast("int").cast("string")

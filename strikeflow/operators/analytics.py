@@ -14,6 +14,7 @@ SERIES = (ASSET, "expiration_date", "option_type")
 
 #: Legs of strategies up to which they are broadcast; more go through a shuffled join.
 BROADCAST_LEGS = 100_000
+SALTS = 64
 
 
 def time_value_by_atm_distance(options: DataFrame, distance: float | str = 0.0, expiration: datetime | None = None, option_type: str | None = None) -> DataFrame:
@@ -47,23 +48,35 @@ def leg_id():
     return F.concat(F.lit("#"), F.col("leg_idx").cast("string"), F.lit("_"), F.col("type"), F.lit("_"), F.col("leg_strike").cast("long").cast("string"), F.lit("_"), F.col("lots").cast("string"))
 
 
+def _bounded(legs: DataFrame) -> bool:
+    """Whether the legs are few enough to broadcast; counting stops beyond the bound."""
+    return legs.limit(BROADCAST_LEGS + 1).count() <= BROADCAST_LEGS
+
+
 def leg_premiums(chains: DataFrame, legs: DataFrame) -> DataFrame:
-    """Each option leg with its premium in every chain of `chains`; missing_leg where the chain has no such contract."""
+    """Each option leg with its premium in every chain of `chains`; missing_leg where the chain has no such contract.
+    The result has a row for each chain and leg, so that more than BROADCAST_LEGS legs are refused."""
+    if not _bounded(legs):
+        raise ValueError(f"more than {BROADCAST_LEGS} legs; ask for chain_payoff_legs instead")
     keys = chains.select(*CHAIN).distinct()
-    asked = keys.crossJoin(F.broadcast(legs.where("type <> 'futures'").withColumnRenamed("strike", "leg_strike")))
+    asked = keys.join(F.broadcast(legs.where("type <> 'futures'").withColumnRenamed("strike", "leg_strike")))
     prices = chains.select(*CHAIN, F.col("strike").alias("leg_strike"), F.when(F.col("option_type") == CALL, "call").otherwise("put").alias("type"), "price")
     return asked.join(prices, [*CHAIN, "leg_strike", "type"], "left").withColumn("missing_leg", F.col("price").isNull())
 
 
-def chain_payoff_legs(chains: DataFrame, legs: DataFrame, broadcast_legs: bool = True) -> DataFrame:
+def chain_payoff_legs(chains: DataFrame, legs: DataFrame, broadcast_legs: bool | None = None) -> DataFrame:
     """Profit of each leg at expiration, on the strike grid of its type (a future: that of the calls), for all
     strategies and chains at once. `legs`: strategy_id, leg_idx, strike, lots, type (call, put, futures).
-    Legs whose contract a chain lacks give no rows there (see leg_premiums)."""
+    Legs whose contract a chain lacks give no rows there (see leg_premiums). Up to BROADCAST_LEGS legs are broadcast, unless the caller
+    decides; more meet the grid by type and a salt, which spreads either type over SALTS tasks."""
     legs = legs.withColumnRenamed("strike", "leg_strike").withColumn("side", F.when(F.col("type") == "put", PUT).otherwise(CALL))
-    small = F.broadcast(legs) if broadcast_legs else legs
     grid = chains.where(F.col("option_type").isin(CALL, PUT)).select(*CHAIN, "strike", F.col("option_type").alias("side"), "price", "underlying_price")
     # The premium is a row of the same grid: one window instead of a self join.
-    rows = grid.join(small, "side")
+    if _bounded(legs) if broadcast_legs is None else broadcast_legs:
+        rows = grid.join(F.broadcast(legs), "side")
+    else:
+        salted = grid.withColumn("salt", F.pmod(F.xxhash64(*CHAIN), F.lit(SALTS)).cast("int"))
+        rows = salted.join(legs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["side", "salt"]).drop("salt")
     premium = F.max(F.when(F.col("strike") == F.col("leg_strike"), F.col("price"))).over(Window.partitionBy(*CHAIN, "strategy_id", "leg_idx"))
     rows = rows.withColumn("premium", premium)
     move = F.when(F.col("side") == CALL, F.col("strike") - F.col("leg_strike")).otherwise(F.col("leg_strike") - F.col("strike"))

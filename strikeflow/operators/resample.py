@@ -27,16 +27,32 @@ def ordering(df: DataFrame, tie: Sequence[str] = ()) -> Column:
     return F.struct(*(c for c in (*TIMES, *tie) if c in df.columns))
 
 
-def aggregates(df: DataFrame, model: dict[str, str], order: Column) -> list[Column]:
-    """One aggregate for each column of the model, all in one pass. First and last skip nulls."""
+def sums_of(column: str) -> tuple[str, str]:
+    """Columns that a stored bar keeps beside a mean, so that later rows can be added to it."""
+    return f"{column}_sum", f"{column}_count"
+
+
+def aggregates(df: DataFrame, model: dict[str, str], order: Column, keep_sums: bool = False) -> list[Column]:
+    """One aggregate for each column of the model, all in one pass. First and last skip nulls. Rows that are bars themselves
+    count in a mean by their sum and count; `keep_sums` returns these, too."""
+
+    def sums(c: str) -> tuple[Column, Column]:
+        total, count = sums_of(c)
+        known = {total, count} <= set(df.columns)
+        one = F.when(F.col(c).isNotNull(), 1)
+        return F.sum(F.coalesce(total, c) if known else c), F.coalesce(F.sum(F.coalesce(F.col(count), one) if known else one), F.lit(0)).cast("long")
+
     made = {
         FIRST: lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)),
         LAST: lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)),
         MAX: F.max,
         MIN: F.min,
-        MEAN: F.avg,
+        MEAN: lambda c: sums(c)[0] / sums(c)[1],
     }
-    return [made[rule](c).alias(c) for c, rule in model.items() if c in df.columns]
+    out = [made[rule](c).alias(c) for c, rule in model.items() if c in df.columns]
+    if keep_sums:
+        out += [x.alias(n) for c, rule in model.items() if rule == MEAN and c in df.columns for x, n in zip(sums(c), sums_of(c), strict=True)]
+    return out
 
 
 def seed_ohlc(df: DataFrame) -> DataFrame:
@@ -67,17 +83,18 @@ def bins(timeframe: str, time: str = "timestamp") -> Column:
     return F.timestamp_micros(micros - F.pmod(micros, F.lit(width))).cast("timestamp_ntz")
 
 
-def resample(df: DataFrame, timeframe: str, keys: Sequence[str] = ("asset_code",), model: dict[str, str] | None = None, tie: Sequence[str] = (), emit_empty_bins: bool = False) -> DataFrame:
+def resample(df: DataFrame, timeframe: str, keys: Sequence[str] = ("asset_code",), model: dict[str, str] | None = None, tie: Sequence[str] = (), emit_empty_bins: bool = False, keep_sums: bool = False) -> DataFrame:
     """Bars by key and bin; `timestamp` becomes the start of the bin.
 
     One hash aggregate with map-side combination and one shuffle on (keys, bin): no key is
     gathered, however many snapshots it has. Rows with a null key vanish. With
-    `emit_empty_bins` bins without rows between a key's first and last one appear with nulls.
+    `emit_empty_bins` bins without rows between a key's first and last one appear with nulls;
+    with `keep_sums` means come with their sums and counts, as merge_history() needs them.
     """
     keys = list(keys)
     model = {c: r for c, r in (model or model_of(df)).items() if c not in keys}
     rows = df.dropna(subset=keys) if keys else df
-    bars = rows.groupBy(*keys, bins(timeframe).alias("bin")).agg(*aggregates(df, model, ordering(df, tie))).withColumnRenamed("bin", "timestamp")
+    bars = rows.groupBy(*keys, bins(timeframe).alias("bin")).agg(*aggregates(df, model, ordering(df, tie), keep_sums)).withColumnRenamed("bin", "timestamp")
     if not emit_empty_bins:
         return bars
     ends = bars.groupBy(*keys).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
@@ -97,6 +114,10 @@ def last_update(history: DataFrame, kind: str = "asset_type") -> DataFrame:
 
 def merge_history(history: DataFrame, updates: DataFrame, timeframe: str, keys: Sequence[str] = ("asset_code",), model: dict[str, str] | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """History with updates merged in. Bins that updates touch are built again from the stored bar and the
-    updates; the others pass through. A mean over a stored mean is not exact: where a
-    model has means, touched bins should be given by all their raw rows."""
-    return resample(history.unionByName(updates, allowMissingColumns=True), timeframe, keys, model, tie)
+    updates; the others pass through. Means are exact, as bars keep their sums and counts; a
+    history that has means without them is refused."""
+    rules = model or model_of(history)
+    bare = [c for c, rule in rules.items() if rule == MEAN and c in history.columns and not set(sums_of(c)) <= set(history.columns)]
+    if bare:
+        raise ValueError(f"the history keeps no sums and counts of {bare}; see resample(keep_sums=True)")
+    return resample(history.unionByName(updates, allowMissingColumns=True), timeframe, keys, rules, tie, keep_sums=True)

@@ -11,17 +11,22 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from strikeflow.schema import COLUMNS, FUTURE, FUTURE_DEFAULT, OPTION, OPTION_DEFAULT, TEXT, TIMEFRAMES, struct
+from strikeflow.operators.resample import merge_history, sums_of
+from strikeflow.schema import COLUMNS, FUTURE, FUTURE_DEFAULT, MEAN, OPTION, OPTION_DEFAULT, TEXT, TIMEFRAMES, struct
+from strikeflow.sources.shared import shared_dir
 
 PARTITIONS = ("exchange_code", "base_asset_code", "asset_type", "timeframe", "year")
 
+#: Sums and counts that bars keep beside their means.
+MEAN_PARTS = [StructField(n, t) for c, (_, rule) in COLUMNS.items() if rule == MEAN for n, t in zip(sums_of(c), (DoubleType(), LongType()), strict=True)]
+
 #: Every column a history file may have; absent ones read as null, and a scan takes only what is asked.
-HISTORY = StructType([*struct(*(c for c in COLUMNS if c not in PARTITIONS)).fields, *(StructField(c, TEXT) for c in PARTITIONS[:-1]), StructField("year", IntegerType())])
+HISTORY = StructType([*struct(*(c for c in COLUMNS if c not in PARTITIONS)).fields, *MEAN_PARTS, *(StructField(c, TEXT) for c in PARTITIONS[:-1]), StructField("year", IntegerType())])
 
 #: Fixed value: names of update files.
-FILE_NAME = r"(\d{4}|\d{2})-(\d{2})-(\d{2})(?:T(\d{2})(?:-(\d{2}))?)?\.parquet$"
+FILE_NAME = r"(\d{4}|\d{2})-(\d{2})-(\d{2})(?:T(\d{2})(?:-(\d{2}))?)?\.parquet"
 
 
 def write_history(table: DataFrame, path: str, files_per_partition: int = 1) -> None:
@@ -81,7 +86,9 @@ def list_assets(table: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def list_years(table: DataFrame) -> DataFrame:
-    return table.select("base_asset_code", "asset_type", "timeframe", F.year("timestamp").alias("year")).distinct()
+    """Years that a history has; from its partition columns where it has them, so that no file's times are read."""
+    year = F.col("year") if "year" in table.columns else F.year("timestamp")
+    return table.select("base_asset_code", "asset_type", "timeframe", year.alias("year")).distinct()
 
 
 def assets_with_options(assets: DataFrame, options: DataFrame) -> DataFrame:
@@ -99,9 +106,16 @@ def update_bucket(time: Column, timeframe: str) -> Column:
     return F.concat(F.year(time).cast("string"), F.lit("/"), F.month(time).cast("string"), F.lit("/"), F.date_format(time, name))
 
 
+def write_updates(table: DataFrame, path: str, timeframe: str) -> None:
+    """Rows as update files below `path`, each named by the time of its rows."""
+    name = F.concat(F.element_at(F.split(update_bucket(F.col("timestamp"), timeframe), "/"), -1), F.lit(".parquet"))
+    table.withColumn("file", name).repartition("file").write.partitionBy("file").mode("append").parquet(path)
+
+
 def update_time(path: Column) -> Column:
     """Time in an update file's name; null if it is no update file."""
-    part = lambda k: F.regexp_extract(path, r"(?:^|/)" + FILE_NAME, k)
+    # What Spark writes under such a name is a folder of parts.
+    part = lambda k: F.regexp_extract(path, r"(?:^|/|/file=)" + FILE_NAME + r"(?:/part-[^/]*)?$", k)
     year = F.when(F.length(part(1)) == 2, F.concat(F.lit("20"), part(1))).otherwise(part(1))
     or_zero = lambda k: F.when(part(k) == "", "00").otherwise(part(k))
     text = F.concat(year, F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":00"))
@@ -118,3 +132,29 @@ def read_updates(spark: SparkSession, path: str, schema: StructType, start: date
     """Rows of all update files below `path` from `start` on; files are told by their names."""
     df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return df.withColumn("file_time", update_time(F.col("_metadata.file_path"))).where(F.col("file_time") >= F.lit(start)).drop("file_time")
+
+
+def merge_updates(spark: SparkSession, updates: str, history: str, timeframe: str, start: datetime, model: dict[str, str] | None = None, tie: Sequence[str] = (), staging: str | None = None) -> None:
+    """The nightly job: update files from `start` on, found by their names, become bars of their exchange, asset, kind, timeframe and year.
+
+    Only partitions that the updates touch are read and replaced; late rows change old years like new ones. The new
+    partitions are written to `staging` (a new folder in the shared one) before any old one goes,
+    so that a job that dies can be run again. Bars keep sums and counts of means.
+    """
+    schema = StructType([f for f in HISTORY.fields if f.name != "year"])
+    rows = read_updates(spark, updates, schema, start).withColumn("timeframe", F.lit(timeframe)).withColumn("year", F.year("timestamp"))
+    old = rows.limit(0)
+    if _exists(spark, history):
+        # As many rows as partitions that are touched
+        touched = rows.select(*PARTITIONS).distinct()
+        old = spark.read.schema(HISTORY).parquet(history).join(touched, list(PARTITIONS), "left_semi")
+    keys = [c for c in PARTITIONS if c != "year"] + ["asset_code"]
+    made = merge_history(old.select(*rows.columns), rows, timeframe, keys, model, tie)
+    staging = staging or shared_dir(spark, "staging")
+    made.write.parquet(staging)
+    write_history(spark.read.schema(made.schema).parquet(staging), history)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder there, as spark.checkpoint.dir says; only where nothing is set a temporary one is used."""
+    """A new folder there, as spark.checkpoint.dir says. Only a local run where nothing is set gets a temporary one:
+    elsewhere executors would write to their own disks."""
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strikeflow-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,6 +15,10 @@ from strikeflow.operators.resample import aggregates, merge_history, ordering
 from strikeflow.schema import GAP_SECONDS, TIMEFRAMES
 
 
+#: Tasks that write one year.
+YEAR_FILES = 16
+
+
 def snapshots(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
     """Arriving snapshot files as a stream; `event_time` is the timestamp in the type that watermarks need."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -41,6 +45,13 @@ def run_available(stream: DataFrame, checkpoint: str, path: str | None = None, b
     return query
 
 
+def ingest(stream: DataFrame, checkpoint: str, path: str, by: Sequence[str] = ("asset_type", "base_asset_code")) -> StreamingQuery:
+    """Every arriving row of a normalised book appended to the folder of its kind and asset; progress is in the checkpoint."""
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).partitionBy(*by).outputMode("append").format("parquet").start(path)
+    query.awaitTermination()
+    return query
+
+
 def merge_late(history_path: str, timeframe: str, keys: Sequence[str], model: dict[str, str], tie: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """A batch function that merges rows of any date into a yearly history: only the touched years are rebuilt and
     replaced. A batch that is run again gives the same bars where rules are first, last, max and min."""
@@ -59,7 +70,8 @@ def merge_late(history_path: str, timeframe: str, keys: Sequence[str], model: di
             made = merge_history(rows.drop("year").limit(0), rows.drop("year"), timeframe, keys, model, tie)
         # Replacing what is read needs the result first.
         made = made.withColumn("year", F.year("timestamp")).checkpoint()
-        made.repartition("year").write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(history_path)
+        salt = F.pmod(F.xxhash64(*keys), F.lit(YEAR_FILES))
+        made.repartition("year", salt).write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(history_path)
 
     return merge
 

@@ -198,3 +198,34 @@ def test_merge_twice_is_the_same(spark, tmp_path):
     merge(df.where("price >= 5"), 1)
     got = {r["timestamp"]: (r["open"], r["high"], r["close"]) for r in spark.read.parquet(str(tmp_path / "h")).collect()}
     assert got == {datetime(2024, 12, 31): (1.0, 1.0, 1.0), datetime(2025, 1, 1): (2.0, 5.0, 5.0)}
+
+
+def test_option_type_looks_ahead_from_its_letter(spark):
+    ids = {"SI65000BC9": "c", "SI65000BP5": "p", "SI65000CM280225": "c", "SI65000B": None, "SIC": None, "CSI1P": "c", None: None}
+    got = spark.createDataFrame([(k,) for k in ids], "id string").select("id", N.option_type_of(F.col("id")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in got} == ids
+
+
+def test_means_of_merged_bars_are_exact(spark):
+    rows = [("a", datetime(2024, 1, 1, h), float(v)) for h, v in ((1, 1), (2, 2), (3, 9), (4, 4))] + [("a", datetime(2024, 1, 1, 5), None)]
+    df = spark.createDataFrame(rows, "asset_code string, timestamp timestamp_ntz, iv double")
+    model = {"iv": "mean"}
+    old = R.resample(df.where(F.hour("timestamp") <= 3), "EOD", model=model, keep_sums=True)
+    merged = R.merge_history(old, df.where(F.hour("timestamp") > 3), "EOD", model=model).collect()
+    assert [(r["iv"], r["iv_sum"], r["iv_count"]) for r in merged] == [(4.0, 16.0, 4)]
+    with pytest.raises(ValueError, match="sums"):
+        R.merge_history(old.drop("iv_sum", "iv_count"), df, "EOD", model=model)
+
+
+def test_book_without_levels_is_one_row_of_nulls(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0]], [[3.0, 4.0], [5.0, 6.0]]), (2, [], [[1.0, 1.0]])], "id int, bids array<array<double>>, asks array<array<double>>")
+    got = {(r["id"], r["level"], r["bid_price"], r["ask_amount"]) for r in N.book_levels(df).collect()}
+    assert got == {(1, 0, 1.0, 4.0), (2, None, None, None)}
+
+
+def test_many_legs_meet_by_salt(spark):
+    chain = [("A", datetime(2024, 1, 1), datetime(2024, 2, 1), float(k), t, 5.0 + k / 100, 250.0) for k in (100, 200, 300) for t in ("c", "p")]
+    chains = spark.createDataFrame(chain, "base_asset_code string, timestamp timestamp_ntz, expiration_date timestamp_ntz, strike double, option_type string, price double, underlying_price double")
+    legs = spark.createDataFrame([("s", 0, 200.0, 1, "call"), ("s", 1, 200.0, -1, "put"), ("f", 0, 0.0, 2, "futures")], "strategy_id string, leg_idx int, strike double, lots int, type string")
+    both = [sorted(map(tuple, A.chain_payoff_legs(chains, legs, b).collect())) for b in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 9

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from strikeflow.llm import embedding_dedup as E
 
@@ -40,27 +41,50 @@ def test_audit(spark):
     x[1] = x[0] + [0, 0.1, 0, 0, 0, 0, 0, 0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, exact binary")
-    one = spark.createDataFrame([(0, 1)], "a long, b long")
-    assert E.audit_recall(nodes, one, nodes, 0.9) == 1.0
-    assert E.audit_recall(nodes, one.limit(0), nodes, 0.9) == 0.0
+    counts = spark.createDataFrame([(0, 1), (1, 1)], "node long, n long")
+    assert E.audit_recall(nodes, counts, nodes, 0.9) == 1.0
+    assert E.audit_recall(nodes, counts.limit(1), nodes, 0.9) == 0.5
+    assert E.audit_recall(nodes, counts.limit(0), nodes, 0.9) == 0.0
 
 
-def test_large_cluster_is_finished(spark):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("pairs", [15, 100])
+def test_isolated_pairs_are_found(spark, pairs):
+    rng = np.random.default_rng(pairs)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = rng.standard_normal((pairs, 64))
+    v -= (v * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[pairs : 2 * pairs] = 0.92 * x[:pairs] + np.sqrt(1 - 0.92**2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in E.embedding_near_dedup(df).where("n_links > 0").collect()}
+    assert all(r["n_links"] == 1 and r["component_id"] == i % pairs for i, r in got.items())
+    assert len(got) >= 0.97 * 2 * pairs
+
 
+@pytest.mark.parametrize(("dense", "block"), [(E.DENSE, E.DENSE_BLOCK), (40, 64)])
+def test_large_cluster_is_counted_in_full(spark, monkeypatch, dense, block):
+    monkeypatch.setattr(E, "DENSE", dense)
+    monkeypatch.setattr(E, "DENSE_BLOCK", block)
     rng = np.random.default_rng(8)
-    x = rng.standard_normal(16) + 0.1 * rng.standard_normal((1500, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    vectors = spark.createDataFrame([(i, bytearray(v.astype(np.float16).tobytes())) for i, v in enumerate(x)], "node long, vec binary")
+    x = np.concatenate([rng.standard_normal(24) + 0.2 * rng.standard_normal((1000, 24)), rng.standard_normal((300, 24))])
+    x[7] = x[9]
     near = brute(None, x, 0.95)
-    some = [(i, [(int(j), float(x[i] @ x[j]), False) for j in rng.permutation(np.flatnonzero(near[i]))[: E.DENSE]]) for i in range(len(x))]
-    lists = spark.createDataFrame(some, "a long, list array<struct<b: long, sim: float, new: boolean>>")
-    dense = np.array([len(v) >= E.DENSE for _, v in some])
-    rows = E._dense_pairs(lists, vectors, 0.95).where(F.col("sim") >= 0.951).toPandas()
-    want = np.triu((x @ x.T >= 0.952) & dense[:, None] & dense[None, :], 1)
-    assert dense.sum() > 1000 and (rows["a"] < rows["b"]).all() and not rows.duplicated(["a", "b"]).any()
-    assert {*zip(*(v.tolist() for v in np.nonzero(want)), strict=True)} <= {*zip(rows["a"], rows["b"], strict=True)}
-    assert E._dense_pairs(lists.limit(0), vectors, 0.95) is None
+    # A cosine of 0.95 within rounding may fall on either side.
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert not (np.abs(u @ u.T - 0.95) < 1e-12).any()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in E.embedding_near_dedup(df, 0.95).collect()}
+    links, want = np.array([got[i]["n_links"] for i in range(len(x))]), near.sum(1)
+    assert (links <= want).all() and links.sum() >= 0.97 * want.sum() and want.max() > 300
+    many = want >= 1.2 * dense
+    assert many.sum() > 100 and (links[many] >= 0.97 * want[many]).all()
+
+
+def test_trees():
+    linked = np.zeros((9, 9), bool)
+    for a, b in ((8, 3), (3, 5), (5, 0), (1, 7), (7, 2)):
+        linked[a, b] = linked[b, a] = True
+    assert E._trees(linked).tolist() == [0, 1, 1, 0, 4, 0, 6, 1, 0]
 
 
 def test_few_vectors_in_many_partitions(spark):

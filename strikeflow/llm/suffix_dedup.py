@@ -163,12 +163,18 @@ def _sorted_buckets(size: int, keep_first: bool):
         t = t.take(pa.array(order))
         text, starts, seg, place = _windows(t, size)
         bucket = np.unique(t["anchor"].to_numpy(), return_inverse=True)[1]
-        order, shared = suffix_order(np.lib.stride_tricks.sliding_window_view(text, size)[starts], bucket[seg])
-        factor = np.zeros(len(order), np.int64)
+        # A window whose fingerprint stands once in its bucket has no factor of `size` bytes: only the others are sorted.
+        total, inverse = _prefix(text)
+        mark = mix((total[starts + size] - total[starts]) * inverse[starts]) + bucket[seg].astype(U64) * BASE
+        _, back, seen = np.unique(mark, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(seen[back] > 1)
+        order, shared = suffix_order(np.lib.stride_tricks.sliding_window_view(text, size)[starts[some]], bucket[seg[some]])
+        order = some[order]
+        factor = np.zeros(len(seg), np.int64)
         # The table is in the order of places.
         factor[order] = previous_factors(order, shared)
         if not keep_first:
-            later = np.zeros(len(order), np.int64)
+            later = np.zeros(len(seg), np.int64)
             later[order] = previous_factors(-order, shared)
             factor = np.maximum(factor, later)
         first, last = _runs(factor >= size, seg)
@@ -232,8 +238,11 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     and text (binary), a stored table; a row's text starts at byte `base`, and a row may come in parts that are apart."""
     spark = docs.sparkSession
     segments = stored(docs.mapInArrow(_segments(size), "row long, doc_id long, s0 long, s1 long, anchor long, print long"), "segments")
-    place = F.struct("doc_id", "row", "s0", "s1")
-    kinds = segments.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    place = ("doc_id", "row", "s0", "s1")
+    # The first copy only matters where it stays; otherwise any stands for its kind, which needs no sorting.
+    one = [F.min(F.struct(*place)).alias("one")] if keep_first else [F.first(c).alias(c) for c in place]
+    kinds = segments.groupBy("anchor", "print").agg(F.count("*").alias("n"), *one)
+    kinds = kinds if keep_first else kinds.select("anchor", "print", "n", F.struct(*place).alias("one"))
     anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least"))
     kinds = stored(kinds.join(anchors.where("total > 1"), "anchor"), "kinds")
     release(spark)
@@ -249,10 +258,10 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     open_ = kinds.where("kinds > 1" if keep_first else "kinds > 1 and least = 1")
     wanted = open_.select("one.row", F.struct("one.s0", "one.s1", "anchor", (F.col("kinds") > BUCKET_MAX).alias("hot")).alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
     wanted = stored(wanted, "wanted")
-    asked = id_filter(wanted.select("row"), "row")
+    asked, bits = id_filter(wanted.select("row"), "row")
     parts = docs.where(asked("row")).join(wanted, "row").select("doc_id", "row", "base", "text", "wanted")
     parts = stored(parts.mapInArrow(_cut_out(size), "doc_id long, row long, s0 long, s1 long, anchor long, hot boolean, bytes binary"), "suffixes")
-    release(spark, kinds, wanted)
+    release(spark, kinds, wanted, bits)
     found = "row long, first long, last long"
     cool = parts.where("not hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(size, keep_first), found)
 
@@ -304,6 +313,9 @@ def _removed(size: int, least: int):
             rows = []
             for text, found, shorter in zip(*(piece.column(c) for c in ("text", "found", "shorter")), strict=True):
                 raw = text.as_py() or b""
+                if not found.is_valid and not shorter.is_valid:
+                    rows.append((len(raw), 0, 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode()))
+                    continue
                 out = _covered(found.as_py(), len(raw), size)
                 again = _covered(shorter.as_py(), len(raw), least) if shorter.is_valid else out
                 data = np.frombuffer(raw, np.uint8)[~out].tobytes() if found.is_valid else raw
@@ -336,10 +348,17 @@ def suffix_dedup(docs: DataFrame, size: int = 400, keep_first: bool = True, leas
     found, shorter = short, short.select("row", F.col("found").alias("shorter"))
     if least < size:
         # A repeat of `size` bytes lies within what repeats of `least` bytes cover.
-        asked = id_filter(short.select("row"), "row")
+        asked, bits = id_filter(short.select("row"), "row")
         parts = docs.where(asked("row")).join(short, "row").select("row", "doc_id", "text", "found")
         parts = stored(parts.mapInArrow(_fragments(size, least), "row long, doc_id long, base long, text binary"), "fragments")
+        release(docs.sparkSession, bits)
         found = repeated_windows(parts, size, keep_first)
         release(docs.sparkSession, parts)
     spans = found.join(shorter, "row", "full") if least < size else found.withColumn("shorter", F.lit(None).cast(found.schema["found"].dataType))
-    return docs.join(spans, "row", "left").select("row", "doc_id", "text", "found", "shorter").mapInArrow(_removed(size, least), _OUT)
+    # Rows without repeats are not exchanged.
+    asked, _ = id_filter(short.select("row"), "row")
+    docs = docs.withColumn("asked", asked("row"))
+    kind = short.schema["found"].dataType
+    whole = docs.where("not asked").select("row", "doc_id", "text", F.lit(None).cast(kind).alias("found"), F.lit(None).cast(kind).alias("shorter"))
+    cut = docs.where("asked").join(spans, "row", "left").select("row", "doc_id", "text", "found", "shorter")
+    return whole.unionAll(cut).mapInArrow(_removed(size, least), _OUT)

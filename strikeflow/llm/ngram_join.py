@@ -340,14 +340,15 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     cells = spark.sparkContext.broadcast((freq, total / CELLS))
     packed = docs.select("text").mapInArrow(_prefixes(n, num, den, parts, salted, cells), "part int, grams binary, salts binary, nodes binary, sizes binary, positions binary")
     buckets = stored(packed.groupBy("part").applyInArrow(_shared(num, den), "gram long, node long, size int, pos int, members int, pivot long"), "ngram-buckets")
-    release(spark)
+    release(spark, cells)
+    del freq
 
     members = buckets.select("node").unionAll(buckets.select("pivot").where("pivot is not null"))
     asked = spark.sparkContext.broadcast(id_bits(members, F.col("node")))
     named = docs.where("text is not null").select("text").mapInArrow(_texts_of(n, asked), "node long, size int, ranges binary, text string")
     # The filter may let others pass.
     texts = stored(named.join(members.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
-    release(spark)
+    release(spark, asked)
 
     # First every row against its bucket's pivot: that settles nearly all.
     first = buckets.where("pivot is not null")

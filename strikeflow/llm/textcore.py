@@ -6,6 +6,7 @@ small whatever the batch size is; one text is never cut here.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 #: Bits of the filters of ids (8 MB), whatever the number of ids.
@@ -177,7 +179,7 @@ def id_bits(ids, hashed) -> np.ndarray:
 
 def id_filter(ids, column: str):
     """A function of a column that is true for all the given ids and false for most others, to spare rows an
-    exchange before they are joined with the ids. When the filter fills, it lets more rows pass."""
+    exchange before they are joined with the ids, and the broadcast that it reads. When the filter fills, it lets more rows pass."""
     shared = ids.sparkSession.sparkContext.broadcast(id_bits(ids, F.xxhash64(column)))
 
     @F.pandas_udf("boolean")
@@ -185,15 +187,20 @@ def id_filter(ids, column: str):
         at = at.to_numpy()
         return pd.Series((shared.value[at >> 3] >> (at & 7) & 1) > 0)
 
-    return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)))
+    return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))), shared
 
 
-def release(spark, *frames) -> None:
-    """Removes the files of frames made by stored() that nothing reads any more, and lets Spark drop the shuffle
+def release(spark, *done) -> None:
+    """Removes the files of frames made by stored(), and broadcasts, that nothing reads any more, and lets Spark drop the shuffle
     files of finished steps: these go when the driver's JVM collects its garbage, which a mostly idle
     driver may not do before executors' disks fill."""
     jvm = spark.sparkContext._jvm
+    frames = [x for x in done if not isinstance(x, Broadcast)]
+    for x in done:
+        if isinstance(x, Broadcast):
+            x.destroy()
     for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
     jvm.System.gc()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from strikeflow.llm.bpe import PIECE, ranks
 from strikeflow.llm.textcore import U64, mix, pieces, stored
@@ -54,6 +55,8 @@ def _sequences(path: str, pattern: str, length: int, end: int):
     def run(batches):
         task, at_row = TaskContext.get().partitionId(), 0
         r = ranks(path, pattern)
+        if max(len(r.size) - 1, end) > 0xFFFF:
+            raise ValueError("ids of this rank file do not fit in 16 bits")
         for piece in pieces(batches, limit=PIECE):
             ids, at = r.encode(piece.column("text"))
             # One end token after each text
@@ -104,8 +107,13 @@ def _pack(length: int, end: int):
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, length: int = SEQUENCE, end: int = 50256) -> DataFrame:
-    """The sequences of all documents, written once: (task, nth) numbers them without gaps in a task."""
+    """The sequences of all documents, written once: (task, nth) numbers them without gaps in a task, and tasks in the order of
+    doc_id (null first), then of the text's hash. So the numbers in a row do not hang on how the input is split."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # The last key only spreads rows that are alike.
+    order = ("doc_id", F.xxhash64("text"), F.monotonically_increasing_id())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.repartitionByRange(parts, *order).sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
     return stored(docs.mapInArrow(_sequences(path, pattern, length, end), "task int, nth long, doc_id long, part int, n_tokens int, tokens binary"), "sequences")
 
 
@@ -132,8 +140,8 @@ def token_shards(docs: DataFrame, path: str, pattern: str, key: int = 1, length:
     little-endian unsigned 16-bit ids, each padded to `length` with `end`; doc_ids, parts and n_tokens
     tell for each slot what it holds. Null and empty texts are one sequence of
     the end token; null doc_ids stay null, repeated rows are sequences of their own, other columns
-    are ignored, an empty table gives no shards. The order depends on the key, the texts and
-    how the input is split into tasks; it is fixed once the sequences are written.
+    are ignored, an empty table gives no shards. The order depends on the key, the ids and the texts alone, so that a job that
+    is run again on another cluster resumes the same one. See write_shards() for files.
     """
     spark = docs.sparkSession
     s = slotted(tokenised(docs, path, pattern, length, end), key).withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
@@ -142,9 +150,66 @@ def token_shards(docs: DataFrame, path: str, pattern: str, key: int = 1, length:
     return ordered.mapInArrow(_pack(length, end), _SHARDS)
 
 
+def _written(folder: str):
+    from pyarrow import fs
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            names = []
+            for shard, payload in zip(b.column("shard").to_pylist(), b.column("payload"), strict=True):
+                name = f"shard-{shard:010d}.bin"
+                known = store.get_file_info(f"{root}/{name}")
+                if known.size != len(payload.as_py()):
+                    # Under its own name only when it is whole; an attempt that is run again writes the same bytes.
+                    part = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}"
+                    with store.open_output_stream(part) as out:
+                        out.write(payload.as_buffer())
+                    store.move(part, f"{root}/{name}")
+                names.append(name)
+            yield pa.record_batch([*(b.column(c) for c in b.schema.names if c != "payload"), pa.array(names)], names=[*(c for c in b.schema.names if c != "payload"), "file"])
+
+    return run
+
+
+def write_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard of token_shards() as a file of n_sequences * stride bytes in `folder` - a URI that driver and
+    executors share - and returns the index: the shards without payloads, with the name of their `file`. Files that
+    are there in full are kept, so that a job that stopped goes on where it was."""
+    schema = StructType([*(f for f in shards.schema.fields if f.name != "payload")]).add("file", StringType())
+    index = shards.mapInArrow(_written(folder), schema)
+    at = f"{folder.rstrip('/')}/_index"
+    index.write.mode("overwrite").parquet(at)
+    return shards.sparkSession.read.schema(schema).parquet(at)
+
+
+def _read_ranges(folder: str, first: int, count: int):
+    from pyarrow import fs
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name, at, n, stride in zip(*(b.column(c).to_pylist() for c in ("file", "first_slot", "n_sequences", "stride")), strict=True):
+                a, z = max(first, at), min(first + count, at + n)
+                with store.open_input_file(f"{root}/{name}") as f:
+                    f.seek((a - at) * stride)
+                    raw = f.read((z - a) * stride)
+                yield pa.record_batch([pa.array(range(a, z), pa.int64()), pa.array([raw[k * stride : (k + 1) * stride] for k in range(z - a)], pa.binary())], names=["slot", "tokens"])
+
+    return run
+
+
+def read_files(index: DataFrame, folder: str, first: int, count: int) -> DataFrame:
+    """(slot, tokens): `count` slots from `first` on, padded as stored. Of each file that has some only
+    one range of bytes is read."""
+    inside = index.where((F.col("first_slot") < first + count) & (F.col("first_slot") + F.col("n_sequences") > first))
+    return inside.select("file", "first_slot", "n_sequences", "stride").mapInArrow(_read_ranges(folder, first, count), "slot long, tokens binary")
+
+
 def read_slots(shards: DataFrame, first: int, count: int, shard: int = SHARD) -> DataFrame:
-    """(slot, doc_id, part, tokens): `count` slots from `first` on. Only the shards that hold them are read,
-    and in those only the bytes at the slots' offsets."""
+    """(slot, doc_id, part, tokens): `count` slots from `first` on, from the rows of token_shards(); payloads of shards that hold
+    none of them are not read. See read_files() for files."""
     inside = shards.where(F.col("shard").between(first // shard, (first + count - 1) // shard))
     each = inside.select("first_slot", "stride", "payload", F.posexplode(F.arrays_zip("doc_ids", "parts", "n_tokens")).alias("k", "what"))
     slot = F.col("first_slot") + F.col("k")

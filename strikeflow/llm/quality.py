@@ -9,6 +9,8 @@ documents and then scores every whole document in parallel.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 from strikeflow.llm.textcore import LOWER, SPACED, U64, buffers, mix, pieces, run_hashes, spans
 
 PASSAGE_WORDS = 64
-#: Labelled documents that the net is fitted on, and passages of one of them.
-SAMPLE_DOCS = 4000
-SAMPLE_PASSAGES = 64
+#: Labelled documents that the net is fitted on, fewer if these have more passages in all than that: bounds what the driver holds.
+#: A document counts with all of its passages.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 100_000
 BIGRAMS = 192
 HIDDEN, GATE = 32, 16
 
@@ -135,10 +137,7 @@ class Net:
 def _encoded(batches):
     for piece in pieces(batches):
         x, at = passages(piece.column("text"))
-        rows = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            take = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).round().astype(int))
-            rows.append(x[take].astype(np.float16).tobytes())
+        rows = [x[a:b].astype(np.float16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.record_batch([piece.column("doc_id"), piece.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
 
@@ -152,19 +151,29 @@ def _scored(net: Net | None, column: str):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE_DOCS) -> Net | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE_DOCS, passages_bound: int = SAMPLE_PASSAGES) -> Net | None:
     """The net, fitted on at most `sample` documents whose labels satisfy the column `usable`
-    (they are picked by a hash of doc_id); None if there are none of both kinds. Rows with null doc_id or quality are not used;
+    (they are picked by a hash of doc_id, as many as have `passages_bound` passages; a document is used whole); None if there are none of both kinds. Rows with null doc_id or quality are not used;
     of repeated labels the least counts."""
     labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` rows of 12 bytes: safe to broadcast at any input size.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
-    seen = {r["doc_id"]: (r["quality"], np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float32)) for r in rows.mapInArrow(_encoded, "doc_id long, quality int, x binary").toLocalIterator()}
+    coded = rows.mapInArrow(_encoded, "doc_id long, quality int, x binary").select("*", F.xxhash64("doc_id").alias("h"))
+    seen, held, total = {}, [], 0
+    for r in coded.toLocalIterator():
+        if r["doc_id"] in seen:
+            continue
+        seen[r["doc_id"]] = (r["quality"], np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH))
+        heapq.heappush(held, (-r["h"], r["doc_id"]))
+        total += len(seen[r["doc_id"]][1])
+        # Of too many passages those of the documents go that were picked last.
+        while total > passages_bound and len(held) > 2:
+            total -= len(seen.pop(heapq.heappop(held)[1])[1])
     if len({q for q, _ in seen.values()}) < 2:
         return None
     order = sorted(seen)
-    return Net().fit([seen[k][1] for k in order], np.array([seen[k][0] for k in order], np.float32))
+    return Net().fit([seen[k][1].astype(np.float32) for k in order], np.array([seen[k][0] for k in order], np.float32))
 
 
 def quality_scores(docs: DataFrame, net: Net | None, column: str = "score") -> DataFrame:

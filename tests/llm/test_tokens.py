@@ -87,3 +87,37 @@ def test_shards(spark, library, odd_docs, no_docs):
     some = T.read_slots(shards, 10, 20, 16).orderBy("slot").collect()
     assert [(r["doc_id"], r["part"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in some] == held[10:30]
     assert T.token_shards(no_docs, PATH, P.PATTERN).count() == 0
+
+
+def test_slots_follow_the_permutation_however_rows_are_split(spark, library, odd_docs):
+    rows = [(r["doc_id"], r["text"] or "") for r in odd_docs.collect()]
+    a, b = (
+        {(r["first_slot"] + k): (d, p, n) for r in T.token_shards(df, PATH, P.PATTERN, key=9, length=64, shard=16).collect() for k, (d, p, n) in enumerate(zip(r["doc_ids"], r["parts"], r["n_tokens"], strict=True))}
+        for df in (odd_docs.coalesce(1), odd_docs.repartition(7))
+    )
+    assert a == b
+    # Sequences in the order of ids, nulls first; texts of one id go by hash, and here these are alike or have one sequence.
+    count = [(d, -(-(len(library.encode_ordinary(t)) + 1) // 64)) for d, t in rows]
+    back = T.permute(np.arange(len(a)), len(a), 9)
+    ordered = [a[int(s)][0] for s in back]
+    assert ordered == sorted(ordered, key=lambda d: (d is not None, d or 0))
+    assert len(ordered) == sum(n for _, n in count)
+    for doc in {d for d, _ in rows}:
+        parts = [a[int(s)][1] for s in back if a[int(s)][0] == doc]
+        assert sorted(parts) == sorted(p for d, n in count if d == doc for p in range(n))
+
+
+def test_shard_files(spark, odd_docs, tmp_path):
+    shards = T.token_shards(odd_docs, PATH, P.PATTERN, key=5, length=64, shard=16)
+    folder = f"file://{tmp_path}/shards"
+    index = T.write_shards(shards, folder)
+    want = b"".join(r["payload"] for r in shards.orderBy("shard").collect())
+    files = sorted((tmp_path / "shards").glob("shard-*.bin"))
+    assert b"".join(f.read_bytes() for f in files) == want and len(files) == index.count() > 2
+    got = T.read_files(index, folder, 10, 20).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(10, 30)) and b"".join(r["tokens"] for r in got) == want[10 * 128 : 30 * 128]
+    # A job that is run again keeps whole files and makes the others anew.
+    files[0].write_bytes(b"cut")
+    kept = files[1].stat().st_mtime_ns
+    T.write_shards(shards, folder)
+    assert b"".join(f.read_bytes() for f in files) == want and files[1].stat().st_mtime_ns == kept

@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A text is reduced to its words; hundreds of regexes look for license names, notices and
-tags in the words. Most texts are settled by the keyword prefilter: a rule
+tags in the words: names with their versions follow from a list of licenses (_rules), sentences of notices are written out (NOTICES). Most texts are settled by the keyword prefilter: a rule
 is tried only where all its keywords stand in the text, be it inside longer words. Every match
 of a rule holds all its keywords, so that the prefilter drops none. Overlapping detections are
 resolved by priority and interval containment: a detection that lies within a kept one of
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeflow.llm.license_notices import NOTICES
 from strikeflow.llm.textcore import ALNUM, LOWER, buffers, pieces, spans
 
 #: The three phrases that are always counted.
@@ -127,6 +128,8 @@ def _rules() -> list[tuple[str, str, tuple[str, ...], int]]:
     rule("licensed", r"\blicensed under the\b", "licensed under", HINT)
     rule("licensed", r"\bsee (?:the )?licen[cs]e (?:file )?for details\b", "details", HINT)
     rule("licensed", r"\bterms and conditions of the licen[cs]e\b", "terms conditions", HINT)
+    for label, pattern, keywords in NOTICES:
+        rule(label, pattern, keywords)
     for phrase, label in BASE.items():
         rule(label, rf"\b{phrase}\b", phrase, NAMED + 20)
     for label in ("mit", "isc", "zlib", "unlicense", "wtfpl", "vim", "ruby", "cc0 1 0", "bsl 1 0", "ncsa", "postgresql", "openssl", "curl", "x11", "ftl", "ijg", "libpng", "tcl", "w3c", "xnet", "zlib acknowledgement", "json", "icu", "hpnd", "intel", "naist 2003", "upl 1 0", "blueoak 1 0 0", "0bsd"):

@@ -224,3 +224,129 @@ def test_licenses_without_gates(spark, monkeypatch):
     assert got == want and all(want[:11])
     base = [{label for phrase, label in BASE.items() if f" {phrase} " in f" {' '.join(w)} "} for w in words]
     assert {r["doc_id"]: r["labels"] for r in rows} == {i: ",".join(sorted(b | {label for *_, label, _ in w})) for i, (b, w) in enumerate(zip(base, want, strict=True))}
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", {"apache-2.0"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", {"mit"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"bsd-3-clause"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}),
+        ("redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", {"gpl-3-or-later", "gpl"}),
+        ("You should have received a copy of the GNU Affero General Public License along with this program.", {"agpl", "gpl"}),
+        ("SPDX-License-Identifier: BSD-3-Clause", {"bsd-3-clause"}),
+        ("This work is licensed under CC BY-SA 4.0", {"cc-by", "cc-by-sa-4.0"}),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", {"ofl-1.1"}),
+        ("released under the Beerware License", {"beerware"}),
+        ("a story about people, apache country and public places", set()),
+        ("permission to enter the general area", set()),
+    ],
+)
+def test_labels_of_known_notices(text, labels):
+    got = {label for *_, label, _ in detect(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(FOLD)))}
+    # Base labels stay beside wider ones.
+    assert got == labels
+
+
+def test_language_against_plain_sums(spark, make_prose):
+    """Profiles and scores by loops over letters and n-grams."""
+    import numpy as np
+
+    from strikeflow.llm import language_id as L
+
+    rng = random.Random(12)
+    rows = [(i, make_prose(rng, rng.randint(3, 30)) + rng.choice(["", " Ünïcode É", " 12, x"]), rng.choice(["en", "fr"])) for i in range(24)] + [(90, "", "en"), (91, "5 6", "fr"), (92, None, "en")]
+    dim = 128
+
+    def vector(text):
+        letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else " " for c in text or "")
+        s = " " + " ".join(letters.split()) + " " if letters.strip() else ""
+        out = np.zeros(dim)
+        code = lambda c: L.letter_vectors(np.array([0 if c == " " else ord(c)]), dim)[0].astype(int)
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            out += np.roll(code(a), 2) * np.roll(code(b), 1) * code(c)
+        return out
+
+    made = {i: vector(t) for i, t, _ in rows}
+    learn = {k: sum(made[i] for i, t, lang in rows if lang == k and i % 4 and t is not None) for k in ("en", "fr")}
+    cos = lambda x, y: x @ y / (np.linalg.norm(x) * np.linalg.norm(y))
+    got = {r["doc_id"]: r for r in identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 4 == 0, dim).collect()}
+    for i, x in made.items():
+        if not x.any():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        score = {k: cos(x, y) for k, y in learn.items()}
+        best = max(score, key=score.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - max(0, score[best])) < 1e-6
+
+
+def test_attention_against_plain_loops():
+    """The net's score by loops over passages and units."""
+    import math
+
+    import numpy as np
+
+    from strikeflow.llm.quality import WIDTH, Net
+
+    rng = np.random.default_rng(4)
+    net, at = Net(3), np.array([0, 1, 4, 9])
+    x = rng.standard_normal((9, WIDTH)).astype(np.float32)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for k, got in enumerate(net.score(x, at)):
+        hidden, weight = [], []
+        for row in x[at[k] : at[k + 1]]:
+            h = [math.tanh(sum(float(v) * p["w"][i][j] for i, v in enumerate(row)) + p["b"][j]) for j in range(len(p["b"]))]
+            gate = 0.0
+            for g in range(p["v"].shape[1]):
+                t = math.tanh(sum(h[j] * p["v"][j][g] for j in range(len(h))))
+                s = 1 / (1 + math.exp(-sum(h[j] * p["u"][j][g] for j in range(len(h)))))
+                gate += t * s * p["a"][g][0]
+            hidden.append(h)
+            weight.append(math.exp(gate))
+        z = [sum(w * h[j] for w, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(len(p["b"]))]
+        logit = sum(a * b for a, b in zip(z, p["c"][:, 0], strict=True)) + p["d"][0]
+        assert abs(got - 1 / (1 + math.exp(-logit))) < 1e-5
+
+
+def test_leaks_against_all_windows(spark, make_prose):
+    """By the exact TF-IDF cosine of every window; common words, repeated words and paraphrases included."""
+    import numpy as np
+
+    from strikeflow.llm import decontaminate as D
+
+    rng = random.Random(31)
+    bases = [make_prose(rng, rng.randint(8, 40)) for _ in range(12)] + ["the of and to in is that for it as", "again again again again word word word again again word"]
+    docs = []
+    for i in range(60):
+        parts = [make_prose(rng, rng.randint(0, 80))]
+        if i % 2:
+            w = rng.choice(bases).split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "changed"
+            parts += [" ".join(w), make_prose(rng, rng.randint(0, 20))]
+        docs.append((i, " ".join(parts)))
+    df, items = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(list(enumerate(bases)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, items).collect()}
+    idf, most = D.inverse_frequencies(df.select("text"))
+    import pyarrow as pa
+
+    want, sure = set(), set()
+    for i, text in docs:
+        h, bounds = D.words_of(pa.array([text]))
+        for k, base in enumerate(bases):
+            p, _ = D.words_of(pa.array([base]))
+            light = D._is_light(p, idf, most)
+            a, b, _ = D._windows(bounds, D._fits(len(p)))
+            for x, y in zip(a, b, strict=True):
+                window = h[x:y]
+                if not D.is_leak(p.tolist(), window.tolist())[2]:
+                    continue
+                want.add((i, k))
+                both = np.unique(np.concatenate([p, window]))
+                u, v = (np.array([(q == w).sum() * idf[D._cells(np.array([w]))][0] for w in both], float) for q in (p, window))
+                if light or u @ v >= (D.COSINE + 1e-3) * np.linalg.norm(u) * np.linalg.norm(v):
+                    sure.add((i, k))
+    assert len(sure) > 20 and sure <= got <= want

@@ -237,12 +237,16 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     """(row, found): the runs of window starts that are to be removed, as an array of (first, last), stored. `docs` has row, doc_id, base
     and text (binary), a stored table; a row's text starts at byte `base`, and a row may come in parts that are apart."""
     spark = docs.sparkSession
+    if not keep_first:  # then the order of documents does not matter
+        docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
     segments = stored(docs.mapInArrow(_segments(size), "row long, doc_id long, s0 long, s1 long, anchor long, print long"), "segments")
-    place = ("doc_id", "row", "s0", "s1")
-    # The first copy only matters where it stays; otherwise any stands for its kind, which needs no sorting.
-    one = [F.min(F.struct(*place)).alias("one")] if keep_first else [F.first(c).alias(c) for c in place]
+    # The first copy only matters where it stays; otherwise any stands for its kind, which needs no sorting. A segment is shorter than `size`.
+    span = F.col("s0") * size + F.col("s1") - F.col("s0")
+    one = [F.min(F.struct("doc_id", "row", "s0", "s1")).alias("one")] if keep_first else [F.first("row").alias("row"), F.first(span).alias("span")]
     kinds = segments.groupBy("anchor", "print").agg(F.count("*").alias("n"), *one)
-    kinds = kinds if keep_first else kinds.select("anchor", "print", "n", F.struct(*place).alias("one"))
+    if not keep_first:
+        s0 = F.expr(f"span div {size}")
+        kinds = kinds.select("anchor", "print", "n", F.struct("row", s0.alias("s0"), (s0 + F.col("span") % size).alias("s1")).alias("one"))
     anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least"))
     kinds = stored(kinds.join(anchors.where("total > 1"), "anchor"), "kinds")
     release(spark)

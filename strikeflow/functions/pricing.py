@@ -84,11 +84,12 @@ def with_greeks(df: DataFrame) -> DataFrame:
 
 
 def realized_volatility(spot: DataFrame, lookback: int = 30, by: str = "asset_code") -> DataFrame:
-    """Per asset the sample deviation of its last `lookback` log returns, of a year; null with fewer than `lookback` prices."""
-    order = Window.partitionBy(by).orderBy("timestamp")
+    """Per asset the sample deviation of its last `lookback` log returns, of a year; null with fewer than `lookback` prices.
+    Every task keeps its newest prices of an asset only, so that no history is exchanged."""
     newest = Window.partitionBy(by).orderBy(F.desc("timestamp"))
-    before = F.lag("price").over(order)
-    df = spot.withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before))).withColumn("nth", F.row_number().over(newest))
+    last = spot.select(by, "timestamp", "price").withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= lookback + 1)
+    before = F.lead("price").over(Window.partitionBy(by).orderBy("nth"))
+    df = last.withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before)))
     made = df.groupBy(by).agg(F.count("*").alias("prices"), F.stddev_samp(F.when(F.col("nth") <= lookback, F.col("ret"))).alias("dev"))
     return made.select(by, F.when(F.col("prices") >= lookback, F.col("dev") * math.sqrt(TRADING_DAYS)).alias("volatility"))
 

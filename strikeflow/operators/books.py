@@ -79,12 +79,12 @@ def keep_listed(df: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:
 
 
 def quote_table(levels: DataFrame) -> DataFrame:
-    """Calls and puts of the top of book side by side. `levels`: underlying_index, expiration_date, strike, option_type, level,
+    """Calls and puts of the top of book side by side, in one aggregate with map-side combination; a contract is at most once at
+    the top. `levels`: underlying_index, expiration_date, strike, option_type, level,
     bid_price, ask_price, underlying_price, settlement_price."""
-    top = levels.where("level = 0")
     keys = ["underlying_index", "expiration_date", "strike"]
-    side = lambda t, n: top.where(F.col("option_type") == t).select(*keys, *(F.col(c).alias(f"{c}_{n}") for c in ("bid_price", "ask_price", "underlying_price", "settlement_price")))
-    both = side("c", "call").join(side("p", "put"), keys, "full")
+    sides = [F.max(F.when(F.col("option_type") == t, F.col(c))).alias(f"{c}_{n}") for t, n in (("c", "call"), ("p", "put")) for c in ("bid_price", "ask_price", "underlying_price", "settlement_price")]
+    both = levels.where("level = 0 and option_type in ('c', 'p')").groupBy(*keys).agg(*sides)
     u = F.coalesce("underlying_price_call", "underlying_price_put")
     return both.select(*keys, "bid_price_call", "ask_price_call", "bid_price_put", "ask_price_put", u.alias("underlying_price"), (u * F.col("settlement_price_call")).alias("settlement_usd_call"), (u * F.col("settlement_price_put")).alias("settlement_usd_put"))
 

@@ -16,26 +16,26 @@ from strikeflow.schema import AT_THE_MONEY, CALL, CHAIN, IN_THE_MONEY, OUT_OF_TH
 ASSET = "base_asset_code"
 
 
+def _first(rows: DataFrame, order: Column) -> DataFrame:
+    """Per asset the rows that come first in the order, ties included. Tasks drop what is not first among
+    their own rows before the exchange."""
+    return rows.withColumn("_rank", F.rank().over(Window.partitionBy(ASSET).orderBy(order))).where("_rank = 1").drop("_rank")
+
+
 def select_chain(options: DataFrame, settlement: datetime | None = None, expiration: datetime | None = None) -> DataFrame:
     """Per asset the rows of the settlement time (default: the newest) and the nearest expiration not before it (or a given one).
 
-    Two small aggregates - assets by time, then by expiry - joined back; history is never sorted."""
-    if settlement is None:
-        times = options.groupBy(ASSET).agg(F.max("timestamp").alias("timestamp"))
-    else:
-        times = options.where(F.col("timestamp") == F.lit(settlement)).select(ASSET, "timestamp").distinct()
-    now = options.join(times, [ASSET, "timestamp"], "left_semi").where("expiration_date >= timestamp")
+    The table is read once: the newest rows of each task and asset meet in one exchange, where the nearest expiry is picked, too."""
+    now = book_at(options, settlement).where("expiration_date >= timestamp")
     if expiration is not None:
         return now.where(F.col("expiration_date") == F.lit(expiration))
-    nearest = now.groupBy(ASSET, "timestamp").agg(F.min("expiration_date").alias("expiration_date"))
-    return now.join(nearest, [ASSET, "timestamp", "expiration_date"], "left_semi")
+    return _first(now, F.asc("expiration_date"))
 
 
 def book_at(table: DataFrame, settlement: datetime | None = None) -> DataFrame:
     """Rows of one settlement time per asset (default: the newest)."""
-    if settlement is not None:
-        return table.where(F.col("timestamp") == F.lit(settlement))
-    return table.join(table.groupBy(ASSET).agg(F.max("timestamp").alias("timestamp")), [ASSET, "timestamp"], "left_semi")
+    table = table.dropna(subset=[ASSET, "timestamp"])
+    return _first(table, F.desc("timestamp")) if settlement is None else table.where(F.col("timestamp") == F.lit(settlement))
 
 
 def chain_faults(candidates: DataFrame, by: Sequence[str] = (ASSET,)) -> DataFrame:

@@ -95,3 +95,9 @@ def test_few_vectors_in_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_a_cosine_of_just_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [2.9999, 4.0]), (4, [-1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.6).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (0, 4)}

@@ -11,7 +11,8 @@ gives the copies that come after. The suffix order is only built where repeats c
    a kind that occurs twice is repeated throughout, an anchor that occurs once has no repeats.
 2. The different kinds around one anchor are put in suffix order, bucket by bucket; the order's common
    prefixes and its previous and next smaller positions give the factors.
-3. Buckets with more than BUCKET_MAX kinds are split further, into one bucket for each different window. All
+3. Buckets with more than BUCKET_MAX kinds are split further: by the bytes around the anchor, of classes of WIDTH windows, and
+   what is then still different into one bucket for each different window. All
    suffixes of such a bucket share `size` bytes, so that the factor is full for all but the
    first; no bucket is gathered, only counted.
 """
@@ -31,6 +32,8 @@ from strikeflow.llm.textcore import BASE, U64, buffers, id_filter, mix, numbered
 GRAM = 32
 BLOCK = 1 << 19
 BUCKET_MAX = 512
+#: Offsets of the anchor that a class of windows of a hot bucket spans.
+WIDTH = 16
 #: Suffixes that are sorted together.
 BATCH_STARTS = 1 << 15
 
@@ -199,6 +202,38 @@ def _sorted_buckets(size: int, keep_first: bool):
     return run
 
 
+def _classes(size: int):
+    """Segments cut where the anchor's offset in the window passes a multiple of WIDTH. All windows of such a class hold the same bytes
+    around the anchor, all but WIDTH - 1 of a window's: their hash is the new anchor, which equal windows share."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                t = pa.Table.from_batches([b.slice(at, 512)]).combine_chunks()
+                text, starts, seg, place = _windows(t, size)
+                _, ends = buffers(t["bytes"])
+                total, inverse = _prefix(text)
+                n = len(text) - GRAM + 1
+                own = np.repeat(np.arange(t.num_rows), np.diff(ends))[:n]
+                anchor = t["anchor"].to_numpy().view(U64)
+                hit = np.flatnonzero(mix((total[GRAM:] - total[:-GRAM]) * inverse[:n]) == anchor[own])
+                # Of equal grams the first is the anchor.
+                p = hit[np.unique(own[hit], return_index=True)[1]][seg]
+                c = (p - starts) // WIDTH
+                first = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (c[1:] != c[:-1])))
+                last = np.append(first[1:], len(seg)) - 1
+                a, z, core = starts[first], starts[last] + size, p[first] - c[first] * WIDTH
+                key = mix(mix((total[core + size - WIDTH + 1] - total[core]) * inverse[core]) + mix(anchor[seg[first]] + c[first].astype(U64)))
+                mark = mix(mix((total[z] - total[a]) * inverse[a]) + mix((p[first] - a).astype(U64)) + (last - first).astype(U64) * BASE)
+                raw = text.tobytes()
+                for k in range(0, len(first), 4096):
+                    w, s = slice(k, k + 4096), seg[first[k : k + 4096]]
+                    cols = [t["doc_id"].combine_chunks().take(pa.array(s)), pa.array(t["row"].to_numpy()[s]), pa.array(place[first[w]]), pa.array(place[last[w]]), pa.array(key[w].view(np.int64)), pa.array(mark[w].view(np.int64)), pa.array([raw[x:y] for x, y in zip(a[w].tolist(), z[w].tolist(), strict=True)], pa.binary())]
+                    yield pa.record_batch(cols, names=["doc_id", "row", "s0", "s1", "anchor", "print", "bytes"])
+
+    return run
+
+
 def _window_prints(size: int):
     """Each window start of a segment with a fingerprint of its bytes."""
 
@@ -269,24 +304,39 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     found = "row long, first long, last long"
     cool = parts.where("not hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(size, keep_first), found)
 
-    marks = stored(parts.where("hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes").mapInArrow(_window_prints(size), "doc_id long, row long, first long, print long"), "windows")
+    # Hot buckets by class: again equal ones count as one, and only different ones around the same bytes are taken window by window.
+    hot = parts.where("hot").select("doc_id", "row", "s0", "s1", "anchor", "bytes")
+    classes = stored(hot.mapInArrow(_classes(size), "doc_id long, row long, s0 long, s1 long, anchor long, print long, bytes binary"), "classes")
+    alike = classes.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s0")).alias("one"))
+    alike = stored(alike.join(alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")), "anchor"), "alike")
+    again = classes.join(alike.where("n > 1").select("anchor", "print", "one"), ["anchor", "print"])
+    if keep_first:
+        again = again.where((F.col("row") != F.col("one.row")) | (F.col("s0") != F.col("one.s0")))
+    equal = again.select("row", F.col("s0").alias("first"), F.col("s1").alias("last"))
+    single = alike.where("kinds > 1" if keep_first else "kinds > 1 and least = 1").select("anchor", "print", "one.row", "one.s0")
+    single = classes.join(single, ["anchor", "print", "row", "s0"], "left_semi").select("doc_id", "row", "s0", "s1", "anchor", "bytes")
+    marks = stored(single.mapInArrow(_window_prints(size), "doc_id long, row long, first long, print long"), "windows")
     seen = marks.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "first")).alias("one")).where("n > 1")
     hot = marks.join(seen, "print")
     if keep_first:
         hot = hot.where((F.col("row") != F.col("one.row")) | (F.col("first") != F.col("one.first")))
-    runs = whole.unionAll(cool).unionAll(hot.select("row", "first", F.col("first").alias("last")))
+    runs = whole.unionAll(cool).unionAll(equal).unionAll(hot.select("row", "first", F.col("first").alias("last")))
     out = stored(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found")), "found")
-    release(spark, whole, parts, marks)
+    release(spark, whole, parts, classes, alike, marks)
     return out
 
 
-def _covered(found, n: int, reach: int) -> np.ndarray:
-    """Which of n bytes are reached from the window starts of the given runs."""
-    hit = np.zeros(n + 1, np.int32)
-    for f in found or ():
-        hit[f["first"]] += 1
-        hit[f["last"] + reach] -= 1
-    return np.cumsum(hit[:-1]) > 0
+def _runs_of(column: pa.Array):
+    """A function of a row and a length that gives which bytes are reached from the window starts of the row's runs."""
+    first, last = (column.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+    at = column.offsets.to_numpy()
+
+    def covered(k: int, n: int, reach: int) -> np.ndarray:
+        a, b = at[k], at[k + 1]
+        hit = np.bincount(first[a:b], minlength=n + 1) - np.bincount(last[a:b] + reach, minlength=n + 1)
+        return np.cumsum(hit[:n]) > 0
+
+    return covered
 
 
 def _fragments(size: int, least: int):
@@ -295,9 +345,10 @@ def _fragments(size: int, least: int):
     def run(batches):
         for piece in pieces(batches):
             out = []
-            for row, doc_id, text, found in zip(*(piece.column(c) for c in ("row", "doc_id", "text", "found")), strict=True):
+            covered = _runs_of(piece.column("found"))
+            for k, (row, doc_id, text) in enumerate(zip(*(piece.column(c) for c in ("row", "doc_id", "text")), strict=True)):
                 raw, row, doc_id = text.as_py(), row.as_py(), doc_id.as_py()
-                starts = _covered(found.as_py(), len(raw), 1)
+                starts = covered(k, len(raw), 1)
                 for a, b in zip(*(x.tolist() for x in _runs(starts, np.zeros(len(raw), np.int8))), strict=True):
                     if b + least - a >= size:
                         out.append((row, doc_id, a, raw[a : b + least]))
@@ -315,13 +366,14 @@ def _removed(size: int, least: int):
     def run(batches):
         for piece in pieces(batches):
             rows = []
-            for text, found, shorter in zip(*(piece.column(c) for c in ("text", "found", "shorter")), strict=True):
+            by_size, by_least = _runs_of(piece.column("found")), _runs_of(piece.column("shorter"))
+            for k, (text, found, shorter) in enumerate(zip(*(piece.column(c) for c in ("text", "found", "shorter")), strict=True)):
                 raw = text.as_py() or b""
                 if not found.is_valid and not shorter.is_valid:
                     rows.append((len(raw), 0, 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode()))
                     continue
-                out = _covered(found.as_py(), len(raw), size)
-                again = _covered(shorter.as_py(), len(raw), least) if shorter.is_valid else out
+                out = by_size(k, len(raw), size)
+                again = by_least(k, len(raw), least) if shorter.is_valid else out
                 data = np.frombuffer(raw, np.uint8)[~out].tobytes() if found.is_valid else raw
                 spans = int((out[1:] & ~out[:-1]).sum() + (len(out) > 0 and out[0]))
                 rows.append((len(raw), int(out.sum()), spans, int(again.sum()), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "ignore")))

@@ -42,3 +42,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
             assert out.count() <= df.count(), name
             if name != P.STAGES[-1][0]:
                 assert out.columns == df.columns, name
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, make_prose):
+    import random
+
+    rng = random.Random(2)
+    w = make_prose(rng, 120).split()
+    near = lambda: " ".join([*w[:-1], make_prose(rng, 1)])
+    other = make_prose(rng, 80)
+    rows = [(None, near()), (None, near()), (5, near()), (7, near()), (7, other), (9, other), (None, "x y z a b c d"), (None, "x y z a b c d"), (3, None), (4, ""), (4, "")]
+    df = spark.createDataFrame([(*r, i, i * 2, "v") for i, r in enumerate(rows)], "doc_id long, text string, row long, row_ long, kept_text string").coalesce(1)
+    got = P.near_duplicates(spark, df, SF).collect()
+    assert sorted(r["row"] for r in got) == [2, 4, 6, 8, 9, 10]
+    assert all(r["row_"] == 2 * r["row"] and r["kept_text"] == "v" and r["text"] == rows[r["row"]][1] for r in got)
+
+
+def test_values_of_clashing_columns_survive(spark, make_prose):
+    import random
+
+    rng = random.Random(4)
+    shared = make_prose(rng, 70)
+    texts = [f"{make_prose(rng, 20)} {shared} {make_prose(rng, 20)}" for _ in range(3)] + [None]
+    df = spark.createDataFrame([(i, t, len(t or ""), i + 50, f"k{i}", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, row long, kept_text string, score double").coalesce(1)
+    for stage in (P.repeated_passages, P.decontaminated, P.quality):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert {(r["doc_id"], r["row"], r["kept_text"], r["score"]) for r in out.collect()} <= {(i, i + 50, f"k{i}", 0.5) for i in range(4)}
+    cut = {r["doc_id"]: r["text"] for r in P.repeated_passages(spark, df, SF).collect()}
+    assert cut[0] == texts[0] and shared not in cut[1] and shared not in cut[2] and cut[3] is None

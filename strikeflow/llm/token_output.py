@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from strikeflow.llm.bpe import PIECE, ranks
-from strikeflow.llm.textcore import U64, mix, pieces, stored
+from strikeflow.llm.textcore import U64, mix, pieces, release, stored
 
 SEQUENCE = 512
 SHARD = 1024
@@ -114,7 +114,9 @@ def tokenised(docs: DataFrame, path: str, pattern: str, length: int = SEQUENCE,
     order = ("doc_id", F.xxhash64("text"), F.monotonically_increasing_id())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.repartitionByRange(parts, *order).sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
-    return stored(docs.mapInArrow(_sequences(path, pattern, length, end), "task int, nth long, doc_id long, part int, n_tokens int, tokens binary"), "sequences")
+    out = stored(docs.mapInArrow(_sequences(path, pattern, length, end), "task int, nth long, doc_id long, part int, n_tokens int, tokens binary"), "sequences")
+    release(docs.sparkSession)
+    return out
 
 
 def slotted(sequences: DataFrame, key: int) -> DataFrame:

@@ -81,6 +81,7 @@ def option_type_of(contract: Column) -> Column:
 
 
 def underlying_id(code: Column, kind: Column) -> Column:
+    # Fixed value: the suffix of such ids.
     return F.concat(code, F.lit("."), F.upper(kind), F.lit("/MOEX"))
 
 

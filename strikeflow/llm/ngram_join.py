@@ -77,12 +77,12 @@ def _signatures(n: int):
             held.append(_cell(grams))
             got += len(grams)
             if got > 1 << 22:
-                cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
+                np.add.at(cells, np.concatenate(held), 1)
                 held, got = [], 0
             k = piece.num_rows
             yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(_nodes(grams, bounds)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "cells"])
         if held:
-            cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
+            np.add.at(cells, np.concatenate(held), 1)
         used = [(i, np.minimum(c, 65535).astype(np.uint16)) for i, c in enumerate(np.split(cells, SLICES)) if c.any()]
         if used:
             k = len(used)

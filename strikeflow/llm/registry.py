@@ -15,6 +15,7 @@ from strikeflow.llm.ngram_join import ngram_jaccard_join
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
 from strikeflow.llm.token_output import token_shards
+from strikeflow.llm.word_bpe import word_bpe_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +78,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op12_word_bpe": op12_word_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op1_token_output": op1_token_output,

@@ -12,6 +12,7 @@ from strikeflow.llm.embedding_dedup import embedding_near_dedup
 from strikeflow.llm.language_id import identify_language
 from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
+from strikeflow.llm.periodic import periodic_runs, run_digests, with_periodic_tails
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
 from strikeflow.llm.token_output import token_shards
@@ -84,7 +85,12 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_word_bpe": op12_word_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_decontamination": op7_decontamination,

@@ -147,3 +147,23 @@ def test_op10(spark, documents):
         assert letters or r["lang_pred"] == "und"
         held += r["held_out"] and letters and r["lang_pred"] != d["lang"]
     assert held <= 0.05 * sum(r["held_out"] for r in got)
+
+
+def test_op11(spark, documents):
+    from test_periodic import contract
+
+    got = {r["doc_id"]: tuple(r.values()) for r in run(spark, "op11_periodic_runs")}
+    assert set(got) == set(documents)
+    # The plain search takes the square of a text's words.
+    short = [k for k, r in documents.items() if len((r["text"] or "").split()) <= 1500]
+    assert len(short) > 150 and all(got[k] == contract(k, documents[k]["text"]) for k in short)
+
+
+def test_op12(spark, documents):
+    import public_tokenizers
+    from test_word_bpe import expected
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = sorted((tuple(r.values()) for r in run(spark, "op12_word_bpe")), key=str)
+    assert got == expected(library, [(k, r["text"]) for k, r in documents.items()])

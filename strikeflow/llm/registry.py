@@ -9,6 +9,7 @@ from strikeflow.llm.bpe import bpe_round_trip
 from strikeflow.llm.chat_format import conversation_digests, log_of, reconstruct
 from strikeflow.llm.decontaminate import find_leaks
 from strikeflow.llm.embedding_dedup import embedding_near_dedup
+from strikeflow.llm.hard_negatives import hard_negatives
 from strikeflow.llm.language_id import identify_language
 from strikeflow.llm.licenses import scan_licenses
 from strikeflow.llm.ngram_join import ngram_jaccard_join
@@ -89,7 +90,24 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+#: The same rows by comparing every anchor with every vector.
+HARD_NEGATIVES = """WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN (SELECT * FROM s WHERE NOT same) n USING (anchor_id) WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+
 QUERIES = {
+    "op13_hard_negatives": op13_hard_negatives,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_word_bpe": op12_word_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -100,4 +118,4 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op10_language_id": op10_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_byte_bpe": op6_byte_bpe, "op8_suffix_dedup": op8_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op13_hard_negatives": HARD_NEGATIVES}

@@ -167,3 +167,20 @@ def test_op12(spark, documents):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = sorted((tuple(r.values()) for r in run(spark, "op12_word_bpe")), key=str)
     assert got == expected(library, [(k, r["text"]) for k, r in documents.items()])
+
+
+def test_op13(spark):
+    """The rows that the SQL gives, and those of the plain version."""
+    import duckdb
+    from test_hard_negatives import plain
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = duck.execute(R.ORACLES["op13_hard_negatives"])
+    names = [c[0] for c in want.description]
+    want = sorted(want.fetchall())
+    got = R.QUERIES["op13_hard_negatives"](spark, SF)
+    assert [t for _, t in got.select(names).dtypes] == ["bigint", "bigint", "int", "bigint", "bigint", "bigint"]
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    changed = [(r["vec_id"], r["embedding"], r["label"] if r["vec_id"] % 7 else (r["label"] + 1) % 10) for r in rows]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == want == plain(changed)

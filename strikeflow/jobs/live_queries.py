@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strikeflow.jobs import views as V
 from strikeflow.functions import normalize as N
-from strikeflow.jobs.catalog import BOOK, BOOK_SQL, OHLC, SPLIT, _bars_sql, _raw_book, query
+from strikeflow.jobs.catalog import BOOK, BOOK_SQL, KEYS, NEWEST, OHLC, SPLIT, _bars_sql, _raw_book, query
+from strikeflow.operators import chain as C
 from strikeflow.operators import resample as R
 from strikeflow.schema import CHAIN
 from strikeflow.sources import history as H
@@ -45,35 +47,75 @@ def priced_options_year(spark, d):
     return H.load_options(spark, path, (*CHAIN, "option_type", "strike", "price"), year=YEAR)
 
 
-#: Rows of updates: quotes at the first three days of a quarter; some come in late.
-NIGHT = datetime(1998, 1, 1)
-UPDATES = f"""{V.QUOTES}, updates AS (SELECT base_asset_code, base_asset_code || '-' || option_type AS asset_code, CAST(date_trunc('quarter', original_timestamp) + to_days(CAST(l_linenumber % 3 AS INTEGER)) AS TIMESTAMP) AS timestamp,
-  original_timestamp, premium AS price, volume, bid AS iv FROM quotes)"""
+#: Update rows: quotes at the first three days of a quarter, at midnight and noon. A quarter of those of the last day before a night come a night late; others,
+#: of days that are long over, come in the last night and are not taken, as they lie before its start.
+NIGHTS = (datetime(1997, 1, 1), datetime(1998, 1, 1))
+LATE = "l_suppkey % 4 = 0 AND timestamp >= TIMESTAMP '{0}-10-03' AND timestamp < TIMESTAMP '{1}-01-01'"
+TOO_LATE = "l_suppkey % 4 = 1 AND timestamp < TIMESTAMP '1995-01-01'"
+UPDATES = f"""{V.QUOTES}, updates AS (SELECT base_asset_code, base_asset_code || '-' || option_type AS asset_code, CAST(date_trunc('quarter', original_timestamp) + to_days(CAST(l_linenumber % 3 AS INTEGER)) + to_hours(CAST(12 * (l_orderkey % 2) AS INTEGER)) AS TIMESTAMP) AS timestamp,
+  original_timestamp, premium AS price, volume, bid AS iv, l_suppkey FROM quotes)"""
+ORDER = "(timestamp, original_timestamp, price, volume)"
 
 
 @query(
-    f"""WITH {UPDATES} SELECT base_asset_code, asset_code, timestamp, CAST(year(timestamp) AS INTEGER) AS year, arg_max(price, (original_timestamp, price, volume)) AS price, arg_max(volume, (original_timestamp, price, volume)) AS volume,
-      round(avg(iv), 6) AS iv, count(iv) AS iv_count FROM updates WHERE year(timestamp) BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3"""
+    f"""WITH {UPDATES} SELECT base_asset_code, asset_code, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS timestamp, CAST(year(timestamp) AS INTEGER) AS year, arg_min(price, {ORDER}) AS open, max(price) AS high, min(price) AS low, arg_max(price, {ORDER}) AS close,
+      arg_max(price, {ORDER}) AS price, arg_max(volume, {ORDER}) AS volume, round(avg(iv), 6) AS iv, count(iv) AS iv_count FROM updates WHERE NOT ({TOO_LATE}) GROUP BY 1, 2, 3, 4"""
 )
 def nightly_merge(spark, d):
-    """Two nights: update files found by their names, from a start on, become daily bars of each exchange, asset, kind and year;
-    the second night brings late rows of old years as well. Means stay exact."""
+    """Three nights over one growing folder of update files: each finds its start in the history and takes files that are new from there on.
+    Bars, first and last prices and means are those of all rows that were taken, each once, though bins are touched twice."""
     q = V.quotes(spark, d)
-    day = F.expr("cast(cast(date_trunc('quarter', original_timestamp) as timestamp_ntz) + make_dt_interval(l_linenumber % 3) as timestamp_ntz)")
+    time = F.expr("cast(cast(date_trunc('quarter', original_timestamp) as timestamp_ntz) + make_dt_interval(l_linenumber % 3, 12 * (l_orderkey % 2)) as timestamp_ntz)")
     rows = q.select(
-        F.lit("x").alias("exchange_code"), "base_asset_code", F.lit("o").alias("asset_type"), F.lit("1m").alias("timeframe"), F.concat_ws("-", "base_asset_code", "option_type").alias("asset_code"), day.alias("timestamp"), "original_timestamp",
-        F.col("premium").alias("price"), "volume", F.col("bid").alias("iv"), (F.col("l_suppkey") % 4 == 0).alias("late"),
+        F.lit("x").alias("exchange_code"), "base_asset_code", F.lit("o").alias("asset_type"), F.concat_ws("-", "base_asset_code", "option_type").alias("asset_code"), time.alias("timestamp"), "original_timestamp",
+        F.col("premium").alias("price"), "volume", F.col("bid").alias("iv"), "l_suppkey",
     )
-    first = (F.col("timestamp") < F.lit(NIGHT)) & ~F.col("late")
-    history = shared_dir(spark, "history")
-    model = {"original_timestamp": "last", "price": "last", "volume": "last", "iv": "mean"}
-    for night, some in (("one", rows.where(first)), ("two", rows.where(~first))):
-        updates = shared_dir(spark, f"updates-{night}")
-        H.write_updates(some.drop("late"), updates, "EOD")
-        # Two-digit years of names are of this century.
-        H.merge_updates(spark, updates, history, "EOD", datetime(2096, 1, 1), model, ("price", "volume"))
-    made = spark.read.schema(H.HISTORY).parquet(history)
-    return made.select("base_asset_code", "asset_code", "timestamp", "year", "price", "volume", F.round("iv", 6).alias("iv"), "iv_count")
+    after = sum((F.when(F.col("timestamp") >= F.lit(n), 1).otherwise(0) for n in NIGHTS), F.lit(0))
+    late = F.expr(LATE.format(1996, 1997)) | F.expr(LATE.format(1997, 1998))
+    night = F.when(F.expr(TOO_LATE), 2).otherwise(after + F.when(late, 1).otherwise(0))
+    rows = rows.withColumn("night", night).drop("l_suppkey")
+    model = {"original_timestamp": "last", "open": "first", "high": "max", "low": "min", "close": "last", "price": "last", "volume": "last", "iv": "mean"}
+    history, updates = shared_dir(spark, "history"), shared_dir(spark, "updates")
+    for k in range(3):
+        H.write_updates(rows.where(F.col("night") == k).drop("night"), f"{updates}/1h", "1h", digits=4)
+        H.merge_updates(spark, updates, history, "EOD", model=model, tie=("price", "volume"), ohlc=True)
+    made = H.nightly(spark, history).read(H.HISTORY)
+    return made.select("base_asset_code", "asset_code", "timestamp", "year", "open", "high", "low", "close", "price", "volume", F.round("iv", 6).alias("iv"), "iv_count")
+
+
+def _kept_history(spark, d, file_rows: int = 0):
+    """Options in a history with a catalogue, written in two changes, in files of up to so many rows."""
+    table = H.nightly(spark, shared_dir(spark, "history"))
+    o = V.enriched(spark, d).withColumns({"exchange_code": F.lit("x"), "timeframe": F.lit("EOD"), "asset_type": F.lit("o"), "year": F.year("timestamp")})
+    for k, part in enumerate((o.where(F.col("year") < YEAR), o.where(F.col("year") >= YEAR))):
+        table.write(part, f"part-{k}", file_rows=file_rows)
+    return table
+
+
+@query(f"WITH {V.OPTIONS} SELECT base_asset_code, 'o' AS asset_type, 'EOD' AS timeframe, CAST(year(timestamp) AS INTEGER) AS year, count(*) AS rows, CAST(min(timestamp) AS TIMESTAMP) AS first, CAST(max(timestamp) AS TIMESTAMP) AS last, max(max(timestamp)) OVER () AS last_update FROM options GROUP BY 1, 4")
+def history_catalogue(spark, d):
+    """Assets, years and extents of a written history, and the time from which updates are to be merged: from its catalogue, no file of the history is opened."""
+    table = _kept_history(spark, d)
+    catalogue = table.partitions()
+    return catalogue.select("base_asset_code", "asset_type", "timeframe", "year", "rows", "first", "last", F.lit(H.last_update_of(catalogue, "EOD")).cast("timestamp_ntz").alias("last_update"))
+
+
+@query(f"WITH {V.ENRICHED}, {NEWEST} SELECT {KEYS}, option_type, strike, price, underlying_price, price_status FROM chains")
+def newest_chain_of_history(spark, d):
+    """The newest chain of each asset from a written history: only the partitions with an asset's newest time are listed and read."""
+    table = _kept_history(spark, d)
+    schema = StructType([*(f for f in H.HISTORY.fields if f.name in (*CHAIN, "option_type", "strike", "price", "underlying_price", "price_status")), *(f for f in H.HISTORY.fields if f.name in ("year",))])
+    rows = table.read(schema, H.newest_partitions(table.partitions(), "o", "EOD"))
+    return C.select_chain(rows).select(*CHAIN, "option_type", "strike", "price", "underlying_price", "price_status")
+
+
+@query(f"WITH {V.OPTIONS} SELECT base_asset_code, CAST(year(timestamp) AS INTEGER) AS year, count(*) AS rows, sum(volume) AS volume, 1::BIGINT AS files FROM options GROUP BY 1, 2")
+def compacted_history(spark, d):
+    """A history of many small files, packed into one file for each partition; rows are the same."""
+    table = _kept_history(spark, d, 50)
+    table.compact(H.HISTORY, 1, 1 << 27, "compaction")
+    files = table.partitions().select("base_asset_code", "year", "files")
+    return table.read(H.HISTORY).groupBy("base_asset_code", "year").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume")).join(files, ["base_asset_code", "year"])
 
 
 @query(BOOK_SQL)
@@ -123,15 +165,26 @@ def stream_without_repeats(spark, d):
     return spark.read.schema(made.schema).parquet(path)
 
 
-@query(f"WITH {V.TICKS} {_bars_sql(1440)}")
+LATE_BARS = "asset_code string, timestamp timestamp_ntz, open double, high double, low double, close double, price double, iv double, iv_sum double, iv_count long, year int"
+
+
+@query(f"WITH {V.TICKS}, b AS ({_bars_sql(1440)}), m AS (SELECT asset_code, time_bucket(INTERVAL '1440 minutes', timestamp, TIMESTAMP '2000-01-01') AS timestamp, round(avg(price), 6) AS mean FROM ticks GROUP BY 1, 2) SELECT * FROM b JOIN m USING (asset_code, timestamp)")
 def late_merge(spark, d):
-    """Late rows merged into the yearly history of bars: first the one half of the events, then the other."""
+    """Late rows merged into the yearly history of bars: first the one half of the events, then the other as a stream; batches that come again count once, means included."""
     path = shared_dir(spark, "history")
-    merge = L.merge_late(path, "EOD", ["asset_code"], OHLC, ("event_id",))
-    t = R.seed_ohlc(V.ticks(spark, d))
-    merge(t.where(F.col("timestamp") < F.lit(SPLIT)), 0)
-    L.run_available(R.seed_ohlc(_stream(spark, d)).where(F.col("timestamp") >= F.lit(SPLIT)), shared_dir(spark, "progress"), batch=merge)
-    return spark.read.parquet(path).select("asset_code", "timestamp", "open", "high", "low", "close", "price")
+    merge = L.merge_late(path, "EOD", ["asset_code"], OHLC | {"iv": "mean"}, ("event_id",))
+    seeded = lambda df: R.seed_ohlc(df).withColumn("iv", F.col("price"))
+    first = seeded(V.ticks(spark, d)).where(F.col("timestamp") < F.lit(SPLIT))
+    merge(first, -1)
+    merge(first, -1)
+
+    def twice(batch, number):
+        merge(batch, number)
+        merge(batch, number)
+
+    L.run_available(seeded(_stream(spark, d)).where(F.col("timestamp") >= F.lit(SPLIT)), shared_dir(spark, "progress"), batch=twice)
+    made = L.late_history(spark, path).read(spark.createDataFrame([], LATE_BARS).schema)
+    return made.withColumn("mean", F.round("iv", 6)).select("asset_code", "timestamp", "open", "high", "low", "close", "price", "mean")
 
 
 GAPS = f"{V.TICKS}, s AS (SELECT DISTINCT asset_code, timestamp FROM ticks), g AS (SELECT asset_code, timestamp, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY asset_code ORDER BY timestamp))) / 1000000.0 AS seconds FROM s)"

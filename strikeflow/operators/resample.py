@@ -55,9 +55,14 @@ def aggregates(df: DataFrame, model: dict[str, str], order: Column, keep_sums: b
     return out
 
 
-def seed_ohlc(df: DataFrame) -> DataFrame:
-    """open, high, low and close from the price, where they are absent."""
-    return df.withColumns({c: F.col("price") for c in ("open", "high", "low", "close") if c not in df.columns})
+PRICES = ("open", "high", "low", "close")
+
+
+def seed_ohlc(df: DataFrame, model: dict[str, str] | None = None) -> DataFrame:
+    """open, high, low and close from the price, where they are absent; with a model, those that it has, and where they are null."""
+    if model is None:
+        return df.withColumns({c: F.col("price") for c in PRICES if c not in df.columns})
+    return df.withColumns({c: F.coalesce(c, "price") if c in df.columns else F.col("price") for c in PRICES if c in model})
 
 
 def infer_keys(df: DataFrame) -> list[str]:
@@ -89,12 +94,19 @@ def resample(df: DataFrame, timeframe: str, keys: Sequence[str] = ("asset_code",
     One hash aggregate with map-side combination and one shuffle on (keys, bin): no key is
     gathered, however many snapshots it has. Rows with a null key vanish. With
     `emit_empty_bins` bins without rows between a key's first and last one appear with nulls;
-    with `keep_sums` means come with their sums and counts, as merge_history() needs them.
+    with `keep_sums` means come with their sums and counts, as merge_history() needs them. Rows of more than one
+    asset_code in a bar are an error, told by the same pass (see mixed_groups() for which they are).
     """
     keys = list(keys)
     model = {c: r for c, r in (model or model_of(df)).items() if c not in keys}
     rows = df.dropna(subset=keys) if keys else df
-    bars = rows.groupBy(*keys, bins(timeframe).alias("bin")).agg(*aggregates(df, model, ordering(df, tie), keep_sums)).withColumnRenamed("bin", "timestamp")
+    made = aggregates(df, model, ordering(df, tie), keep_sums)
+    guarded = "asset_code" in df.columns and "asset_code" not in keys
+    if guarded:
+        made.append((F.min("asset_code") < F.max("asset_code")).alias("_mixed"))
+    bars = rows.groupBy(*keys, bins(timeframe).alias("bin")).agg(*made).withColumnRenamed("bin", "timestamp")
+    if guarded:
+        bars = bars.withColumn("timestamp", F.when(F.col("_mixed"), F.raise_error(F.lit("rows of more than one asset_code in a bar"))).otherwise(F.col("timestamp"))).drop("_mixed")
     if not emit_empty_bins:
         return bars
     ends = bars.groupBy(*keys).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))

@@ -1,21 +1,22 @@
 """Reading and writing histories and updates.
 
 Layout of histories: exchange / asset / kind / timeframe / year as partition columns, so that a
-read prunes to what it needs. Updates are many small files whose names carry their time.
+read prunes to what it needs. Updates are many small files whose names carry their time. The history that the nightly job
+keeps has the same partitions in versions (see versions.py), with a catalogue of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from strikeflow.operators.resample import merge_history, sums_of
+from strikeflow.operators.resample import bins, model_of, resample, seed_ohlc, sums_of
 from strikeflow.schema import COLUMNS, FUTURE, FUTURE_DEFAULT, MEAN, OPTION, OPTION_DEFAULT, TEXT, TIMEFRAMES, struct
-from strikeflow.sources.shared import shared_dir
+from strikeflow.sources.versions import Versions
 
 PARTITIONS = ("exchange_code", "base_asset_code", "asset_type", "timeframe", "year")
 
@@ -86,7 +87,7 @@ def list_assets(table: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def list_years(table: DataFrame) -> DataFrame:
-    """Years that a history has; from its partition columns where it has them, so that no file's times are read."""
+    """Years that a table has; from its `year` column where it has one: given a catalogue (see nightly()), nothing of the history is read."""
     year = F.col("year") if "year" in table.columns else F.year("timestamp")
     return table.select("base_asset_code", "asset_type", "timeframe", year.alias("year")).distinct()
 
@@ -106,10 +107,11 @@ def update_bucket(time: Column, timeframe: str) -> Column:
     return F.concat(F.year(time).cast("string"), F.lit("/"), F.month(time).cast("string"), F.lit("/"), F.date_format(time, name))
 
 
-def write_updates(table: DataFrame, path: str, timeframe: str) -> None:
-    """Rows as update files below `path`, each named by the time of its rows."""
-    name = F.concat(F.element_at(F.split(update_bucket(F.col("timestamp"), timeframe), "/"), -1), F.lit(".parquet"))
-    table.withColumn("file", name).repartition("file").write.partitionBy("file").mode("append").parquet(path)
+def write_updates(table: DataFrame, path: str, timeframe: str, digits: int = 2) -> None:
+    """Rows as update files below `path`, each named by the time of its rows, with the year in two or four digits."""
+    name = F.element_at(F.split(update_bucket(F.col("timestamp"), timeframe), "/"), -1)
+    century = F.substring(F.year("timestamp").cast("string"), 1, digits - 2)
+    table.withColumn("file", F.concat(century, name, F.lit(".parquet"))).repartition("file").write.partitionBy("file").mode("append").parquet(path)
 
 
 def update_time(path: Column) -> Column:
@@ -128,33 +130,100 @@ def updates_since(files: DataFrame, start: datetime, timeframe: str, path: str =
     return files.withColumn("file_time", update_time(F.col(path))).where((F.col("file_time") >= F.lit(start)) & (minutes <= TIMEFRAMES[timeframe]))
 
 
-def read_updates(spark: SparkSession, path: str, schema: StructType, start: datetime) -> DataFrame:
-    """Rows of all update files below `path` from `start` on; files are told by their names."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    return df.withColumn("file_time", update_time(F.col("_metadata.file_path"))).where(F.col("file_time") >= F.lit(start)).drop("file_time")
+def nightly(spark: SparkSession, path: str) -> Versions:
+    """The history that merge_updates() keeps below `path`."""
+    return Versions(spark, path, StructType([f for f in HISTORY.fields if f.name in PARTITIONS]))
 
 
-def merge_updates(spark: SparkSession, updates: str, history: str, timeframe: str, start: datetime, model: dict[str, str] | None = None, tie: Sequence[str] = (), staging: str | None = None) -> None:
-    """The nightly job: update files from `start` on, found by their names, become bars of their exchange, asset, kind, timeframe and year.
+def _of_timeframe(catalogue: DataFrame, kind: str | None = None, timeframe: str | None = None) -> DataFrame:
+    df = catalogue if kind is None else catalogue.where(F.col("asset_type") == kind)
+    return df if timeframe is None else df.where(F.col("timeframe") == timeframe)
 
-    Only partitions that the updates touch are read and replaced; late rows change old years like new ones. The new
-    partitions are written to `staging` (a new folder in the shared one) before any old one goes,
-    so that a job that dies can be run again. Bars keep sums and counts of means.
+
+def last_update_of(catalogue: DataFrame, timeframe: str | None = None) -> datetime | None:
+    """The earliest, over kinds, of the newest time, from a catalogue: no time of the history is read."""
+    newest = _of_timeframe(catalogue, None, timeframe).groupBy("asset_type").agg(F.max("last").alias("newest"))
+    return newest.agg(F.min("newest")).first()[0]
+
+
+def newest_partitions(catalogue: DataFrame, kind: str | None = None, timeframe: str | None = None) -> DataFrame:
+    """The partitions of a catalogue that hold an asset's newest time, for each exchange, asset, kind and timeframe: where
+    newest chains and books are, and all that a read for them has to list."""
+    by = [c for c in PARTITIONS if c != "year"]
+    newest = F.max("last").over(Window.partitionBy(*by))
+    return _of_timeframe(catalogue, kind, timeframe).withColumn("_newest", newest).where("last = _newest").drop("_newest")
+
+
+def update_files(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """(path, bytes, modified, file_time) of the update files below `path` that are no coarser than `timeframe`; their timeframe is a
+    folder on the way to them (`.../1m/...` or `timeframe=1m`), files without one are of `timeframe`. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    frames = F.filter(F.regexp_extract_all("path", F.lit(r"/(?:timeframe=)?([^/]+)(?=/)"), 1), lambda part: part.isin(*TIMEFRAMES))
+    frame = F.coalesce(F.try_element_at(frames, F.lit(-1)), F.lit(timeframe))
+    minutes = F.create_map(*(F.lit(x) for pair in TIMEFRAMES.items() for x in pair))[frame]
+    named = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), update_time(F.col("path")).alias("file_time"))
+    return named.withColumn("_ok", minutes <= TIMEFRAMES[timeframe]).where("_ok and file_time is not null").drop("_ok")
+
+
+def _read_files(spark: SparkSession, files: DataFrame, schema: StructType, timeframe: str) -> DataFrame:
+    """Rows of the listed files. A night's paths go through the driver, as the list of any table's files does."""
+    paths = [r["path"] for r in files.select("path").collect()]
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return df.withColumns({"timeframe": F.lit(timeframe), "year": F.year("timestamp"), "bin": bins(timeframe)})
+
+
+def merge_updates(spark: SparkSession, updates: str, history: str, timeframe: str, start: datetime | None = None, model: dict[str, str] | None = None, tie: Sequence[str] = (), ohlc: bool = False, slack: timedelta = timedelta(minutes=5)) -> bool:
+    """The nightly job: update files become bars of their exchange, asset, kind, timeframe and year. False if there was nothing to do.
+
+    Files are found by their names, from `start` on; without one, from the earliest, over kinds, of the newest bar of the history
+    (all, if it has none), which its catalogue tells. Files that are in the history already are left out: the log of
+    the history has them, so that any number of nights may list the same folder. Bins that new files have rows of are built again from all of
+    their files, old and new, so first, last and mean are those of all rows however late some came; bins are only
+    complete if the files that are in them are still there, else the job is refused. A file's rows lie within `slack` of
+    its name's time. With `ohlc` open, high, low and close come from the price where they are not given.
+
+    Only partitions that are touched are read and replaced, in one step together with the list of new files: a job that dies, wherever it does,
+    leaves the history as it was, and can be run again.
     """
-    schema = StructType([f for f in HISTORY.fields if f.name != "year"])
-    rows = read_updates(spark, updates, schema, start).withColumn("timeframe", F.lit(timeframe)).withColumn("year", F.year("timestamp"))
-    old = rows.limit(0)
-    if _exists(spark, history):
-        # As many rows as partitions that are touched
-        touched = rows.select(*PARTITIONS).distinct()
-        old = spark.read.schema(HISTORY).parquet(history).join(touched, list(PARTITIONS), "left_semi")
-    keys = [c for c in PARTITIONS if c != "year"] + ["asset_code"]
-    made = merge_history(old.select(*rows.columns), rows, timeframe, keys, model, tie)
-    staging = staging or shared_dir(spark, "staging")
-    made.write.parquet(staging)
-    write_history(spark.read.schema(made.schema).parquet(staging), history)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    table = nightly(spark, history)
+    start = start or last_update_of(table.partitions(), timeframe)
+    files, known = update_files(spark, updates, timeframe), table.files()
+    fresh = (files if start is None else files.where(F.col("file_time") >= F.lit(start))).join(known.select("path"), "path", "left_anti")
+    changed = files.join(known.select("path", F.col("bytes").alias("_bytes"), F.col("modified").alias("_modified")), "path").where("bytes <> _bytes or modified <> _modified")
+    if changed.take(1):
+        raise ValueError("update files have changed since they were merged; write what is new into new files")
+    fresh = fresh.persist()
+    try:
+        if not fresh.take(1):
+            return False
+        schema = StructType([f for f in HISTORY.fields if f.name != "year"])
+        touched = _read_files(spark, fresh, schema, timeframe).select("bin").distinct().persist()
+        # All files that can have rows of these bins
+        width = F.expr(f"INTERVAL '{TIMEFRAMES[timeframe]}' MINUTE")
+        near = touched.select((F.col("bin") - F.lit(slack)).alias("_from"), (F.col("bin") + width + F.lit(slack)).alias("_to"))
+        days = near.select("_from", "_to", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))).alias("_day"))
+        whose = lambda df: df.withColumn("_day", F.to_date("file_time")).join(days, "_day").where("file_time >= _from and file_time < _to").select("path").distinct()
+        if whose(known.withColumn("file_time", update_time(F.col("path")))).join(files, "path", "left_anti").take(1):
+            raise ValueError("files of bins that have new rows are gone; such bins can't be built again")
+        merged = fresh.select("path").union(known.select("path"))
+        rows = _read_files(spark, whose(files).join(merged, "path", "left_semi"), schema, timeframe).join(touched, "bin", "left_semi")
+        keys = [c for c in PARTITIONS if c != "year"] + ["asset_code"]
+        rows = rows.drop("bin")
+        rules = model or model_of(rows)
+        made = resample(seed_ohlc(rows, rules) if ohlc else rows, timeframe, keys, rules, tie, keep_sums=True).withColumn("year", F.year("timestamp")).persist()
+        # Partitions that get bars, and what else they have
+        ours = made.select(*PARTITIONS).distinct()
+        kept = table.read(HISTORY, table.partitions().join(ours, list(PARTITIONS), "left_semi"))
+        kept = kept.join(touched.withColumnRenamed("bin", "timestamp"), "timestamp", "left_anti")
+        table.write(made.unionByName(kept.select(*made.columns)), f"files-{_digest(fresh)}", fresh.select("path", "bytes", "modified"))
+        made.unpersist()
+        touched.unpersist()
+        return True
+    finally:
+        fresh.unpersist()
+
+
+def _digest(files: DataFrame) -> str:
+    """A name for a set of files."""
+    r = files.agg(F.count("*"), F.expr("bit_xor(xxhash64(path))")).first()
+    return f"{r[0]}-{r[1] & (1 << 64) - 1:016x}"

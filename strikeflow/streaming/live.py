@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strikeflow.operators.resample import aggregates, merge_history, ordering
+from strikeflow.operators.resample import aggregates, merge_history, ordering, resample
 from strikeflow.schema import GAP_SECONDS, TIMEFRAMES
+from strikeflow.sources.versions import Versions
 
 
 #: Tasks that write one year.
@@ -52,26 +53,28 @@ def ingest(stream: DataFrame, checkpoint: str, path: str, by: Sequence[str] = ("
     return query
 
 
-def merge_late(history_path: str, timeframe: str, keys: Sequence[str], model: dict[str, str], tie: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges rows of any date into a yearly history: only the touched years are rebuilt and
-    replaced. A batch that is run again gives the same bars where rules are first, last, max and min."""
+def late_history(spark: SparkSession, path: str) -> Versions:
+    """The yearly history that merge_late() keeps below `path`."""
+    return Versions(spark, path, StructType([StructField("year", IntegerType())]))
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.drop("event_time").withColumn("year", F.year("timestamp"))
-        years = [r["year"] for r in rows.select("year").distinct().collect()]  # a few years
-        if not years:
+
+def merge_late(history_path: str, timeframe: str, keys: Sequence[str], model: dict[str, str], tie: Sequence[str] = (), name: str = "late") -> Callable[[DataFrame, int], None]:
+    """A batch function that merges rows of any date into a yearly history (see late_history()): only the touched years are read and
+    replaced, in one step. The history knows its batches by `name` and number, so a batch that comes again, in full or after a job that died, counts once;
+    bars keep sums and counts of means."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table = late_history(batch.sparkSession, history_path)
+        if table.has(f"{name}-{number}"):
             return
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(history_path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            old = spark.read.parquet(history_path).where(F.col("year").isin(years)).drop("year")
-            made = merge_history(old, rows.drop("year"), timeframe, keys, model, tie)
-        else:
-            made = merge_history(rows.drop("year").limit(0), rows.drop("year"), timeframe, keys, model, tie)
-        # Replacing what is read needs the result first.
-        made = made.withColumn("year", F.year("timestamp")).checkpoint()
-        salt = F.pmod(F.xxhash64(*keys), F.lit(YEAR_FILES))
-        made.repartition("year", salt).write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(history_path)
+        rows = batch.drop("event_time").withColumn("year", F.year("timestamp")).persist()
+        years = table.partitions().join(rows.select("year").distinct(), "year", "left_semi")
+        bare = resample(rows.limit(0), timeframe, keys, model, tie, keep_sums=True)
+        schema = StructType([*bare.schema.fields, StructField("year", IntegerType())])
+        old = table.read(schema, years).drop("year")
+        made = merge_history(old, rows.drop("year"), timeframe, keys, model, tie).withColumn("year", F.year("timestamp"))
+        table.write(made, f"{name}-{number}", salt=F.pmod(F.xxhash64(*keys), F.lit(YEAR_FILES)))
+        rows.unpersist()
 
     return merge
 

@@ -196,7 +196,8 @@ def test_merge_twice_is_the_same(spark, tmp_path):
     merge(df.where("price < 5"), 0)
     merge(df.where("price >= 5"), 1)
     merge(df.where("price >= 5"), 1)
-    got = {r["timestamp"]: (r["open"], r["high"], r["close"]) for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    schema = spark.createDataFrame([], "timestamp timestamp_ntz, open double, high double, close double, year int").schema
+    got = {r["timestamp"]: (r["open"], r["high"], r["close"]) for r in L.late_history(spark, str(tmp_path / "h")).read(schema).collect()}
     assert got == {datetime(2024, 12, 31): (1.0, 1.0, 1.0), datetime(2025, 1, 1): (2.0, 5.0, 5.0)}
 
 

@@ -17,6 +17,12 @@ def expiration_date(code: Column) -> Column:
     return ntz(F.when(code.rlike(r"^\d{6}$"), F.try_to_timestamp(code, F.lit("ddMMyy"))).otherwise(named))
 
 
+def expiration_dates(*codes: Column) -> Column:
+    """expiration_date() of several codes, as an array. The parsing is there once, in a lambda: spelled out for each code it
+    makes a book's generated method so long that the JVM does not compile it, at several times the cost."""
+    return F.transform(F.array(*codes), expiration_date)
+
+
 def epoch_millis(c: Column) -> Column:
     return ntz(F.timestamp_millis(c))
 
@@ -42,7 +48,8 @@ def with_instruments(df: DataFrame) -> DataFrame:
     df = df.withColumn("_part", F.split(F.regexp_replace("asset_code", r"(\d)[dD](\d)", "$1.$2"), "-"))
     at = lambda k: F.try_element_at("_part", F.lit(k))
     df = df.withColumns({"_n": F.size("_part"), "_two": at(2), "_three": F.split(at(3), "_")[0], "_four": at(4)})
-    df = df.withColumns({"_second": expiration_date(F.col("_two")), "_third": expiration_date(F.col("_three"))})
+    df = df.withColumn("_dates", expiration_dates(F.col("_two"), F.col("_three")))
+    df = df.withColumns({"_second": F.col("_dates")[0], "_third": F.col("_dates")[1]})
     n, second, third = F.col("_n"), F.col("_second"), F.col("_third")
     kind = (
         F.when(n == 1, SPOT)
@@ -60,12 +67,12 @@ def with_instruments(df: DataFrame) -> DataFrame:
         "option_type": F.when(kind == OPTION, F.lower("_four")),
         "parse_error": kind.isNull() & F.col("asset_code").isNotNull(),
     }
-    return df.withColumns(new).drop("_part", "_n", "_two", "_three", "_four", "_second", "_third")
+    return df.withColumns(new).drop("_part", "_n", "_two", "_three", "_four", "_dates", "_second", "_third")
 
 
 def underlying_expiration(index: Column) -> Column:
     """The expiry in an underlying's name; synthetic and index underlyings have none."""
-    return F.when(index.startswith("SYN.") | (index == "index_price"), F.lit(None)).otherwise(expiration_date(F.try_element_at(F.split(index, "-"), F.lit(2))))
+    return F.when(index.startswith("SYN.") | (index == "index_price"), F.lit(None)).otherwise(expiration_dates(F.try_element_at(F.split(index, "-"), F.lit(2)))[0])
 
 
 def codes(c: Column, table: dict[str, str]) -> Column:
@@ -104,7 +111,9 @@ def to_quote_currency(df: DataFrame) -> DataFrame:
     """Prices of options quoted in their base asset, in money: multiplied by the delivery price
     where it is known and not 0. source_<column> keeps what was."""
     on = (F.size(F.split("asset_code", "-")) == 4) & (F.col("base_currency") == F.col("quote_currency")) & F.col("estimated_delivery_price").isNotNull() & (F.col("estimated_delivery_price") != 0)
-    on = F.coalesce(on, F.lit(False))
+    # A column of its own, so that each of the prices does not look at the name again.
+    df = df.withColumn("_on", F.coalesce(on, F.lit(False)))
+    on = F.col("_on")
     new = {}
     for c in (c for c in (*QUOTED, "price") if c in df.columns):
         if c != "price":
@@ -112,7 +121,7 @@ def to_quote_currency(df: DataFrame) -> DataFrame:
         new[c] = F.when(on, F.col(c) * F.col("estimated_delivery_price")).otherwise(F.col(c))
     if {"volume_notional", "volume_usd"} <= set(df.columns):
         new["volume_notional"] = F.when(on, F.coalesce("volume_notional", "volume_usd")).otherwise(F.col("volume_notional"))
-    return df.withColumns(new)
+    return df.withColumns(new).drop("_on")
 
 
 #: The vendor's names of columns.
@@ -138,10 +147,10 @@ def normalize_book(raw: DataFrame, request_time: Column) -> DataFrame:
 
 
 def flatten_board(df: DataFrame, board: str) -> DataFrame:
-    """struct<call: array<struct>, put: array<struct>> to one row for each contract."""
+    """struct<call: array<struct>, put: array<struct>> of the same fields to one row for each contract."""
     keep = [c for c in df.columns if c != board]
-    sides = [df.select(*keep, F.lit(side[0]).alias("option_type"), F.explode(f"{board}.{side}").alias("e")).select(*keep, "option_type", "e.*") for side in ("call", "put")]
-    return sides[0].unionByName(sides[1], allowMissingColumns=True)
+    tagged = lambda side: F.transform(F.coalesce(f"{board}.{side}", F.array()), lambda e: F.struct(F.lit(side[0]).alias("option_type"), e.alias("e")))
+    return df.select(*keep, F.inline(F.concat(tagged("call"), tagged("put")))).select(*keep, "option_type", "e.*")
 
 
 def flatten_series(df: DataFrame) -> DataFrame:

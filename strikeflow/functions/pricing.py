@@ -7,11 +7,13 @@ West (2005), exact to double precision, so that pricing stays in generated code.
 from __future__ import annotations
 
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeflow.operators.blocks import WEEK, in_blocks
+
 # Coefficients of the approximation, highest power first.
 UPPER = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 LOWER = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
@@ -94,14 +96,15 @@ def realized_volatility(spot: DataFrame, lookback: int = 30, by: str = "asset_co
     return made.select(by, F.when(F.col("prices") >= lookback, F.col("dev") * math.sqrt(TRADING_DAYS)).alias("volatility"))
 
 
-def rolling_volatility(spot: DataFrame, lookback: int = 30, by: str = "asset_code") -> DataFrame:
-    """The same at every time of the series."""
-    order = Window.partitionBy(by).orderBy("timestamp")
+def rolling_volatility(spot: DataFrame, lookback: int = 30, by: str = "asset_code", width: timedelta = WEEK) -> DataFrame:
+    """The same at every time of the series, in blocks of `width` (see in_blocks()): a long series is many tasks."""
+    rows = in_blocks(spot.select(by, "timestamp", "price"), by, lookback, width)
+    order = Window.partitionBy(by, "_block").orderBy("timestamp")
     before = F.lag("price").over(order)
-    df = spot.withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before)))
+    df = rows.withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before)))
     last = order.rowsBetween(-(lookback - 1), 0)
-    n = F.count("*").over(last)
-    return df.select(by, "timestamp", "price", F.when(n >= lookback, F.stddev_samp("ret").over(last) * math.sqrt(TRADING_DAYS)).alias("volatility"))
+    made = df.withColumn("volatility", F.when(F.count("*").over(last) >= lookback, F.stddev_samp("ret").over(last) * math.sqrt(TRADING_DAYS)))
+    return made.where("_own").select(by, "timestamp", "price", "volatility")
 
 
 def market_data(spot: DataFrame, lookback: int = 30, by: str = "asset_code", volatility: float | None = None, rate: float = 0.05, dividend: float = 0.0) -> DataFrame:

@@ -360,15 +360,19 @@ def candles(spark, d):
     return N.candles(t.select("asset_code", F.col("c.event_id").alias("ticks"), F.col("c.price").alias("close")), ("ticks", "close"))
 
 
-LEVELS = f"""{V.QUOTES}, l AS (SELECT base_asset_code, timestamp, side, p, a, row_number() OVER (PARTITION BY base_asset_code, timestamp, side ORDER BY p, a) - 1 AS level FROM (
-  SELECT base_asset_code, timestamp, unnest([{{'side': 'b', 'p': bid, 'a': volume}}, {{'side': 'a', 'p': ask, 'a': volume}}], recursive := true) FROM quotes) WHERE p IS NOT NULL)"""
+def _side_sql(price: str) -> str:
+    return f"SELECT base_asset_code, timestamp, CAST(row_number() OVER (PARTITION BY base_asset_code, timestamp ORDER BY {price}, volume) - 1 AS INTEGER) AS level, {price} AS price, volume AS amount FROM quotes WHERE {price} IS NOT NULL"
 
 
-@query(f"WITH {LEVELS} SELECT base_asset_code, timestamp, CAST(level AS INTEGER) AS level, b.p AS bid_price, b.a AS bid_amount, x.p AS ask_price, x.a AS ask_amount FROM (SELECT * FROM l WHERE side = 'b') b JOIN (SELECT * FROM l WHERE side = 'a') x USING (base_asset_code, timestamp, level)")
+LEVELS = f"{V.QUOTES}, bids AS ({_side_sql('bid')}), asks AS ({_side_sql('ask')}), books AS (SELECT DISTINCT base_asset_code, timestamp FROM quotes), both_sides AS (SELECT b.base_asset_code, b.timestamp, b.level, b.price AS bid_price, b.amount AS bid_amount, a.price AS ask_price, a.amount AS ask_amount FROM bids b JOIN asks a ON a.base_asset_code = b.base_asset_code AND a.timestamp = b.timestamp AND a.level = b.level)"
+
+
+@query(f"WITH {LEVELS} SELECT k.base_asset_code, k.timestamp, s.level, s.bid_price, s.bid_amount, s.ask_price, s.ask_amount FROM books k LEFT JOIN both_sides s ON s.base_asset_code = k.base_asset_code AND s.timestamp = k.timestamp")
 def book_levels(spark, d):
+    """Levels of a book for each asset and time; a book whose sides have no common level is one row of nulls."""
     pairs = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("p"), F.col("volume").alias("a"))))), lambda x: F.array(x["p"], x["a"]))
     books = V.quotes(spark, d).groupBy("base_asset_code", "timestamp").agg(pairs("bid").alias("bids"), pairs("ask").alias("asks"))
-    return N.book_levels(books).where("level is not null")
+    return N.book_levels(books)
 
 
 @query(f"WITH {V.TICKS} SELECT asset_code, make_timestamp((epoch_us(timestamp) // 1000) * 1000) AS timestamp, price AS value FROM ticks")

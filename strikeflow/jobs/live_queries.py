@@ -203,6 +203,19 @@ def stream_snapshot_gaps(spark, d):
     return spark.read.schema(made.schema).parquet(path)
 
 
+@query(
+    f"""WITH {V.TICKS}, s AS (SELECT DISTINCT asset_code, timestamp FROM ticks), g AS (SELECT *, lead(timestamp) OVER (PARTITION BY asset_code ORDER BY timestamp) AS next, max(timestamp) OVER () AS newest FROM s)
+    SELECT asset_code, timestamp AS last, timestamp + INTERVAL 25 HOUR AS due FROM g WHERE epoch_us(next) - epoch_us(timestamp) > 25 * 3600000000 OR next IS NULL AND timestamp + INTERVAL 25 HOUR <= newest - INTERVAL 1 HOUR"""
+)
+def stream_silent_feeds(spark, d):
+    """Feeds that fell silent for more than a day, those that never came back included: as told by timers on the stream."""
+    L.use_rocksdb(spark)
+    path = shared_dir(spark, "sink")
+    made = L.silent_feeds(_stream(spark, d), "EOD")
+    L.run_available(made, shared_dir(spark, "progress"), path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 @query(f"WITH {V.TICKS}, s AS (SELECT DISTINCT asset_code, time_bucket(INTERVAL '60 minutes', timestamp, TIMESTAMP '2000-01-01') AS timestamp FROM ticks), g AS (SELECT asset_code, unnest(generate_series(min(timestamp), max(timestamp), INTERVAL 1 HOUR)) AS timestamp FROM s GROUP BY 1) SELECT asset_code, timestamp FROM g ANTI JOIN s USING (asset_code, timestamp)")
 def missing_snapshots(spark, d):
     t = V.ticks(spark, d).withColumn("timestamp", R.bins("1h"))

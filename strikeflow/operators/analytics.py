@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.operators.chain import ASSET, atm_order, select_chain
-from strikeflow.schema import AT_THE_MONEY, CALL, CHAIN, PUT
+from strikeflow.schema import AT_THE_MONEY, CALL, CHAIN, FUTURE, PUT
 
 SERIES = (ASSET, "expiration_date", "option_type")
 
-#: Legs of strategies up to which they are broadcast; more go through a shuffled join.
-BROADCAST_LEGS = 100_000
 SALTS = 64
 
 
@@ -48,43 +46,49 @@ def leg_id():
     return F.concat(F.lit("#"), F.col("leg_idx").cast("string"), F.lit("_"), F.col("type"), F.lit("_"), F.col("leg_strike").cast("long").cast("string"), F.lit("_"), F.col("lots").cast("string"))
 
 
-def _bounded(legs: DataFrame) -> bool:
-    """Whether the legs are few enough to broadcast; counting stops beyond the bound."""
-    return legs.limit(BROADCAST_LEGS + 1).count() <= BROADCAST_LEGS
+def _books(chains: DataFrame) -> DataFrame:
+    """A row for each chain with its contracts: some hundreds, in one array. What follows needs no second look at the table."""
+    contract = F.struct(F.col("option_type").alias("side"), "strike", "price", "underlying_price")
+    known = chains if "underlying_price" in chains.columns else chains.withColumn("underlying_price", F.lit(None).cast("double"))
+    return known.where(F.col("option_type").isin(CALL, PUT)).groupBy(*CHAIN).agg(F.collect_list(contract).alias("contracts"))
+
+
+def _side() -> Column:
+    return F.when(F.col("type") == "put", PUT).otherwise(CALL)
 
 
 def leg_premiums(chains: DataFrame, legs: DataFrame) -> DataFrame:
     """Each option leg with its premium in every chain of `chains`; missing_leg where the chain has no such contract.
-    The result has a row for each chain and leg, so that more than BROADCAST_LEGS legs are refused."""
-    if not _bounded(legs):
-        raise ValueError(f"more than {BROADCAST_LEGS} legs; ask for chain_payoff_legs instead")
-    keys = chains.select(*CHAIN).distinct()
-    asked = keys.join(F.broadcast(legs.where("type <> 'futures'").withColumnRenamed("strike", "leg_strike")))
-    prices = chains.select(*CHAIN, F.col("strike").alias("leg_strike"), F.when(F.col("option_type") == CALL, "call").otherwise("put").alias("type"), "price")
-    return asked.join(prices, [*CHAIN, "leg_strike", "type"], "left").withColumn("missing_leg", F.col("price").isNull())
 
+    Every chain meets every leg, as the result has a row for each; they meet by a salt, so that either side may be of any size."""
+    legs = legs.where("type <> 'futures'").withColumnRenamed("strike", "leg_strike").withColumn("_side", _side())
+    legs = legs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = _books(chains).withColumn("_salt", F.pmod(F.xxhash64(*CHAIN), F.lit(SALTS)).cast("int")).join(legs, "_salt")
+    own = F.filter("contracts", lambda c: (c["side"] == F.col("_side")) & (c["strike"] == F.col("leg_strike")))
+    rows = rows.withColumn("price", F.array_max(F.transform(own, lambda c: c["price"]))).withColumn("missing_leg", F.col("price").isNull())
+    return rows.drop("contracts", "_side", "_salt")
 
-def chain_payoff_legs(chains: DataFrame, legs: DataFrame, broadcast_legs: bool | None = None) -> DataFrame:
+
+def chain_payoff_legs(chains: DataFrame, legs: DataFrame) -> DataFrame:
     """Profit of each leg at expiration, on the strike grid of its type (a future: that of the calls), for all
     strategies and chains at once. `legs`: strategy_id, leg_idx, strike, lots, type (call, put, futures).
-    Legs whose contract a chain lacks give no rows there (see leg_premiums). Up to BROADCAST_LEGS legs are broadcast, unless the caller
-    decides; more meet the grid by type and a salt, which spreads either type over SALTS tasks."""
-    legs = legs.withColumnRenamed("strike", "leg_strike").withColumn("side", F.when(F.col("type") == "put", PUT).otherwise(CALL))
-    grid = chains.where(F.col("option_type").isin(CALL, PUT)).select(*CHAIN, "strike", F.col("option_type").alias("side"), "price", "underlying_price")
-    # The premium is a row of the same grid: one window instead of a self join.
-    if _bounded(legs) if broadcast_legs is None else broadcast_legs:
-        rows = grid.join(F.broadcast(legs), "side")
-    else:
-        salted = grid.withColumn("salt", F.pmod(F.xxhash64(*CHAIN), F.lit(SALTS)).cast("int"))
-        rows = salted.join(legs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["side", "salt"]).drop("salt")
-    premium = F.max(F.when(F.col("strike") == F.col("leg_strike"), F.col("price"))).over(Window.partitionBy(*CHAIN, "strategy_id", "leg_idx"))
-    rows = rows.withColumn("premium", premium)
-    move = F.when(F.col("side") == CALL, F.col("strike") - F.col("leg_strike")).otherwise(F.col("leg_strike") - F.col("strike"))
+
+    A leg first meets the contracts of its type and strike, and only chains that have its contract are laid out on the grid;
+    futures meet every chain once. Legs whose contract a chain lacks give no rows there (see leg_premiums)."""
+    option = F.col("type") != "futures"
+    kind, strike = F.when(option, _side()).otherwise(FUTURE), F.when(option, F.col("strike")).otherwise(0.0)
+    asked = legs.withColumns({"_kind": kind, "_strike": strike, "_side": _side()}).withColumnRenamed("strike", "leg_strike")
+    place = F.transform("contracts", lambda c: F.struct(c["side"].alias("_kind"), c["strike"].alias("_strike"), c["price"].alias("premium")))
+    future = F.array(F.struct(F.lit(FUTURE).alias("_kind"), F.lit(0.0).alias("_strike"), F.lit(None).cast("double").alias("premium")))
+    met = _books(chains).select(*CHAIN, "contracts", F.inline(F.concat(place, future))).where("premium is not null or _kind = 'f'").join(asked, ["_kind", "_strike"])
+    grid = F.filter("contracts", lambda c: c["side"] == F.col("_side"))
+    rows = met.select(*CHAIN, "strategy_id", "leg_idx", "leg_strike", "lots", "type", "_side", "premium", F.inline(F.transform(grid, lambda c: F.struct(c["strike"].alias("strike"), c["underlying_price"].alias("underlying_price")))))
+    move = F.when(F.col("_side") == CALL, F.col("strike") - F.col("leg_strike")).otherwise(F.col("leg_strike") - F.col("strike"))
     long_ = F.when(move > 0, move - F.col("premium")).otherwise(-F.col("premium"))
-    option = F.when(F.col("lots") > 0, long_).otherwise(-long_) * F.abs("lots")
+    gain = F.when(F.col("lots") > 0, long_).otherwise(-long_) * F.abs("lots")
     future = (F.col("strike") - F.col("underlying_price")) * F.col("lots")
-    profit = F.when(F.col("type") == "futures", future).otherwise(option)
-    return rows.where((F.col("type") == "futures") | F.col("premium").isNotNull()).select("strategy_id", *CHAIN, "leg_idx", leg_id().alias("leg_id"), "strike", profit.alias("profit"))
+    profit = F.when(F.col("type") == "futures", future).otherwise(gain)
+    return rows.select("strategy_id", *CHAIN, "leg_idx", leg_id().alias("leg_id"), "strike", profit.alias("profit"))
 
 
 def chain_payoff(chains: DataFrame, legs: DataFrame) -> DataFrame:

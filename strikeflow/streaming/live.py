@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from strikeflow.operators.blocks import WEEK, in_blocks
 from strikeflow.operators.resample import aggregates, merge_history, ordering, resample
 from strikeflow.schema import GAP_SECONDS, TIMEFRAMES
 from strikeflow.sources.versions import Versions
@@ -84,13 +87,73 @@ def allowed_gap(timeframe: str) -> float:
     return GAP_SECONDS.get(timeframe, TIMEFRAMES[timeframe] * 75)
 
 
-def gaps(table: DataFrame, timeframe: str, by: Sequence[str] = ("asset_code",)) -> DataFrame:
-    """Snapshots that came too long after the one before."""
-    from pyspark.sql import Window
-
-    before = F.lag("timestamp").over(Window.partitionBy(*by).orderBy("timestamp"))
+def gaps(table: DataFrame, timeframe: str, by: str = "asset_code", width: timedelta = WEEK) -> DataFrame:
+    """Snapshots that came too long after the one before; a long series is many tasks (see in_blocks())."""
+    rows = in_blocks(table.select(by, "timestamp").distinct(), by, 1, width)
+    before = F.lag("timestamp").over(Window.partitionBy(by, "_block").orderBy("timestamp"))
     seconds = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1_000_000
-    return table.select(*by, "timestamp").distinct().withColumn("seconds", seconds).where(F.col("seconds") > allowed_gap(timeframe))
+    return rows.withColumn("seconds", seconds).where((F.col("seconds") > allowed_gap(timeframe)) & F.col("_own")).select(by, "timestamp", "seconds")
+
+
+class _Feed(StatefulProcessor):
+    """Of each feed the time of its last snapshot, and a timer at which the next one is due."""
+
+    def __init__(self, by: str, limit: float):
+        self.by, self.limit = by, int(limit * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros long")
+
+    def _rows(self, key: tuple, lasts: list[int]) -> pd.DataFrame:
+        times = pd.to_datetime(pd.Series(lasts, dtype="int64"), unit="us")
+        return pd.DataFrame({self.by: pd.Series([key[0]] * len(lasts), dtype=object), "last": times, "due": times + pd.Timedelta(milliseconds=self.limit)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        seen = sorted({int(t.value // 1000) for p in rows for t in p["timestamp"]})
+        last = self.last.get()[0] if self.last.exists() else None
+        fallen = []
+        for t in seen:
+            if last is not None and t - last > self.limit * 1000:
+                fallen.append(last)
+            last = t if last is None else max(last, t)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = -(-last // 1000) + self.limit
+        if due <= timerValues.getCurrentWatermarkInMs():
+            fallen.append(last)
+            self.last.clear()
+        else:
+            self.last.update((last,))
+            self.handle.registerTimer(due)
+        if fallen:
+            yield self._rows(key, fallen)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield self._rows(key, [last])
+
+    def close(self) -> None:
+        pass
+
+
+def silent_feeds(stream: DataFrame, timeframe: str, by: str = "asset_code", late: str = "1 hour") -> DataFrame:
+    """(by, last, due): feeds that fell silent, with their last snapshot and when the next one was due; told by a timer as soon as the
+    watermark of all feeds has passed that time, or by the next snapshot if that comes first.
+
+    State is one time and one timer for each feed that is alive, and goes with the feed: needs the RocksDB state store (see
+    use_rocksdb()). `stream` has `event_time`; snapshots of a feed that come in other than their order within one batch are put
+    in order, older ones than the last batch's change nothing.
+    """
+    schema = f"{by} string, last timestamp_ntz, due timestamp_ntz"
+    rows = stream.withWatermark("event_time", late).select(by, "timestamp", "event_time")
+    return rows.groupBy(by).transformWithStateInPandas(_Feed(by, allowed_gap(timeframe)), schema, "append", "eventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams that are started from now on keep their state in RocksDB, outside the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_gaps(stream: DataFrame, timeframe: str, by: str = "asset_code") -> DataFrame:

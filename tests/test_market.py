@@ -1,6 +1,6 @@
 """Exact results on small hand-made tables."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,9 +224,69 @@ def test_book_without_levels_is_one_row_of_nulls(spark):
     assert got == {(1, 0, 1.0, 4.0), (2, None, None, None)}
 
 
-def test_many_legs_meet_by_salt(spark):
+def test_legs_meet_by_keys(spark):
     chain = [("A", datetime(2024, 1, 1), datetime(2024, 2, 1), float(k), t, 5.0 + k / 100, 250.0) for k in (100, 200, 300) for t in ("c", "p")]
     chains = spark.createDataFrame(chain, "base_asset_code string, timestamp timestamp_ntz, expiration_date timestamp_ntz, strike double, option_type string, price double, underlying_price double")
-    legs = spark.createDataFrame([("s", 0, 200.0, 1, "call"), ("s", 1, 200.0, -1, "put"), ("f", 0, 0.0, 2, "futures")], "strategy_id string, leg_idx int, strike double, lots int, type string")
-    both = [sorted(map(tuple, A.chain_payoff_legs(chains, legs, b).collect())) for b in (True, False)]
-    assert both[0] == both[1] and len(both[0]) == 9
+    legs = spark.createDataFrame([("s", 0, 200.0, 1, "call"), ("s", 1, 200.0, -1, "put"), ("f", 0, 0.0, 2, "futures"), ("n", 0, 250.0, 1, "call")], "strategy_id string, leg_idx int, strike double, lots int, type string")
+    made = A.chain_payoff_legs(chains, legs)
+    want = made.collect()
+    assert len(want) == 9 and {(r["strategy_id"], r["strike"], r["profit"]) for r in want if r["leg_idx"] == 0} == {("s", 100.0, -7.0), ("s", 200.0, -7.0), ("s", 300.0, 93.0), ("f", 100.0, -300.0), ("f", 200.0, -100.0), ("f", 300.0, 100.0)}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (made, A.leg_premiums(chains, legs))]
+    assert not any(x in plan for plan in plans for x in ("NestedLoop", "Cartesian", "Window"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(A.chain_payoff_legs(chains, legs).collect()) == sorted(want)
+        assert [(r["strategy_id"], r["leg_idx"], r["price"], r["missing_leg"]) for r in A.leg_premiums(chains, legs).orderBy("strategy_id", "leg_idx").collect()] == [("n", 0, None, True), ("s", 0, 7.0, False), ("s", 1, 7.0, False)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("minutes", [1, 7, 60, 100_000])
+def test_blocks_of_time_are_as_whole_series(spark, minutes):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(minutes)
+    start = datetime(2025, 1, 1)
+    rows = [(a, start + timedelta(seconds=s), rng.uniform(1, 9) if rng.random() > 0.05 else -1.0) for a in "abc" for s in sorted(rng.sample(range(40_000), 120))]
+    rows += [("d", start, 1.0), (None, start, 1.0)] + [("e", start + timedelta(seconds=k), 2.0 + k % 3) for k in range(50)]
+    df = spark.createDataFrame(rows, "asset_code string, timestamp timestamp_ntz, price double")
+    width = timedelta(minutes=minutes)
+    order = Window.partitionBy("asset_code").orderBy("timestamp")
+    before = F.lag("price").over(order)
+    whole = df.where("asset_code is not null").withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before)))
+    last = order.rowsBetween(-9, 0)
+    whole = whole.select("asset_code", "timestamp", F.when(F.count("*").over(last) >= 10, F.stddev_samp("ret").over(last) * 252**0.5).alias("v"))
+    near = lambda rows: sorted((r[0], r[1], None if r[2] is None else round(r[2], 9)) for r in rows)
+    got = P.rolling_volatility(df.where("asset_code is not null"), 10, width=width).select("asset_code", "timestamp", "volatility")
+    assert near(got.collect()) == near(whole.collect())
+    gaps = df.where("asset_code is not null").withColumn("b", F.lag("timestamp").over(order)).withColumn("s", F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("b").cast("timestamp"))).where("s > 90000000")
+    assert sorted(map(tuple, L.gaps(df, "1m", width=width).select("asset_code", "timestamp").collect())) == sorted(map(tuple, gaps.select("asset_code", "timestamp").collect()))
+
+
+def test_series_meet_by_blocks(spark):
+    df = spark.createDataFrame([("a", datetime(2025, 1, 1), 1.0)], "asset_code string, timestamp timestamp_ntz, price double")
+    exchanges = [line for line in P.rolling_volatility(df)._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(asset_code" in line]
+    # Only counts of blocks meet on the series alone.
+    assert sum("_block" not in line for line in exchanges) == 1
+
+
+def test_feeds_that_fall_silent(spark, tmp_path):
+    at = lambda d, h: datetime(2025, 1, d, h)
+    schema = "asset_code string, timestamp timestamp_ntz"
+    L.use_rocksdb(spark)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = L.snapshots(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1)
+        L.run_available(L.silent_feeds(stream, "EOD"), f"{tmp_path}/progress", f"{tmp_path}/out")
+        return sorted((r["asset_code"], r["last"].day, r["due"]) for r in spark.read.schema("asset_code string, last timestamp_ntz, due timestamp_ntz").parquet(f"{tmp_path}/out").collect())
+
+    assert arrive(("a", at(1, 0)), ("b", at(1, 1)), ("c", at(1, 2))) == []
+    # a falls silent: the watermark is just at the time that its next snapshot is due; b comes a moment before its timer goes
+    assert arrive(("b", at(2, 2)), ("c", at(2, 2))) == [("a", 1, at(2, 1))]
+    assert arrive(("b", at(3, 2)), ("c", at(3, 2))) == [("a", 1, at(2, 1))]
+    # a returns, told once; b goes on, c not
+    assert arrive(("a", at(3, 5)), ("b", at(4, 3)), ("b", at(5, 3))) == [("a", 1, at(2, 1)), ("a", 3, at(4, 6)), ("c", 3, at(4, 3))]

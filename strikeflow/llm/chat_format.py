@@ -40,7 +40,8 @@ def render(role: str, text: str) -> str:
     return f"{HEAD}{escape(role).replace(':', chr(92) + ':')}{MID}{escape(text)}{TAIL}"
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\(?:\\|###|</turn>|:))*): ((?:[^\\<#]|\\(?:\\|###|</turn>)|<(?!/turn>)|#(?!##))*)</turn>\n")
+# Possessive: what a text may hold never runs into its end mark, so that no way back is kept for each character.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\(?:\\|###|</turn>|:))*+): ((?:[^\\<#]++|\\(?:\\|###|</turn>)|<(?!/turn>)|#(?!##))*+)</turn>\n")
 
 
 def parse(rendered: str) -> list[tuple[str, str]]:

@@ -49,6 +49,8 @@ DENSE, JOINED, DENSE_BLOCK = 256, 32, 1024
 #: Vectors in a partition of an order, at least.
 START_ROWS = 4096
 ROUNDS_MIN = 2
+#: Rounds after which a search whose audit still fails is an error rather than a result.
+ROUNDS_MAX = 60
 CHANGES = 0.02
 AUDIT = 256
 RECALL = 0.97
@@ -177,6 +179,9 @@ def _lists(entries: DataFrame, threshold: float) -> DataFrame:
     """(a, kth, list<b, sim, new>) from entries (a, b, sim, old, new): the K best, and all above the threshold up to DENSE."""
     best = entries.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"), F.max("new").alias("new"))
     item = F.struct((-F.col("sim")).alias("away"), "b", "sim", (F.when(F.col("old"), F.col("new")).otherwise(True)).alias("new"))
+    # A hub has as many entries as vectors that met it: all but the first DENSE go before any are gathered.
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    best = best.withColumn("nth", nth).where(F.col("nth") <= DENSE)
     made = best.groupBy("a").agg(F.array_sort(F.collect_list(item)).alias("list"))
     kept = F.filter("list", lambda x, i: (i < K) | ((x["sim"] >= threshold - SLACK) & (i < DENSE)))
     full = (F.size("list") >= DENSE) & (F.try_element_at("list", F.lit(DENSE))["sim"] >= threshold - SLACK)
@@ -244,18 +249,29 @@ def _crossed(threshold: float):
     return run
 
 
-def _dense_clusters(lists: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, cluster) of the vectors with DENSE links or more; None if there are none."""
+def _dense_clusters(lists: DataFrame, threshold: float, joins: DataFrame | None = None) -> DataFrame | None:
+    """(node, cluster) of the vectors with DENSE links or more; None if there are none. `joins` are links between clusters that
+    no list holds (see _joins())."""
     near = F.filter("list", lambda x: x["sim"] >= threshold - SLACK)
     dense = lists.where(F.size(near) >= DENSE)
     if dense.isEmpty():
         return None
     # The least by one hash: vectors of a cluster name mostly the same ones.
     joined = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.xxhash64(x["b"]).alias("h"), x["b"].alias("b")))), 1, JOINED)
-    roots = components(dense.select("a", F.explode(joined).alias("e")).select("a", F.col("e.b").alias("b")))
+    links = dense.select("a", F.explode(joined).alias("e")).select("a", F.col("e.b").alias("b"))
+    roots = components(links if joins is None else links.unionAll(joins))
     return stored(roots.join(dense.select(F.col("a").alias("node")), "node", "left_semi").withColumnRenamed("root", "cluster"), "dense")
 
 
+def _joins(other: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): of fresh close pairs (a, b, sim) one for each two clusters that they join. Lists that are full of their own cluster would
+    let go of such pairs; with them the clusters are one from the next time on, and all of their vectors are compared."""
+    of = lambda c: clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"{c}_cluster"))
+    near = other.where(F.col("sim") >= threshold - SLACK).join(of("a"), "a").join(of("b"), "b").where("a_cluster <> b_cluster")
+    ends = (F.least("a_cluster", "b_cluster").alias("one"), F.greatest("a_cluster", "b_cluster").alias("two"))
+    return stored(near.groupBy(*ends).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b"), "joins")
+
+
 def _dense_links(clusters: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, n, links, root) of all vectors of each cluster, one row for each two blocks that a vector is compared in."""
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("blocks"))
@@ -311,11 +327,12 @@ def _linked(close: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return sure.unionAll(near.select("a", "b", "x", "y").mapInArrow(_exact(threshold), "a long, b long, linked boolean").where("linked").select("a", "b"))
 
 
-def _found(lists: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b): links that join the components, and (node, n, links): how many nodes each is linked with, and the copies these stand for."""
+def _found(lists: DataFrame, nodes: DataFrame, threshold: float, joins: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(a, b): links that join the components; (node, n, links): how many nodes each is linked with, and the copies these stand for;
+    (node, cluster): the dense clusters, if any."""
     e = lists.select("a", F.explode("list").alias("e")).where(F.col("e.sim") >= threshold - SLACK)
     close = e.select(F.least("a", "e.b").alias("a"), F.greatest("a", "e.b").alias("b"), "e.sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    clusters = _dense_clusters(lists, threshold)
+    clusters = _dense_clusters(lists, threshold, joins)
     if clusters is not None:
         # What the blocks of a cluster count is not counted here.
         of = lambda c: clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"{c}_cluster"))
@@ -328,7 +345,7 @@ def _found(lists: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFr
         dense = stored(_dense_links(clusters, nodes, threshold), "blocks")
         edges = edges.unionAll(dense.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = counts.unionAll(dense.select("node", "n", "links"))
-    return edges, stored(counts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("links").alias("links")), "counts")
+    return edges, stored(counts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("links").alias("links")), "counts"), clusters
 
 
 def neighbour_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -348,8 +365,8 @@ def neighbour_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, Data
     half = stored(entries(5, 1, 0)[0].select("node", "vec"), "vectors")
     lists = stored(_lists(first.select("a", "b", "sim", F.lit(True).alias("old"), F.lit(True).alias("new")), threshold), "lists")
     some = nodes.select("node", "exact").orderBy(F.xxhash64("node")).limit(AUDIT // 2)
-    k = 0
-    while True:
+    k, joins = 0, None
+    while k < ROUNDS_MAX:
         made = stored(_round(lists, half, threshold, k), "lists")
         release(spark, lists)
         lists = made
@@ -357,7 +374,7 @@ def neighbour_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, Data
         fresh = lists.select(F.sum(F.size(F.filter("list", lambda x: x["new"]))).alias("n")).first()["n"] or 0
         if k < ROUNDS_MIN or fresh > CHANGES * total * K and k % 3:
             continue
-        edges, counts = _found(lists, nodes, threshold)
+        edges, counts, clusters = _found(lists, nodes, threshold, joins)
         near = lists.where(F.exists("list", lambda x: x["sim"] >= threshold - CLOSE)).select(F.col("a").alias("node"))
         close = nodes.select("node", "exact").join(near, "node", "left_semi").orderBy(F.xxhash64("node", F.lit(1))).limit(AUDIT // 2)
         # Half as many orders as at the start still bring most pairs together.
@@ -365,11 +382,15 @@ def neighbour_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, Data
         if _fresh_share(other, lists, nodes, threshold) <= 1 - RECALL and audit_recall(nodes, counts, some.unionAll(close).distinct(), threshold) >= RECALL:
             release(spark, lists, half, other)
             return edges, counts
+        if clusters is not None:
+            new = _joins(other, clusters, threshold)
+            joins = new if joins is None else joins.unionAll(new)
         back = other.unionAll(other.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
         held = lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"), F.lit(True).alias("old"), F.col("e.new").alias("new"))
         made = stored(_lists(held.unionAll(back.select("a", "b", "sim", F.lit(False).alias("old"), F.lit(True).alias("new"))), threshold), "lists")
         release(spark, lists, other)
         lists = made
+    raise RuntimeError(f"the audit's recall is below {RECALL} after {ROUNDS_MAX} rounds")
 
 
 def _fresh_share(other: DataFrame, lists: DataFrame, nodes: DataFrame, threshold: float) -> float:

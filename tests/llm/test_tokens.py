@@ -121,3 +121,24 @@ def test_shard_files(spark, odd_docs, tmp_path):
     kept = files[1].stat().st_mtime_ns
     T.write_shards(shards, folder)
     assert b"".join(f.read_bytes() for f in files) == want and files[1].stat().st_mtime_ns == kept
+
+
+def test_a_long_turn_takes_little_memory():
+    """20 million characters, of controls and others, read back within 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+from strikeflow.llm.chat_format import parse, render
+for text in ("ab <#" * 4_000_000, "### Assistant: </turn> " + chr(92) * 100_000 + "x" * 20_000_000, "<#" * 3_000_000):
+    assert parse(render("user", text) + render("a:b", "")) == [("user", text), ("a:b", "")]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    import pathlib
+
+    root = str(pathlib.Path(__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-500:]
+    assert int(out.stdout.split()[-1]) < 1000

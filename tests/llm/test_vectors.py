@@ -101,3 +101,31 @@ def test_a_cosine_of_just_the_threshold_links(spark):
     rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [2.9999, 4.0]), (4, [-1.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.6).collect()}
     assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (0, 4)}
+
+
+def test_a_search_that_does_not_get_there_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "ROUNDS_MAX", 4)
+    monkeypatch.setattr(E, "audit_recall", lambda *_: 0.5)
+    x = np.random.default_rng(1).standard_normal((60, 8))
+    with pytest.raises(RuntimeError, match="recall"):
+        E.embedding_near_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).count()
+
+
+def test_clusters_that_no_list_joins(spark, monkeypatch):
+    """Two clusters whose vectors have full lists of nearer ones of their own: the fresh pair joins them, and all links between them count."""
+    monkeypatch.setattr(E, "DENSE", 12)
+    monkeypatch.setattr(E, "JOINED", 4)
+    rng = np.random.default_rng(2)
+    d, n = 24, 60
+    a = np.zeros(d)
+    a[0] = 1
+    b = np.zeros(d)
+    b[0], b[1] = 0.935, np.sqrt(1 - 0.935**2)
+    x = np.concatenate([c + 0.02 * rng.standard_normal((n, d)) for c in (a, b)])
+    near = brute(range(2 * n), x, 0.9)
+    assert near[:n, n:].mean() > 0.9
+    got = {r["vec_id"]: r["n_links"] for r in E.embedding_near_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.97 * near.sum() and all(got[i] <= near[i].sum() for i in got)
+    clusters = spark.createDataFrame([(i, i // n) for i in range(2 * n)], "node long, cluster long")
+    pairs = spark.createDataFrame([(3, 70, 0.93), (5, 90, 0.92), (1, 2, 0.99), (4, 80, 0.5)], "a long, b long, sim float")
+    assert [tuple(r) for r in E._joins(pairs, clusters, 0.9).collect()] == [(3, 70)]

@@ -6,6 +6,9 @@ small whatever the batch size is; one text is never cut here.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import re
 from collections.abc import Iterator
@@ -15,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 #: Bits of the filters of ids (8 MB), whatever the number of ids.
@@ -64,6 +68,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(at + 1, int(np.searchsorted(size, base + limit, side="right"))), at + rows)
             yield batch.slice(at, end - at)
             at = end
+        del batch, size
+    give_back()
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers serve many tasks of many steps, and else hold the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,18 +168,60 @@ def shared_dir(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that note the folders that stored() makes while they are here, see folders_made().
+_noting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that stored() makes within."""
+    made: list[str] = []
+    _noting.append(made)
+    try:
+        yield made
+    finally:
+        _noting.remove(made)
+
+
 def stored(df, name: str):
     """The frame written once as Parquet in the shared folder and read back: cuts lineage,
     survives lost executors and is shared by the steps that follow."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    for made in _noting:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a row's number for its file and for its place there.
+FILE_BITS, PLACE_BITS = 34, 29
+
+
+def _is_scan(df) -> bool:
+    """Whether each row of the frame is a row of one file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def numbered(df, row: str, name: str):
-    """The frame stored with a number for each row in a column `row`: a scan may be split otherwise
-    the next time, so that numbers given while reading would not stay."""
+    """The frame with a number for each row in a column `row`, which is the same whenever it is read and however scans are split.
+
+    Rows of a Parquet table have that of their file and their place in it, and nothing is stored; files are told apart by hashes of their
+    paths, which are checked to differ. Other frames are stored with numbers in them."""
+    if _is_scan(df):
+        with contextlib.suppress(AnalysisException):
+            path = F.col("_metadata.file_path")
+            placed = df.select(path.alias("p"), "_metadata.row_index")
+            for seed in range(8):
+                kind = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << FILE_BITS))  # noqa: B023, E731
+                r = placed.select("p").distinct().agg(F.count("*"), F.count_distinct(kind(F.col("p")))).first()
+                if r[0] == r[1]:
+                    place = F.col("_metadata.row_index")
+                    place = F.when(place < 1 << PLACE_BITS, place).otherwise(F.raise_error(F.lit("a file of too many rows")).cast("long"))
+                    return df.select("*", F.shiftleft(kind(path), PLACE_BITS).bitwiseOR(place).alias(row))
     return stored(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
@@ -190,17 +250,21 @@ def id_filter(ids, column: str):
     return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))), shared
 
 
+def drop_folders(spark, paths) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in paths:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark, *done) -> None:
     """Removes the files of frames made by stored(), and broadcasts, that nothing reads any more, and lets Spark drop the shuffle
     files of finished steps: these go when the driver's JVM collects its garbage, which a mostly idle
     driver may not do before executors' disks fill."""
-    jvm = spark.sparkContext._jvm
     frames = [x for x in done if not isinstance(x, Broadcast)]
     for x in done:
         if isinstance(x, Broadcast):
             x.destroy()
-    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folders(spark, {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()})
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()

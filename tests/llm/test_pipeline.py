@@ -71,3 +71,45 @@ def test_values_of_clashing_columns_survive(spark, make_prose):
         assert {(r["doc_id"], r["row"], r["kept_text"], r["score"]) for r in out.collect()} <= {(i, i + 50, f"k{i}", 0.5) for i in range(4)}
     cut = {r["doc_id"]: r["text"] for r in P.repeated_passages(spark, df, SF).collect()}
     assert cut[0] == texts[0] and shared not in cut[1] and shared not in cut[2] and cut[3] is None
+
+
+def test_nothing_but_the_result_is_left(spark, tmp_path, make_prose):
+    """Of a whole run only the last table stays in the shared folder."""
+    import pathlib
+    import random
+
+    rng = random.Random(5)
+    texts = [make_prose(rng, 60) for _ in range(40)]
+    texts += [t + " " + make_prose(rng, 2) for t in texts[:8]]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    from strikeflow.llm.textcore import shared_dir
+
+    root = pathlib.Path(shared_dir(spark, "x").removeprefix("file:")).parent
+    before = {p.name for p in root.iterdir()}
+    out = P.run(spark, str(tmp_path))
+    assert {p.name.rsplit("-", 1)[0] for p in root.iterdir() if p.name not in before} == {"pipeline-token_ids"}
+    assert 30 <= out.count() <= 48
+
+
+def test_rows_of_files_have_lasting_numbers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strikeflow.llm.textcore import folders_made, numbered
+
+    spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    with folders_made() as made:
+        one = numbered(df.where("id % 3 = 0"), "row", "n")
+        assert not made
+        numbered(df.select(F.explode(F.array("id", "id")).alias("id")), "row", "n")
+        assert len(made) == 1
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = {r["id"]: r["row"] for r in one.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert rows == {r["id"]: r["row"] for r in numbered(df, "row", "n").where("id % 3 = 0").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len(set(rows.values())) == len(rows) == 334

@@ -350,3 +350,61 @@ def test_leaks_against_all_windows(spark, make_prose):
                 if light or u @ v >= (D.COSINE + 1e-3) * np.linalg.norm(u) * np.linalg.norm(v):
                     sure.add((i, k))
     assert len(sure) > 20 and sure <= got <= want
+
+
+def _topics(rng, make_prose, n=6):
+    """Texts of a few subjects, in each of which words and their synonyms stand side by side; and of each subject (words, synonyms)."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    topics = [([word() for _ in range(13)], [word() for _ in range(13)]) for _ in range(n)]
+    texts = []
+    for i in range(5 * n):
+        own, other = topics[i % n]
+        texts.append(" ".join(rng.sample(own + other, 18) + make_prose(rng, 30).split()))
+    return topics, texts
+
+
+def test_the_latent_cosine_finds_what_the_plain_one_misses(spark, make_prose):
+    """Paraphrases: the weighty words of an item are exchanged for words that go with them in the corpus, its ordinary ones stay in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strikeflow.llm import decontaminate as D
+
+    rng = random.Random(41)
+    topics, texts = _topics(rng, make_prose)
+    light = "the of and to in is that for it as was on with be by at this from are or an".split()
+    items, docs = [], list(enumerate(texts))
+    for k, (own, other) in enumerate(topics):
+        small = rng.sample(light, 20)
+        order = rng.sample(range(27), 13)
+        item, copy, a, b = [], [], iter(zip(own, other, strict=True)), iter(small)
+        for i in range(33):
+            mine, its = next(a) if i in order else (None, None)
+            one = next(b) if mine is None else None
+            item.append(one or mine)
+            copy.append(one or its)
+        items.append((k, " ".join(item)))
+        for j in range(5):
+            docs.append((1000 + 10 * k + j, " ".join([*rng.choices(light, k=20), *copy, *rng.choices(light, k=10)])))
+    docs += [(5000 + i, make_prose(rng, 40)) for i in range(200)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    idf, most = D.inverse_frequencies(df.select("text"))
+    heavy = [not D._is_light(D.words_of(pa.array([t]))[0], idf, most) for _, t in items]
+    assert all(heavy)
+    want, plain = set(), set()
+    for d, text in docs:
+        h, bounds = D.words_of(pa.array([text]))
+        for k, t in items:
+            p = D.words_of(pa.array([t]))[0]
+            a, b, _ = D._windows(bounds, D._fits(len(p)))
+            for x, y in zip(a, b, strict=True):
+                if D.is_leak(p.tolist(), h[x:y].tolist())[2]:
+                    want.add((d, k))
+                    words = np.unique(np.concatenate([p, h[x:y]]))
+                    u, v = (np.array([(q == w).sum() * idf[D._cells(np.array([w]))][0] for w in words], float) for q in (p, h[x:y]))
+                    if u @ v >= D.COSINE * np.linalg.norm(u) * np.linalg.norm(v):
+                        plain.add((d, k))
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, bench).collect()}
+    print(len(want), len(plain & want), len(got & want))
+    assert plain <= got <= want and len(want) >= 25
+    assert len(plain) < 0.5 * len(want) and len(got) >= 0.9 * len(want)

@@ -3,10 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet
 in the shared folder and reads back for the next one. All but the last keep the columns of
 documents. Rows with null texts are kept as texts without words; an empty table stays empty.
+
+What a stage stores on the way is removed when the next one begins, by which time its result is to be
+written; folders that the next one's documents are read from stay.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +21,7 @@ from strikeflow.llm.decontaminate import find_leaks
 from strikeflow.llm.ngram_join import ngram_jaccard_join
 from strikeflow.llm.quality import fit_quality, quality_scores
 from strikeflow.llm.suffix_dedup import suffix_dedup
-from strikeflow.llm.textcore import numbered, release, shared_dir
+from strikeflow.llm.textcore import drop_folders, folders_made, numbered, release, shared_dir
 
 #: Documents with a lower score go.
 QUALITY = 0.3
@@ -26,6 +32,32 @@ REPEAT_BYTES = 200
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Folders that the last stage left.
+_left: list[str] = []
+
+
+def _clear(spark: SparkSession, docs: DataFrame | None = None) -> None:
+    read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()} if _left and docs is not None else set()
+    name = lambda path: path.rsplit("/", 1)[-1]
+    done = [p for p in _left if name(p) not in set(map(name, read))]
+    drop_folders(spark, done)
+    _left[:] = [p for p in _left if p not in done]
+
+
+def _stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _clear(spark, docs)
+        with folders_made() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that the documents do not have."""
     while name.lower() in (c.lower() for c in docs.columns):
@@ -33,6 +65,7 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier, trained on the labels of four fifths of them, accepts.
 
@@ -45,6 +78,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_scores(docs, net, score).where(F.col(score) >= QUALITY).select(docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates: that of the smallest doc_id, then the first row; null doc_ids come last.
 
@@ -61,6 +95,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(others, row, "left_anti").drop(row)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of REPEAT_BYTES bytes and more that stand in an earlier document or further up; every row stays, if with less text.
 
@@ -77,6 +112,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.withColumns({"text": text, "n_chars": n_chars}).drop(row, kept)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows in which a benchmark item is found, as find_leaks() has it.
 
@@ -89,6 +125,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(leaks.select(F.col("row").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes, one row for each row; null texts count as empty, other columns are left out."""
     import public_tokenizers
@@ -106,12 +143,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. A stage's table goes when the next one is written."""
+    """All stages over documents. A stage's table goes when the next one is written, with all that was stored for it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        _clear(spark)
         release(spark, *([before] if before is not None else []))
         before = docs = spark.read.parquet(path)
     return docs

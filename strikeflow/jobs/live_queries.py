@@ -9,11 +9,14 @@ from pyspark.sql.types import StructType
 
 from strikeflow.jobs import views as V
 from strikeflow.functions import normalize as N
-from strikeflow.jobs.catalog import BOOK, BOOK_SQL, KEYS, NEWEST, OHLC, SPLIT, _bars_sql, _raw_book, query
+from strikeflow.jobs.catalog import BOOK, BOOK_SQL, KEYS, NEWEST, OHLC, PARSED, SPLIT, _bars_sql, _raw_book, query
 from strikeflow.operators import chain as C
 from strikeflow.operators import resample as R
+from strikeflow.operators.enrich import add_intrinsic_value, add_time_value, join_by_moment
+from strikeflow.operators.guards import refuse, watched
 from strikeflow.schema import CHAIN
 from strikeflow.sources import history as H
+from strikeflow.sources.layout import read_by_moment, write_by_moment
 from strikeflow.sources.shared import shared_dir
 from strikeflow.streaming import live as L
 
@@ -118,6 +121,30 @@ def compacted_history(spark, d):
     return table.read(H.HISTORY).groupBy("base_asset_code", "year").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume")).join(files, ["base_asset_code", "year"])
 
 
+@query(
+    f"""WITH {V.ENRICHED} SELECT {KEYS}, strike, max(price) FILTER (option_type = 'c') AS price_call, max(price) FILTER (option_type = 'p') AS price_put, max(price_status) FILTER (option_type = 'c') AS price_status_call,
+      max(price_status) FILTER (option_type = 'p') AS price_status_put, max(timed_value) FILTER (option_type = 'c') AS timed_value_call, max(timed_value) FILTER (option_type = 'p') AS timed_value_put FROM enriched GROUP BY 1, 2, 3, 4"""
+)
+def desk_by_moment(spark, d):
+    """Join with futures, time value, moneyness and desk over tables laid out by moment: nothing is exchanged between them."""
+    names = {k: f"{k}_{shared_dir(spark, 'x').rsplit('-', 1)[1]}" for k in ("options", "futures")}
+    for k, table in (("options", V.options(spark, d)), ("futures", V.futures(spark, d))):
+        write_by_moment(table, names[k], shared_dir(spark, k), 8)
+    o, f = (read_by_moment(spark, names[k]) for k in ("options", "futures"))
+    rows = C.add_moneyness(add_time_value(add_intrinsic_value(join_by_moment(o, f))))
+    return C.desk(rows, ("price", "price_status", "timed_value"))
+
+
+@query(f"WITH {PARSED} SELECT count(*) AS rows, count(CASE WHEN parse_error THEN 1 END) AS parse_error, count(CASE WHEN last IS NULL AND bid IS NULL AND ask IS NULL THEN 1 END) AS no_price FROM p")
+def watched_book(spark, d):
+    """Faults of a normalised book, counted while it is written."""
+    book = N.normalize_book(_raw_book(spark, d), F.current_timestamp())
+    df, seen = watched(book.select(*BOOK, "parse_error"), parse_error=F.col("parse_error"), no_price=F.col("price").isNull())
+    df.write.parquet(shared_dir(spark, "book"))
+    counts = refuse(seen, parse_error=0.5, no_price=0.5)
+    return spark.createDataFrame([(counts["rows"], counts["parse_error"], counts["no_price"])], "rows long, parse_error long, no_price long")
+
+
 @query(BOOK_SQL)
 def stream_normalized(spark, d):
     """Arriving snapshots normalised and appended to the folder of their kind and asset."""

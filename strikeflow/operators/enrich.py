@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.operators.chain import add_moneyness
-from strikeflow.schema import CALL, DEPENDS, PUT
+from strikeflow.schema import CALL, DEPENDS, MOMENT, PUT
 
 #: Rows of a futures table up to which it is broadcast in the join: 2 million rows of 24 bytes.
 BROADCAST_ROWS = 2_000_000
@@ -32,6 +32,16 @@ def join_option_with_future(options: DataFrame, futures: DataFrame, keys: tuple[
     return options.drop("underlying_price").join(f, on, "left").drop("f_timestamp", "f_expiration", *(f"f_{k}" for k in keys))
 
 
+def join_by_moment(options: DataFrame, futures: DataFrame) -> DataFrame:
+    """join_option_with_future() for tables that are laid out by MOMENT (see layout.py): an asset's futures of a moment, a few, become one row, the
+    two meet on the moment alone, and the expiry is looked up there, null to null. Nothing is exchanged, and what follows by chain finds its rows together."""
+    future = F.struct("expiration_date", "price")
+    of = futures.groupBy(*MOMENT).agg(F.collect_list(future).alias("_futures"))
+    rows = options.drop("underlying_price").join(of, list(MOMENT), "left")
+    own = F.filter("_futures", lambda f: f["expiration_date"].eqNullSafe(F.col("underlying_expiration_date")))
+    return rows.withColumn("underlying_price", F.array_max(F.transform(own, lambda f: f["price"]))).drop("_futures")
+
+
 def add_intrinsic_value(df: DataFrame) -> DataFrame:
     gain = F.when(F.col("option_type") == CALL, F.col("underlying_price") - F.col("strike")).when(F.col("option_type") == PUT, F.col("strike") - F.col("underlying_price")).otherwise(0.0)
     return df.withColumn("intrinsic_value", F.when(gain > 0, gain).when(gain <= 0, 0.0))

@@ -46,6 +46,8 @@ FUTURE_DEFAULT = ("timestamp", "expiration_date", "price")
 DEPENDS = {"underlying_price": (), "intrinsic_value": ("underlying_price",), "timed_value": ("intrinsic_value",), "price_status": ("underlying_price",)}
 
 CHAIN = ("base_asset_code", "timestamp", "expiration_date")
+#: What options and futures of one time have in common: every chain lies within one.
+MOMENT = ("base_asset_code", "timestamp")
 CONTRACT = ("base_asset_code", "expiration_date", "option_type", "strike")
 
 

@@ -290,3 +290,26 @@ def test_feeds_that_fall_silent(spark, tmp_path):
     assert arrive(("b", at(3, 2)), ("c", at(3, 2))) == [("a", 1, at(2, 1))]
     # a returns, told once; b goes on, c not
     assert arrive(("a", at(3, 5)), ("b", at(4, 3)), ("b", at(5, 3))) == [("a", 1, at(2, 1)), ("a", 3, at(4, 6)), ("c", 3, at(4, 3))]
+
+
+def test_nothing_is_exchanged_between_tables_laid_out_by_moment(spark):
+    from strikeflow.jobs import live_queries as Q
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = Q.desk_by_moment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Window" in plan and "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_faults_are_told_by_the_pass_that_writes(spark, tmp_path):
+    from strikeflow.operators.guards import refuse, watched
+
+    df = spark.createDataFrame([(1, None), (2, 3.0), (3, 4.0)], "id int, price double")
+    rows, seen = watched(df, no_price=F.col("price").isNull())
+    rows.write.parquet(f"{tmp_path}/t")
+    assert refuse(seen, no_price=0.5) == {"rows": 3, "no_price": 1}
+    with pytest.raises(ValueError, match="no_price: 1 of 3"):
+        refuse(seen)

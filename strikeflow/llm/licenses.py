@@ -142,23 +142,34 @@ RULES = _rules()
 
 @functools.cache
 def _compiled():
-    """Compiled rules, and the rarest-looking keyword of each: the one that gates it."""
-    gates = [max(keywords, key=len) for _, _, keywords, _ in RULES]
-    by_gate: dict[str, list] = {}
-    for (label, pattern, keywords, priority), gate in zip(RULES, gates, strict=True):
-        by_gate.setdefault(gate, []).append((label, re.compile(pattern), keywords, priority))
-    return by_gate
+    """An automaton of all keywords with their numbers, and for each that gates rules - the rarest-looking one of a rule - these rules."""
+    import ahocorasick
 
+    words = sorted({k for _, _, keywords, _ in RULES for k in keywords})
+    number = {k: i for i, k in enumerate(words)}
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, i in number.items():
+        machine.add_word(k, i)
+    machine.make_automaton()
+    by_gate: dict[int, list] = {}
+    for label, pattern, keywords, priority in RULES:
+        by_gate.setdefault(number[max(keywords, key=len)], []).append((label, re.compile(pattern), frozenset(number[k] for k in keywords), priority))
+    return machine, by_gate
 
-def detect(words: list[str]) -> list[tuple[int, int, str, int]]:
-    """Kept detections (first word, end, label, priority) in a list of words."""
+
+def keywords_in(text: str) -> set[int]:
+    """Numbers of all keywords that stand in the text, be it inside longer words, found in one pass."""
+    return {i for _, i in _compiled()[0].iter(text)}
+
+
+def detect(words: list[str], have: set[int] | None = None) -> list[tuple[int, int, str, int]]:
+    """Kept detections (first word, end, label, priority) in a list of words; `have`: the keywords that are there, if known."""
     text = " ".join(words)
-    found, has = [], functools.cache(text.__contains__)
-    for gate, rules in _compiled().items():
-        if not has(gate):
-            continue
-        for label, pattern, keywords, priority in rules:
-            if all(map(has, keywords)):
+    have, by_gate = keywords_in(text) if have is None else have, _compiled()[1]
+    found = []
+    for gate in have & by_gate.keys():
+        for label, pattern, keywords, priority in by_gate[gate]:
+            if keywords <= have:
                 found += [(m.start(), m.end(), label, priority) for m in pattern.finditer(text)]
     if not found:
         return []
@@ -188,8 +199,17 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
     return out
 
 
+def covered(kept: list[tuple[int, int, str, int]]) -> int:
+    """How many words lie within a detection."""
+    total, last = 0, 0
+    for a, b, *_ in sorted(kept):
+        total += max(0, b - max(a, last))
+        last = max(last, b)
+    return total
+
+
 def _scan(batches):
-    gates = [g.encode() for g in _compiled()]
+    gates = _compiled()[1].keys()
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     for piece in pieces(batches):
         data, offs = buffers(piece.column("text"))
@@ -199,15 +219,15 @@ def _scan(batches):
         raw = data.tobytes()
         for i in range(piece.num_rows):
             places, kept = [], []
-            text = raw[offs[i] : offs[i + 1]]
-            if any(g in text for g in gates):
-                a, b = bounds[i], bounds[i + 1]
+            a, b = bounds[i], bounds[i + 1]
+            # Keywords are single words: what stands in the text stands in its words.
+            have = keywords_in(raw[offs[i] : offs[i + 1]].decode("utf-8", "replace"))
+            if not gates.isdisjoint(have):
                 words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                places, kept = base_places(words), detect(words)
+                places, kept = base_places(words), detect(words, have)
             at = [x for x, _ in places]
             base = {x for _, x in places}
-            top = max([p for *_, p in kept], default=0)
-            rows.append((len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in kept})), min(1.0, top / (NAMED + 20)) if kept else float(bool(places))))
+            rows.append((len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in kept})), covered(kept) / max(1, int(b - a))))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         cols = list(zip(*rows, strict=True))
         yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(bounds)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
@@ -219,7 +239,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the whole text with A-Z lower-cased. n_base counts all
     places of the base phrases, whatever else is found there; first_word and last_word are
     the least and largest start (null without any). labels adds what the rules detect.
-    score is the priority of the best kept detection as a share of the highest one. Null and
+    score is the share of the text's words that lie within detections: 1 for a license's own text, little for a mention in a long text. Null and
     empty texts have no words and no labels (empty strings). Repeated rows give a row each; null doc_ids stay;
     other columns are ignored; an empty table gives no rows.
     """

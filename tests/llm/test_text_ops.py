@@ -218,8 +218,8 @@ def test_licenses_without_gates(spark, monkeypatch):
     words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD)) for t in texts]
     got = [detect(w) for w in words]
     rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    ungated = {"": [(label, re.compile(pattern), (), priority) for label, pattern, _, priority in RULES]}
-    monkeypatch.setattr(licenses, "_compiled", lambda: ungated)
+    every = set(range(len({k for r in licenses.RULES for k in r[2]})))
+    monkeypatch.setattr(licenses, "keywords_in", lambda text: every)
     want = [detect(w) for w in words]
     assert got == want and all(want[:11])
     base = [{label for phrase, label in BASE.items() if f" {phrase} " in f" {' '.join(w)} "} for w in words]

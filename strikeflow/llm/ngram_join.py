@@ -30,6 +30,8 @@ CELLS = 1 << 23
 SLICES = 1024
 #: Rows of one shingle that go to one task; frequent shingles are salted.
 SALTED = 1 << 14
+#: Shingles of a part of the buckets, of which about a quarter are in prefixes: some 100 MB of arrays.
+PART_SHINGLES = 1 << 24
 #: Open buckets of up to so many rows are compared in full, larger ones only after a second pivot.
 SMALL_BUCKET = 16
 #: Ratio of neighbouring size classes in which rows of a bucket meet.
@@ -333,10 +335,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, salted: int = SALTED) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of each row, equal sets having one node, and (node, root) of the linked nodes."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
     seen = stored(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, node long, slice int, cells binary"), "ngram-sets")
     freq, total = _frequencies(seen)
+    # A part of the buckets is one task's arrays: as many parts as keep it small, whatever the corpus.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, int(-(-total // PART_SHINGLES)))
     cells = spark.sparkContext.broadcast((freq, total / CELLS))
     packed = docs.select("text").mapInArrow(_prefixes(n, num, den, parts, salted, cells), "part int, grams binary, salts binary, nodes binary, sizes binary, positions binary")
     buckets = stored(packed.groupBy("part").applyInArrow(_shared(num, den), "gram long, node long, size int, pos int, members int, pivot long"), "ngram-buckets")

@@ -123,3 +123,19 @@ def test_components(spark, local):
         return x
 
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_more_parts_for_more_shingles(spark, make_prose, monkeypatch):
+    """Parts by volume give the same links."""
+    import random
+
+    from strikeflow.llm import ngram_join as J
+
+    rng = random.Random(9)
+    texts = [make_prose(rng, 50) for _ in range(40)]
+    texts += [t + " " + make_prose(rng, 3) for t in texts[::2]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, J.ngram_jaccard_join(df).collect()))
+    monkeypatch.setattr(J, "PART_SHINGLES", 20)
+    assert sorted(map(tuple, J.ngram_jaccard_join(df).collect())) == want
+    assert len({r[2] for r in want}) == 40

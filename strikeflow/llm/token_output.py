@@ -152,6 +152,19 @@ def token_shards(docs: DataFrame, path: str, pattern: str, key: int = 1, length:
     return ordered.mapInArrow(_pack(length, end), _SHARDS)
 
 
+def _digest(store, path: str) -> str | None:
+    """Of a file's bytes, if it is there."""
+    from pyarrow import fs
+
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    out = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while chunk := f.read(1 << 20):
+            out.update(chunk)
+    return out.hexdigest()
+
+
 def _written(folder: str):
     from pyarrow import fs
 
@@ -160,10 +173,9 @@ def _written(folder: str):
         store.create_dir(root, recursive=True)
         for b in batches:
             names = []
-            for shard, payload in zip(b.column("shard").to_pylist(), b.column("payload"), strict=True):
+            for shard, payload, digest in zip(b.column("shard").to_pylist(), b.column("payload"), b.column("sha256").to_pylist(), strict=True):
                 name = f"shard-{shard:010d}.bin"
-                known = store.get_file_info(f"{root}/{name}")
-                if known.size != len(payload.as_py()):
+                if _digest(store, f"{root}/{name}") != digest:
                     # Under its own name only when it is whole; an attempt that is run again writes the same bytes.
                     part = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}"
                     with store.open_output_stream(part) as out:
@@ -178,7 +190,8 @@ def _written(folder: str):
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Writes each shard of token_shards() as a file of n_sequences * stride bytes in `folder` - a URI that driver and
     executors share - and returns the index: the shards without payloads, with the name of their `file`. Files that
-    are there in full are kept, so that a job that stopped goes on where it was."""
+    are there with the same bytes are kept, so that a job that stopped goes on where it was; any others of these names are replaced. An empty table
+    writes an empty index and no files."""
     schema = StructType([*(f for f in shards.schema.fields if f.name != "payload")]).add("file", StringType())
     index = shards.mapInArrow(_written(folder), schema)
     at = f"{folder.rstrip('/')}/_index"

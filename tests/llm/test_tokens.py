@@ -123,6 +123,20 @@ def test_shard_files(spark, odd_docs, tmp_path):
     assert b"".join(f.read_bytes() for f in files) == want and files[1].stat().st_mtime_ns == kept
 
 
+def test_files_of_other_bytes_are_written_again(spark, odd_docs, no_docs, tmp_path):
+    import pathlib
+
+    shards = T.token_shards(odd_docs, PATH, P.PATTERN, length=16, shard=64)
+    folder = f"file://{tmp_path}/s"
+    index = T.write_shards(shards, folder)
+    file = pathlib.Path(tmp_path, "s", index.first()["file"])
+    whole = file.read_bytes()
+    file.write_bytes(bytes(len(whole)))
+    T.write_shards(shards, folder)
+    assert file.read_bytes() == whole
+    assert T.write_shards(T.token_shards(no_docs, PATH, P.PATTERN), f"file://{tmp_path}/n").count() == 0
+
+
 def test_a_long_turn_takes_little_memory():
     """20 million characters, of controls and others, read back within 1 GB."""
     import subprocess

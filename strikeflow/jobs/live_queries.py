@@ -55,14 +55,14 @@ def priced_options_year(spark, d):
 NIGHTS = (datetime(1997, 1, 1), datetime(1998, 1, 1))
 LATE = "l_suppkey % 4 = 0 AND timestamp >= TIMESTAMP '{0}-10-03' AND timestamp < TIMESTAMP '{1}-01-01'"
 TOO_LATE = "l_suppkey % 4 = 1 AND timestamp < TIMESTAMP '1995-01-01'"
-UPDATES = f"""{V.QUOTES}, updates AS (SELECT base_asset_code, base_asset_code || '-' || option_type AS asset_code, CAST(date_trunc('quarter', original_timestamp) + to_days(CAST(l_linenumber % 3 AS INTEGER)) + to_hours(CAST(12 * (l_orderkey % 2) AS INTEGER)) AS TIMESTAMP) AS timestamp,
-  original_timestamp, premium AS price, volume, bid AS iv, l_suppkey FROM quotes)"""
+UPDATES = f"""{V.QUOTES}, updates AS (SELECT substring(base_asset_code, 1, 7) AS base_asset_code, base_asset_code || '-' || option_type AS asset_code, CAST(date_trunc('quarter', original_timestamp) + to_days(CAST(l_linenumber % 3 AS INTEGER)) + to_hours(CAST(12 * (l_orderkey % 2) AS INTEGER)) AS TIMESTAMP) AS timestamp,
+  original_timestamp, premium AS price, volume, CASE WHEN bid IS NOT NULL THEN volume END AS iv, l_suppkey FROM quotes)"""
 ORDER = "(timestamp, original_timestamp, price, volume)"
 
 
 @query(
     f"""WITH {UPDATES} SELECT base_asset_code, asset_code, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS timestamp, CAST(year(timestamp) AS INTEGER) AS year, arg_min(price, {ORDER}) AS open, max(price) AS high, min(price) AS low, arg_max(price, {ORDER}) AS close,
-      arg_max(price, {ORDER}) AS price, arg_max(volume, {ORDER}) AS volume, round(avg(iv), 6) AS iv, count(iv) AS iv_count FROM updates WHERE NOT ({TOO_LATE}) GROUP BY 1, 2, 3, 4"""
+      arg_max(price, {ORDER}) AS price, arg_max(volume, {ORDER}) AS volume, avg(iv) AS iv, count(iv) AS iv_count FROM updates WHERE NOT ({TOO_LATE}) GROUP BY 1, 2, 3, 4"""
 )
 def nightly_merge(spark, d):
     """Three nights over one growing folder of update files: each finds its start in the history and takes files that are new from there on.
@@ -70,8 +70,8 @@ def nightly_merge(spark, d):
     q = V.quotes(spark, d)
     time = F.expr("cast(cast(date_trunc('quarter', original_timestamp) as timestamp_ntz) + make_dt_interval(l_linenumber % 3, 12 * (l_orderkey % 2)) as timestamp_ntz)")
     rows = q.select(
-        F.lit("x").alias("exchange_code"), "base_asset_code", F.lit("o").alias("asset_type"), F.concat_ws("-", "base_asset_code", "option_type").alias("asset_code"), time.alias("timestamp"), "original_timestamp",
-        F.col("premium").alias("price"), "volume", F.col("bid").alias("iv"), "l_suppkey",
+        F.lit("x").alias("exchange_code"), F.substring("base_asset_code", 1, 7).alias("base_asset_code"), F.lit("o").alias("asset_type"), F.concat_ws("-", "base_asset_code", "option_type").alias("asset_code"), time.alias("timestamp"), "original_timestamp",
+        F.col("premium").alias("price"), "volume", F.when(F.col("bid").isNotNull(), F.col("volume")).alias("iv"), "l_suppkey",
     )
     after = sum((F.when(F.col("timestamp") >= F.lit(n), 1).otherwise(0) for n in NIGHTS), F.lit(0))
     late = F.expr(LATE.format(1996, 1997)) | F.expr(LATE.format(1997, 1998))
@@ -83,7 +83,7 @@ def nightly_merge(spark, d):
         H.write_updates(rows.where(F.col("night") == k).drop("night"), f"{updates}/1h", "1h", digits=4)
         H.merge_updates(spark, updates, history, "EOD", model=model, tie=("price", "volume"), ohlc=True)
     made = H.nightly(spark, history).read(H.HISTORY)
-    return made.select("base_asset_code", "asset_code", "timestamp", "year", "open", "high", "low", "close", "price", "volume", F.round("iv", 6).alias("iv"), "iv_count")
+    return made.select("base_asset_code", "asset_code", "timestamp", "year", "open", "high", "low", "close", "price", "volume", "iv", "iv_count")
 
 
 def _kept_history(spark, d, file_rows: int = 0):

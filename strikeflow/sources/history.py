@@ -187,13 +187,14 @@ def merge_updates(spark: SparkSession, updates: str, history: str, timeframe: st
     """
     table = nightly(spark, history)
     start = start or last_update_of(table.partitions(), timeframe)
-    files, known = update_files(spark, updates, timeframe), table.files()
+    # Listed once, so that what arrives meanwhile is for the next night.
+    files, known = update_files(spark, updates, timeframe).persist(), table.files()
     fresh = (files if start is None else files.where(F.col("file_time") >= F.lit(start))).join(known.select("path"), "path", "left_anti")
     changed = files.join(known.select("path", F.col("bytes").alias("_bytes"), F.col("modified").alias("_modified")), "path").where("bytes <> _bytes or modified <> _modified")
-    if changed.take(1):
-        raise ValueError("update files have changed since they were merged; write what is new into new files")
     fresh = fresh.persist()
     try:
+        if changed.take(1):
+            raise ValueError("update files have changed since they were merged; write what is new into new files")
         if not fresh.take(1):
             return False
         schema = StructType([f for f in HISTORY.fields if f.name != "year"])
@@ -221,6 +222,7 @@ def merge_updates(spark: SparkSession, updates: str, history: str, timeframe: st
         return True
     finally:
         fresh.unpersist()
+        files.unpersist()
 
 
 def _digest(files: DataFrame) -> str:

@@ -267,4 +267,5 @@ def release(spark, *done) -> None:
             x.destroy()
     drop_folders(spark, {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()})
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()

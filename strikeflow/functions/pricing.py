@@ -108,8 +108,9 @@ def rolling_volatility(spot: DataFrame, lookback: int = 30, by: str = "asset_cod
 
 
 def market_data(spot: DataFrame, lookback: int = 30, by: str = "asset_code", volatility: float | None = None, rate: float = 0.05, dividend: float = 0.0) -> DataFrame:
-    """Newest spot price, volatility (or the given one), rate and dividend of each asset."""
-    newest = spot.groupBy(by).agg(F.max_by("price", "timestamp").alias("underlying_price"), F.max("timestamp").alias("timestamp"))
+    """Newest known spot price, newest time, volatility (or the given one), rate and dividend of each asset."""
+    known = F.when(F.col("price").isNotNull(), F.col("timestamp"))
+    newest = spot.groupBy(by).agg(F.max_by("price", known).alias("underlying_price"), F.max("timestamp").alias("timestamp"))
     if volatility is None:
         newest = newest.join(realized_volatility(spot, lookback, by), by, "left").withColumnRenamed("volatility", "sigma")
     else:

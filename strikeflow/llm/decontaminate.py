@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents and benchmark items are compared as passages of words. TF-IDF weights come from all
-passages of the corpus, copies of a text counted once; a randomised SVD, computed as sums over the partitions of a
-passage table, gives the latent space; every window of every document is then projected and its cosine with
+passages of the corpus, copies of a text counted once; a randomised SVD of the same passages, computed as sums over their
+partitions, gives the latent space. Both tell words by cells of a table of hashes: words of one cell count as one, which can add candidates and lose none. Every window of every document is then projected and its cosine with
 every benchmark passage of its length class taken, in blocks of matrices. Candidates are
 settled by their longest common subsequence with the passage and, for paraphrases, by
 whether the passage's answer (its last words) is there as well.
@@ -18,6 +18,7 @@ words are exchanged for such companions has a small plain cosine, and a latent c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ COMMON = 0.05
 #: Lengths of windows; a benchmark passage goes with the first that is at least 1.2 times its length.
 WINDOWS = (8, 12, 18, 27, 40, 60, 80)
 PART_WORDS = 64
-#: Leading directions of the corpus, words that they are over beside the benchmark's, and companions that a passage gets.
+#: Leading directions of the corpus, cells of its most widespread words that they are over beside the benchmark's, and companions that a passage gets.
 LATENT, LATENT_WORDS, COMPANIONS = 64, 8192, 32
 #: A companion goes with the passage's words at least by this share of what the one of these that goes best with the others has.
 LEAST_WEIGHT = 0.25
@@ -45,8 +46,10 @@ COMPANION_WEIGHT = 1.3
 SHARED = 128
 #: Benchmark passages handled in one pass over the corpus: bounds what is broadcast.
 BLOCK = 1024
-#: Corpus documents that the leading directions are fitted on, and tasks that do it.
-SAMPLE_DOCS, SAMPLE_TASKS = 1024, 8
+#: Passages that are multiplied with a basis at a time.
+DENSE = 128
+#: Rows of a matrix that is summed over tasks go to so many groups.
+SLICES = 64
 COSINE = 0.5
 SURE, LIKELY, ANSWER_WORDS = 0.8, 0.6, 5
 
@@ -63,16 +66,32 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h & U64(CELLS - 1)).astype(np.int64)
 
 
+def _by_passage(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The values of words as a sorted row of PASSAGE for each passage; passages are short of words by the -1 that come first."""
+    count = -(-np.diff(bounds) // PASSAGE)
+    place = np.arange(len(values)) + np.repeat((np.cumsum(count) - count) * PASSAGE - bounds[:-1], np.diff(bounds))
+    out = np.full(int(count.sum()) * PASSAGE, -1, np.int32)
+    out[place] = values
+    out = out.reshape(-1, PASSAGE)
+    out.sort(axis=1)
+    return out
+
+
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Where in sorted rows a value other than -1 stands first."""
+    out = rows >= 0
+    out[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+    return out
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task: in how many passages the words of each cell stand; slice -1 counts passages."""
     seen, total = np.zeros(CELLS, np.int64), 0
     for piece in pieces(batches):
         h, bounds = words_of(piece.column("text"))
-        count = -(-np.diff(bounds) // PASSAGE)
-        row = np.repeat(np.arange(len(count)), np.diff(bounds))
-        of = (np.cumsum(count) - count)[row] + (np.arange(len(h)) - bounds[:-1][row]) // PASSAGE
-        seen += np.bincount(np.unique(of * CELLS + _cells(h)) % CELLS, minlength=CELLS)
-        total += int(count.sum())
+        rows = _by_passage(_cells(h), bounds)
+        np.add.at(seen, rows[_firsts(rows)], 1)
+        total += len(rows)
     parts = [(i, p) for i, p in enumerate(np.split(seen, 64)) if p.any()] + [(-1, np.array([total]))]
     yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([p.astype("<i8").tobytes() for _, p in parts], pa.binary())], names=["slice", "counts"])
 
@@ -85,22 +104,31 @@ def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """log((N + 1) / (n + 1)) for each cell of hashed words, from all N passages of different texts, 0 for common
-    words; and the weight log(N + 1) that no word exceeds."""
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many passages of the given texts the words of each cell stand, and the number of passages."""
     seen, total = np.zeros(CELLS), 0
-    for r in docs.distinct().mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").toLocalIterator():
+    for r in texts.mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").toLocalIterator():
         counts = np.frombuffer(r["counts"], "<i8")
         if r["slice"] < 0:
             total = int(counts[0])
         else:
             seen[r["slice"] * (CELLS // 64) : (r["slice"] + 1) * (CELLS // 64)] = counts
+    return seen, total
+
+
+def _weights(seen: np.ndarray, total: int) -> tuple[np.ndarray, float]:
     idf = np.log((total + 1) / (seen + 1)).astype(np.float32)
     # Of a few passages a word may be in all and still tell them apart.
     idf[seen > max(COMMON * total, 16)] = 0
     return idf, float(np.log(total + 1))
 
 
+def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """log((N + 1) / (n + 1)) for each cell of hashed words, from all N passages of different texts, 0 for common
+    words; and the weight log(N + 1) that no word exceeds."""
+    return _weights(*frequencies(docs.distinct()))
+
+
 def benchmark_passages(items: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray]]:
     """(item, word hashes): items of more than PART_WORDS words are cut evenly; items without words have none."""
     out = []
@@ -112,28 +140,51 @@ def benchmark_passages(items: list[tuple[int, str | None]]) -> list[tuple[int, n
 
 
 def _rows(passages: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows over the vocabulary, of unit length."""
+    """TF-IDF rows over the vocabulary's cells, of unit length."""
     x = np.zeros((len(passages), len(vocabulary)), np.float32)
-    for r, p in zip(x, passages, strict=True):
+    for r, p in zip(x, map(_cells, passages), strict=True):
         at = np.minimum(np.searchsorted(vocabulary, p), len(vocabulary) - 1)
         here = vocabulary[at] == p
-        np.add.at(r, at[here], idf[_cells(p[here])])
+        np.add.at(r, at[here], idf[p[here]])
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _moments(vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
-    """Of a task's passages: the sum of a (a . basis), their part of the product of the covariance with the basis."""
+def _places(vocabulary: np.ndarray) -> np.ndarray:
+    """Of each cell its place in the vocabulary, or -1."""
+    out = np.full(CELLS, -1, np.int16 if len(vocabulary) < 1 << 15 else np.int32)
+    out[vocabulary] = np.arange(len(vocabulary))
+    return out
+
+
+def _moments(shared):
+    """Of a task's passages: the sum of a (a . basis), their part of the product of the covariance with the basis, in slices of rows."""
 
     def run(batches):
-        total = np.zeros(basis.shape, np.float64)
+        vocabulary, weights, basis = shared.value
+        place = _places(vocabulary)
+        total, here, nth = np.zeros(basis.shape, np.float64), np.zeros(len(vocabulary), bool), np.zeros(len(vocabulary), np.int64)
         for piece in pieces(batches):
             h, bounds = words_of(piece.column("text"))
-            parts = [p for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a for p in np.array_split(h[a:b], -(-(b - a) // PASSAGE))]
-            for k in range(0, len(parts), 512):
-                x = _rows(parts[k : k + 512], vocabulary, idf)
-                total += x.T @ (x @ basis)
+            rows = _by_passage(place[_cells(h)], bounds)
+            # A block of passages has few different words: dense products over these.
+            for k in range(0, len(rows), DENSE):
+                some = rows[k : k + DENSE]
+                at = np.flatnonzero(some.ravel() >= 0)
+                first = np.flatnonzero(_firsts(some).ravel()[at])
+                if not len(first):
+                    continue
+                word, of = some.ravel()[at[first]], at[first] // PASSAGE
+                here[word] = True
+                used = np.flatnonzero(here)
+                here[used] = False
+                nth[used] = np.arange(len(used))
+                x = np.zeros((len(some), len(used)), np.float32)
+                x[of, nth[word]] = weights[word] * np.diff(first, append=len(at))
+                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+                total[used] += x.T @ (x @ basis[used])
         if total.any():
-            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+            parts = np.array_split(total.astype("<f4"), SLICES)
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
 
     return run
 
@@ -142,54 +193,40 @@ def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     total = 0
     for b in batches:
         for c in b.column("counts").to_pylist():
-            total = total + np.frombuffer(c, np.float64)
-    yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+            total = total + np.frombuffer(c, "<f4").astype(np.float64)
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
 
-def latent_space(sample: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int = LATENT) -> tuple[np.ndarray, np.ndarray]:
-    """Randomised SVD: the leading right singular vectors (vocabulary x rank) of the weighted passage matrix of the sample, and the squares of their singular values. Each product with
-    the covariance is a sum over the partitions of the passage table; benchmark passages are not in it."""
+def latent_space(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int = LATENT) -> tuple[np.ndarray, np.ndarray]:
+    """Randomised SVD: the leading right singular vectors (vocabulary x rank) of the weighted matrix of all passages of the given texts, and the squares of their singular values.
+    Each of two products with the covariance is a scan of the texts, a sum over their partitions."""
+    spark = texts.sparkSession
     size = min(rank + 16, len(vocabulary))
     basis = np.random.default_rng(7).standard_normal((len(vocabulary), size))
     for _ in range(2):
         basis = np.linalg.qr(basis)[0].astype(np.float32)
-        made = sample.mapInArrow(_moments(vocabulary, idf, basis), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").toLocalIterator()
-        product = sum((np.frombuffer(r["counts"], np.float64).reshape(basis.shape) for r in made), np.zeros(basis.shape))
+        shared = spark.sparkContext.broadcast((vocabulary, idf[vocabulary], basis))
+        made = texts.mapInArrow(_moments(shared), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary")
+        product = np.zeros(basis.shape)
+        rows = np.array_split(product, SLICES)
+        for r in made.toLocalIterator():
+            rows[r["slice"]][:] = np.frombuffer(r["counts"], np.float64).reshape(rows[r["slice"]].shape)
+        shared.destroy()
         last, basis = basis, product
     strength, turn = np.linalg.eigh((last.T @ product + product.T @ last) / 2)
-    # Directions that the sample does not have would be arbitrary.
+    # Directions that the corpus does not have would be arbitrary.
     lead = [k for k in range(size - 1, -1, -1) if strength[k] > 1e-6 * max(strength[-1], 1e-30)][:rank]
     return (last @ turn[:, lead]).astype(np.float32), strength[lead].astype(np.float32)
 
 
-def _counted_words(idf: np.ndarray):
-    """Words with weight of a task's passages, and in how many passages they stand."""
-
-    def run(batches):
-        words, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for piece in pieces(batches):
-            h, bounds = words_of(piece.column("text"))
-            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            part = (np.arange(len(h)) - bounds[:-1][row]) // PASSAGE
-            keep = idf[_cells(h)] > 0
-            once = np.unique(np.stack([row[keep].astype(U64), part[keep].astype(U64), h[keep]], 1), axis=0)[:, 2]
-            w, n = np.unique(once, return_counts=True)
-            words.append(w)
-            counts.append(n)
-        yield pa.record_batch([pa.array(np.concatenate(words).view(np.int64)), pa.array(np.concatenate(counts))], names=["word", "n"])
-
-    return run
-
-
-def _latent_words(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """The words of most passages of the sample, LATENT_WORDS at most, of two passages at least."""
-    made = sample.mapInArrow(_counted_words(idf), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = made.orderBy(F.desc("n"), "word").limit(LATENT_WORDS).select("word").collect()
-    return np.array([r["word"] for r in rows], np.int64).view(U64)
+def _latent_cells(seen: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The cells with weight of most passages of the corpus, LATENT_WORDS at most, of two passages at least."""
+    some = np.flatnonzero((seen > 1) & (idf > 0))
+    return some[np.argsort(-seen[some], kind="stable")[:LATENT_WORDS]]
 
 
 def with_companions(passages: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, space: np.ndarray, strength: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(words, weights) that each passage's latent vector has beside its own words: those that go with these in the corpus, as its leading
+    """(cells, weights) that each passage's latent vector has beside its own words: those that go with these in the corpus, as its leading
     directions have it. A weight is the passage's greatest, in proportion to how well the companion goes with it."""
     out = []
     for k in range(0, len(passages), 256):
@@ -223,6 +260,15 @@ def is_leak(words: list[int], window: list[int]) -> tuple[float, bool, bool]:
     most = sum(map(set(words).__contains__, window)) / len(words)
     if most < LIKELY:
         return most, False, False
+    # Nor has it a word more often than the passage.
+    left, most = Counter(words), 0
+    for x in window:
+        n = left.get(x, 0)
+        if n:
+            left[x] = n - 1
+            most += 1
+    if most < LIKELY * len(words):
+        return most / len(words), False, False
     share = lcs(words, window) / len(words)
     if share < LIKELY:
         return share, False, False
@@ -252,12 +298,14 @@ def _windows(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.
     return a, np.minimum(a + size, bounds[1:][row]), row
 
 
-def _by_count(h: np.ndarray, bounds: np.ndarray, light: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, None, float, bool]]:
-    """(row, item, first word, end, no cosine, share, answer) of the leaks of the passages of `light`, whatever their words weigh."""
+def _by_count(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, some: np.ndarray, light: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, None, float, bool]]:
+    """(row, item, first word, end, no cosine, share, answer) of the leaks of the passages of `light`, whatever their words weigh; `some` marks
+    the cells of these words."""
     vocabulary = np.unique(np.concatenate([p for _, p in light]))
-    place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    known = np.flatnonzero(vocabulary[place] == h)
-    place = place[known]
+    known = np.flatnonzero(some[cells])
+    place = np.minimum(np.searchsorted(vocabulary, h[known]), len(vocabulary) - 1)
+    here = vocabulary[place] == h[known]
+    known, place = known[here], place[here]
     nth = np.zeros(len(h) + 1, np.int64)
     nth[known + 1] = 1
     nth = np.cumsum(nth)
@@ -288,20 +336,18 @@ def _times(words: np.ndarray, at: np.ndarray):
     return within
 
 
-def _by_cosine(h: np.ndarray, bounds: np.ndarray, idf: np.ndarray, group: tuple) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
-    """(row, item, first word, end, cosine, share, answer) of the leaks of the passages of a latent space."""
-    vocabulary, space, classes = group
-    table = idf[_cells(vocabulary)][:, None] * space
+def _by_cosine(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, weight: np.ndarray, all_: np.ndarray, group: tuple) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
+    """(row, item, first word, end, cosine, share, answer) of the leaks of the passages of a latent space. `weight`: squared weights of
+    the words, `all_`: their sums before each word."""
+    table, places, classes, every, owned = group
     n = np.diff(bounds)
-    weight = idf[_cells(h)] ** 2
-    place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    known = np.flatnonzero((vocabulary[place] == h) & (weight > 0))
+    place = places[cells]
+    known = np.flatnonzero(place >= 0)
     nth = np.zeros(len(h) + 1, np.int64)  # known words before each word
     nth[known + 1] = 1
     nth = np.cumsum(nth)
-    all_ = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
     spans_, times = [], _times(place[known], known)
-    for size, *_, own in classes:
+    for size, _, _, _, own, *_ in classes:
         a, b, row = _windows(bounds, size)
         mine = np.concatenate([[0], np.cumsum(np.where(own[place[known]], weight[known] * times(size), 0), dtype=np.float64)])
         whole = np.maximum(all_[b] - all_[a], 1e-9)
@@ -309,30 +355,43 @@ def _by_cosine(h: np.ndarray, bounds: np.ndarray, idf: np.ndarray, group: tuple)
         # stands in it c times adds c * c times its weight, and for each place _times() is at least c.
         near = np.flatnonzero(mine[nth[b]] - mine[nth[a]] >= (COSINE * COSINE) * whole)
         spans_.append((a[near], b[near], row[near], whole[near]))
-    # Only texts with such windows are projected.
-    some = np.zeros(len(n), bool)
-    for *_, row, _ in spans_:
-        some[row] = True
-    used = known[np.repeat(some, n)[known]]
+    # Only words in such windows are projected.
+    inside = np.zeros(len(h) + 1, np.int32)
+    for a, b, *_ in spans_:
+        np.add.at(inside, a, 1)
+        np.add.at(inside, b, -1)
+    used = known[np.cumsum(inside)[known] > 0]
+    every = every[cells]
     nth = np.zeros(len(h) + 1, np.int64)
     nth[used + 1] = 1
     nth = np.cumsum(nth)
     latent = np.zeros((len(used) + 1, table.shape[1]), np.float32)
     np.cumsum(table[place[used]], axis=0, out=latent[1:])
-    for (a, b, row, whole), (_, vectors, owners, hashes, _) in zip(spans_, classes, strict=True):
+    for (a, b, row, whole), (size, vectors, owners, hashes, _, whose, least) in zip(spans_, classes, strict=True):
         for k in range(0, len(a), 4096):
             w = np.arange(k, min(k + 4096, len(a)))
             cos = (latent[nth[b[w]]] - latent[nth[a[w]]]) @ vectors.T / np.sqrt(whole[w])[:, None].astype(np.float32)
-            for i, q in zip(*np.nonzero(cos >= COSINE), strict=True):
-                x, y = int(a[w[i]]), int(b[w[i]])
-                share, answer, leak = is_leak(hashes[q], h[x:y].tolist())
-                if leak:
-                    yield int(row[w[i]]), owners[q], x, y, min(1.0, float(cos[i, q])), share, answer
+            found, of = np.nonzero(cos >= COSINE)
+            for j in range(0, len(found), 4096):
+                i, q = found[j : j + 4096], of[j : j + 4096]
+                # A common subsequence has at most as many words as the window has words, or others of their cells, of the passage.
+                at = a[w[i], None] + np.arange(size)
+                at = np.where(at < b[w[i], None], every[np.minimum(at, len(every) - 1)], -1)
+                likely = owned[whose[q][:, None], at].sum(axis=1) >= least[q]
+                for i, q in zip(i[likely].tolist(), q[likely].tolist(), strict=True):
+                    x, y = int(a[w[i]]), int(b[w[i]])
+                    share, answer, leak = is_leak(hashes[q], h[x:y].tolist())
+                    if leak:
+                        yield int(row[w[i]]), owners[q], x, y, min(1.0, float(cos[i, q])), share, answer
 
 
 def _search(shared):
     def run(batches):
         idf, groups, light = shared.value
+        groups = [(idf[vocabulary][:, None] * space, _places(vocabulary), classes, _places(every), owned) for vocabulary, space, classes, every, owned in groups]
+        some = np.zeros(CELLS, bool)
+        for _, p in light:
+            some[_cells(p)] = True
         names = ["row", "doc_id", "item_id", "first_word", "n_words", "cosine", "lcs_share", "answer"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
         for piece in pieces(batches):
@@ -341,9 +400,12 @@ def _search(shared):
                 continue
             best: dict[tuple[int, int], tuple] = {}
             ids, rows = piece.column("doc_id").to_pylist(), piece.column("row").to_pylist()
-            leaks = [_by_cosine(h, bounds, idf, g) for g in groups]
+            cells = _cells(h)
+            weight = idf[cells] ** 2
+            all_ = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
+            leaks = [_by_cosine(h, cells, bounds, weight, all_, g) for g in groups]
             if light:
-                leaks.append(_by_count(h, bounds, light))
+                leaks.append(_by_count(h, cells, bounds, some, light))
             for r, item, x, y, cosine, share, answer in (leak for some in leaks for leak in some):
                 key = (r, item)
                 if key not in best or best[key][6] < share:
@@ -373,16 +435,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, row: str | None = None) ->
     if row is None:
         docs, row = numbered(docs.select("doc_id", "text"), "row", "numbered"), "row"
     docs = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = None
+    texts = seen = None
     out = None
     block: list[tuple[int, np.ndarray]] = []
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator()
 
     def search() -> None:
-        nonlocal out, weights
-        if weights is None:
-            weights = inverse_frequencies(docs.select("text"))
-        found = _block(spark, docs, block, *weights)
+        nonlocal out, texts, seen
+        if texts is None:
+            # Read three times: for frequencies and both products of the SVD.
+            texts = stored(docs.select("text").distinct(), "texts")
+            seen = frequencies(texts)
+        found = _block(docs, texts, block, *seen)
         out = found if out is None else out.unionAll(found)
         block.clear()
 
@@ -394,30 +458,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, row: str | None = None) ->
         search()
     if out is None:
         return spark.createDataFrame([], _FOUND)
+    release(spark, texts)
     return out
 
 
-def _block(spark, docs: DataFrame, block: list[tuple[int, np.ndarray]], idf: np.ndarray, most: float) -> DataFrame:
+def _block(docs: DataFrame, texts: DataFrame, block: list[tuple[int, np.ndarray]], seen: np.ndarray, total: int) -> DataFrame:
+    idf, most = _weights(seen, total)
     light = [(i, p) for i, p in block if _is_light(p, idf, most)]
     block = [(i, p) for i, p in block if not _is_light(p, idf, most)]
-    # SAMPLE_DOCS whole documents, picked by a hash, fit the leading directions.
-    picked = docs.select("row", F.xxhash64("doc_id", "row").alias("h")).orderBy("h", "row").limit(SAMPLE_DOCS).select("row")
     groups = []
     if block:
-        # Stored in a few files: every task that reads it sends a matrix.
-        sample = stored(docs.join(F.broadcast(picked), "row").select("text"), "sample").coalesce(SAMPLE_TASKS)
-        own = np.unique(np.concatenate([p for _, p in block]))
-        vocabulary = np.union1d(own[idf[_cells(own)] > 0], _latent_words(sample, idf))
-        companions = with_companions([p for _, p in block], vocabulary, idf, *latent_space(sample, vocabulary, idf))
+        own = np.unique(_cells(np.concatenate([p for _, p in block])))
+        vocabulary = np.union1d(own[idf[own] > 0], _latent_cells(seen, idf))
+        companions = with_companions([p for _, p in block], vocabulary, idf, *latent_space(texts, vocabulary, idf))
         groups = [_group(block[k : k + SHARED], companions[k : k + SHARED], idf) for k in range(0, len(block), SHARED)]
-        release(spark, sample)
-    return docs.mapInArrow(_search(spark.sparkContext.broadcast((idf, groups, light))), _FOUND)
+    return docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast((idf, groups, light))), _FOUND)
 
 
 def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple:
-    """(vocabulary, basis, classes of windows) of at most SHARED passages; each has its own vector and, if it has companions, its latent one."""
-    vocabulary = np.unique(np.concatenate([p for _, p in block] + [w for w, _ in companions]))
-    vocabulary = vocabulary[idf[_cells(vocabulary)] > 0]
+    """(vocabulary, basis, classes of windows, all cells, which passage has which) of at most SHARED passages; each has its own vector and, if it has companions, its latent one."""
+    vocabulary = np.unique(np.concatenate([_cells(p) for _, p in block] + [w for w, _ in companions]))
+    vocabulary = vocabulary[idf[vocabulary] > 0]
     plain = _rows([p for _, p in block], vocabulary, idf)
     of = [i for i, (w, _) in enumerate(companions) if len(w)]
     latent = plain[of]
@@ -429,11 +490,16 @@ def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarra
     space = np.linalg.qr(queries.T.astype(np.float64))[0].astype(np.float32)
     vectors = queries @ space
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    # Words without weight count in common subsequences; the last column is that of other words.
+    every = np.unique(np.concatenate([_cells(p) for _, p in block]))
+    owned = np.zeros((len(block), len(every) + 1), bool)
+    for r, (_, p) in zip(owned, block, strict=True):
+        r[np.searchsorted(every, _cells(p))] = True
     classes = []
     fits = np.array([_fits(len(block[i][1])) for i in whose])
     for w in WINDOWS:
         here = np.flatnonzero(fits == w)
         if len(here):
-            own = np.isin(vocabulary, np.concatenate([x for i in whose[here] for x in (block[i][1], companions[i][0])]))
-            classes.append((w, np.ascontiguousarray(vectors[here]), [block[i][0] for i in whose[here]], [block[i][1].tolist() for i in whose[here]], own))
-    return vocabulary, space, classes
+            own = np.isin(vocabulary, np.concatenate([x for i in whose[here] for x in (_cells(block[i][1]), companions[i][0])]))
+            classes.append((w, np.ascontiguousarray(vectors[here]), [block[i][0] for i in whose[here]], [block[i][1].tolist() for i in whose[here]], own, whose[here], LIKELY * np.array([len(block[i][1]) for i in whose[here]])))
+    return vocabulary, space, classes, every, owned

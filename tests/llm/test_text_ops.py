@@ -408,3 +408,48 @@ def test_the_latent_cosine_finds_what_the_plain_one_misses(spark, make_prose):
     print(len(want), len(plain & want), len(got & want))
     assert plain <= got <= want and len(want) >= 25
     assert len(plain) < 0.5 * len(want) and len(got) >= 0.9 * len(want)
+
+
+def test_the_latent_space_is_that_of_all_passages(spark, make_prose, monkeypatch):
+    """Every different text is in the SVD, once, and its products are those of the dense matrix of all passages."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strikeflow.llm import decontaminate as D
+
+    rng = random.Random(43)
+    texts = [make_prose(rng, rng.randint(0, 150)) for _ in range(1300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:200])] + [(9999, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, make_prose(rng, 40))], "item_id long, text string")
+    seen = []
+    plain = D.latent_space
+
+    def latent_space(given, vocabulary, idf):
+        space, strength = plain(given, vocabulary, idf)
+        seen.append((sorted(r["text"] or "" for r in given.collect()), vocabulary, idf, space, strength))
+        return space, strength
+
+    monkeypatch.setattr(D, "latent_space", latent_space)
+    D.find_leaks(docs, bench).collect()
+    used, vocabulary, idf, space, strength = seen[0]
+    assert sorted(filter(None, used)) == sorted(set(filter(None, texts)))
+    h = [D.words_of(pa.array([t]))[0] for t in set(texts)]
+    x = D._rows([w[i : i + D.PASSAGE] for w in h for i in range(0, len(w), D.PASSAGE)], vocabulary, idf).astype(float)
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+    assert np.allclose(space.T @ (x.T @ (x @ space)), np.diag(strength), atol=1e-3 * strength[0])
+
+
+def test_run_hashes_against_plain_sums():
+    import numpy as np
+
+    from strikeflow.llm import textcore as T
+
+    rng = random.Random(3)
+    data = np.array(rng.choices(range(256), k=3000), np.uint8)
+    data = np.concatenate([data, np.full(T.PIECE_BYTES + 5, 97, np.uint8), data])
+    starts, ends, _ = T.spans(data, np.array([0, len(data)]), T.SPACED)
+    got = T.run_hashes(data, starts, ends)
+    for a, b, h in zip(starts.tolist(), ends.tolist(), got.tolist(), strict=True):
+        if b - a < 2000:
+            want = sum((int(x) + 1) * pow(int(T.BASE), k, 1 << 64) for k, x in enumerate(data[a:b])) + b - a
+            assert h == int(T.mix(np.array([want % (1 << 64)], np.uint64))[0])

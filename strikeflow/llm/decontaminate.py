@@ -47,7 +47,7 @@ SHARED = 128
 #: Benchmark passages handled in one pass over the corpus: bounds what is broadcast.
 BLOCK = 1024
 #: Passages that are multiplied with a basis at a time.
-DENSE = 128
+DENSE = 48
 #: Rows of a matrix that is summed over tasks go to so many groups.
 SLICES = 64
 COSINE = 0.5
@@ -377,7 +377,13 @@ def _by_cosine(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, weight: np.
                 # A common subsequence has at most as many words as the window has words, or others of their cells, of the passage.
                 at = a[w[i], None] + np.arange(size)
                 at = np.where(at < b[w[i], None], every[np.minimum(at, len(every) - 1)], -1)
-                likely = owned[whose[q][:, None], at].sum(axis=1) >= least[q]
+                likely = np.flatnonzero((owned[whose[q][:, None], at] > 0).sum(axis=1) >= least[q])
+                # Nor has it a word more often than the passage.
+                i, q, at = i[likely], q[likely], np.sort(at[likely], axis=1)
+                new = np.ones(at.shape, bool)
+                new[:, 1:] = at[:, 1:] != at[:, :-1]
+                rank = np.arange(size) - np.maximum.accumulate(np.where(new, np.arange(size), 0), axis=1)
+                likely = (rank < owned[whose[q][:, None], at]).sum(axis=1) >= least[q]
                 for i, q in zip(i[likely].tolist(), q[likely].tolist(), strict=True):
                     x, y = int(a[w[i]]), int(b[w[i]])
                     share, answer, leak = is_leak(hashes[q], h[x:y].tolist())
@@ -476,7 +482,7 @@ def _block(docs: DataFrame, texts: DataFrame, block: list[tuple[int, np.ndarray]
 
 
 def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple:
-    """(vocabulary, basis, classes of windows, all cells, which passage has which) of at most SHARED passages; each has its own vector and, if it has companions, its latent one."""
+    """(vocabulary, basis, classes of windows, all cells, how often each passage has which) of at most SHARED passages; each has its own vector and, if it has companions, its latent one."""
     vocabulary = np.unique(np.concatenate([_cells(p) for _, p in block] + [w for w, _ in companions]))
     vocabulary = vocabulary[idf[vocabulary] > 0]
     plain = _rows([p for _, p in block], vocabulary, idf)
@@ -492,9 +498,9 @@ def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarra
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     # Words without weight count in common subsequences; the last column is that of other words.
     every = np.unique(np.concatenate([_cells(p) for _, p in block]))
-    owned = np.zeros((len(block), len(every) + 1), bool)
+    owned = np.zeros((len(block), len(every) + 1), np.int16)
     for r, (_, p) in zip(owned, block, strict=True):
-        r[np.searchsorted(every, _cells(p))] = True
+        np.add.at(r, np.searchsorted(every, _cells(p)), 1)
     classes = []
     fits = np.array([_fits(len(block[i][1])) for i in whose])
     for w in WINDOWS:

@@ -2,8 +2,8 @@
 
 Documents and benchmark items are compared as passages of words. TF-IDF weights come from all
 passages of the corpus, copies of a text counted once; a randomised SVD of the same passages, computed as sums over their
-partitions, gives the latent space. Both tell words by cells of a table of hashes: words of one cell count as one, which can add candidates and lose none. Every window of every document is then projected and its cosine with
-every benchmark passage of its length class taken, in blocks of matrices. Candidates are
+partitions, gives the latent space. Both tell words by cells of a table of hashes: words of one cell count as one, which can add candidates and lose none. Every window of every document is then held against the
+vectors of every benchmark passage of its length class: a bound on the cosine first, then the cosine. Candidates are
 settled by their longest common subsequence with the passage and, for paraphrases, by
 whether the passage's answer (its last words) is there as well.
 
@@ -42,12 +42,14 @@ LATENT, LATENT_WORDS, COMPANIONS = 64, 8192, 32
 LEAST_WEIGHT = 0.25
 #: Weight of a companion that goes with the passage as well as its own words do, by the greatest of these: companions are fewer than words exchanged.
 COMPANION_WEIGHT = 1.3
-#: Passages whose vectors share one basis: twice as many directions.
-SHARED = 128
+#: Passages that are looked for together, in one table of words.
+SHARED = 256
 #: Benchmark passages handled in one pass over the corpus: bounds what is broadcast.
 BLOCK = 1024
-#: Passages that are multiplied with a basis at a time.
-DENSE = 48
+#: Bytes of texts that are cut into words together: arrays of a value for each byte then stay in the processor's cache.
+WORDS_BYTES = 1 << 18
+#: Passages that are multiplied with a basis together, and rows that are gathered for that at a time.
+PRODUCT, GATHERED = 4096, 2048
 #: Rows of a matrix that is summed over tasks go to so many groups.
 SLICES = 64
 COSINE = 0.5
@@ -57,20 +59,26 @@ SURE, LIKELY, ANSWER_WORDS = 0.8, 0.6, 5
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of lower-cased texts, and row bounds."""
     data, offs = buffers(texts)
-    data = LOWER[data]
-    starts, ends, bounds = spans(data, offs, ALNUM)
-    return run_hashes(data, starts, ends), bounds
+    hashes, bounds, row = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    while row < len(offs) - 1:
+        end = max(row + 1, int(np.searchsorted(offs, offs[row] + WORDS_BYTES, side="right")) - 1)
+        some = np.take(LOWER, data[offs[row] : offs[end]])
+        starts, ends, before = spans(some, offs[row : end + 1] - offs[row], ALNUM)
+        hashes.append(run_hashes(some, starts, ends))
+        bounds.append(bounds[-1][-1] + before[1:])
+        row = end
+    return np.concatenate(hashes), np.concatenate(bounds)
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return (h & U64(CELLS - 1)).astype(np.int64)
+    return (h & U64(CELLS - 1)).astype(np.int32)
 
 
 def _by_passage(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The values of words as a sorted row of PASSAGE for each passage; passages are short of words by the -1 that come first."""
     count = -(-np.diff(bounds) // PASSAGE)
     place = np.arange(len(values)) + np.repeat((np.cumsum(count) - count) * PASSAGE - bounds[:-1], np.diff(bounds))
-    out = np.full(int(count.sum()) * PASSAGE, -1, np.int32)
+    out = np.full(int(count.sum()) * PASSAGE, -1, values.dtype)
     out[place] = values
     out = out.reshape(-1, PASSAGE)
     out.sort(axis=1)
@@ -156,32 +164,56 @@ def _places(vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(matrix: np.ndarray, index: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each segment of the entries (index, value), given by its start, the sum of value * matrix[index]: the product of a sparse matrix with a
+    dense one. Segments of the same length are multiplied together."""
+    count = np.diff(starts, append=len(index))
+    out = np.empty((len(count), matrix.shape[1]), np.float32)
+    order = np.argsort(count, kind="stable")
+    cuts = [*np.flatnonzero(np.diff(count[order], prepend=-1)).tolist(), len(order)]
+    for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+        n = int(count[order[first]])
+        for k in range(first, end, max(1, GATHERED // n)):
+            some = order[k : min(end, k + max(1, GATHERED // n))]
+            at = starts[some][:, None] + np.arange(n)
+            out[some] = np.matmul(values[at][:, None, :], matrix[index[at]])[:, 0]
+    return out
+
+
+def _add_product(rows: np.ndarray, weights: np.ndarray, basis: np.ndarray, total: np.ndarray) -> None:
+    """Adds the product of the covariance of passages, sorted rows of places of words, with the basis."""
+    at = np.flatnonzero(rows.ravel() >= 0)
+    first = np.flatnonzero(_firsts(rows).ravel()[at])
+    if not len(first):
+        return
+    word, of = rows.ravel()[at[first]], at[first] // PASSAGE
+    values = weights[word] * np.diff(first, append=len(at)).astype(np.float32)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    nth = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(of)))
+    values /= np.maximum(np.sqrt(np.add.reduceat(values * values, starts)), 1e-9)[nth]
+    made = _sums(basis, word, values, starts)
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    total[word[starts]] += _sums(made, nth[order], values[order], starts)
+
+
 def _moments(shared):
     """Of a task's passages: the sum of a (a . basis), their part of the product of the covariance with the basis, in slices of rows."""
 
     def run(batches):
         vocabulary, weights, basis = shared.value
         place = _places(vocabulary)
-        total, here, nth = np.zeros(basis.shape, np.float64), np.zeros(len(vocabulary), bool), np.zeros(len(vocabulary), np.int64)
+        total, held, n = np.zeros(basis.shape, np.float64), [], 0
         for piece in pieces(batches):
             h, bounds = words_of(piece.column("text"))
-            rows = _by_passage(place[_cells(h)], bounds)
-            # A block of passages has few different words: dense products over these.
-            for k in range(0, len(rows), DENSE):
-                some = rows[k : k + DENSE]
-                at = np.flatnonzero(some.ravel() >= 0)
-                first = np.flatnonzero(_firsts(some).ravel()[at])
-                if not len(first):
-                    continue
-                word, of = some.ravel()[at[first]], at[first] // PASSAGE
-                here[word] = True
-                used = np.flatnonzero(here)
-                here[used] = False
-                nth[used] = np.arange(len(used))
-                x = np.zeros((len(some), len(used)), np.float32)
-                x[of, nth[word]] = weights[word] * np.diff(first, append=len(at))
-                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
-                total[used] += x.T @ (x @ basis[used])
+            held.append(_by_passage(place[_cells(h)], bounds))
+            n += len(held[-1])
+            if n >= PRODUCT:
+                _add_product(np.concatenate(held), weights, basis, total)
+                held, n = [], 0
+        if held:
+            _add_product(np.concatenate(held), weights, basis, total)
         if total.any():
             parts = np.array_split(total.astype("<f4"), SLICES)
             yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
@@ -298,6 +330,16 @@ def _windows(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.
     return a, np.minimum(a + size, bounds[1:][row]), row
 
 
+def _held(at: np.ndarray, owned: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of the places in each row of `at` are within the number of times that its row `of` of `owned` has that place."""
+    at = np.sort(at, axis=1)
+    nth = np.arange(at.shape[1])
+    new = np.ones(at.shape, bool)
+    new[:, 1:] = at[:, 1:] != at[:, :-1]
+    nth = nth - np.maximum.accumulate(np.where(new, nth, 0), axis=1)
+    return (nth < owned[of[:, None], at]).sum(axis=1)
+
+
 def _by_count(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, some: np.ndarray, light: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, None, float, bool]]:
     """(row, item, first word, end, no cosine, share, answer) of the leaks of the passages of `light`, whatever their words weigh; `some` marks
     the cells of these words."""
@@ -306,84 +348,88 @@ def _by_count(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, some: np.nda
     place = np.minimum(np.searchsorted(vocabulary, h[known]), len(vocabulary) - 1)
     here = vocabulary[place] == h[known]
     known, place = known[here], place[here]
+    every = np.full(len(h), len(vocabulary), np.int32)
+    every[known] = place
     nth = np.zeros(len(h) + 1, np.int64)
     nth[known + 1] = 1
     nth = np.cumsum(nth)
     for size in sorted({_fits(len(p)) for _, p in light}):
         a, b, row = _windows(bounds, size)
+        low, high = nth[a], nth[b]
         for item, p in light:
             if _fits(len(p)) != size:
                 continue
+            owned = np.bincount(np.searchsorted(vocabulary, p), minlength=len(vocabulary) + 1)
             # A common subsequence has at most as many words as the window has words of the passage.
-            held = np.concatenate([[0], np.cumsum(np.isin(vocabulary, p)[place], dtype=np.int64)])
-            words = p.tolist()
-            for w in np.flatnonzero(held[nth[b]] - held[nth[a]] >= LIKELY * len(p)):
-                share, answer, leak = is_leak(words, h[a[w] : b[w]].tolist())
-                if leak:
-                    yield int(row[w]), item, int(a[w]), int(b[w]), None, share, answer
+            held = np.zeros(len(place) + 1, np.int32)
+            np.cumsum((owned > 0)[place], out=held[1:])
+            words, least = p.tolist(), LIKELY * len(p)
+            near = np.flatnonzero(held[high] - held[low] >= least)
+            for k in range(0, len(near), 4096):
+                w = near[k : k + 4096]
+                at = a[w, None] + np.arange(size)
+                at = np.where(at < b[w, None], every[np.minimum(at, len(every) - 1)], len(vocabulary))
+                # Nor has it a word more often than the passage.
+                for w in w[_held(at, owned[None], np.zeros(len(w), np.int64)) >= least].tolist():
+                    share, answer, leak = is_leak(words, h[a[w] : b[w]].tolist())
+                    if leak:
+                        yield int(row[w]), item, int(a[w]), int(b[w]), None, share, answer
 
 
-def _times(words: np.ndarray, at: np.ndarray):
-    """A function of a size: how often each word stands within so many places of each of its own places, either way, itself included."""
+def _times(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """How often each word stands within `size` places of each of its own places, either way, itself included."""
     order = np.argsort(words, kind="stable")
     key = words[order].astype(np.int64) * (1 << 40) + at[order]
     out = np.empty(len(at), np.int64)
-
-    def within(size: int) -> np.ndarray:
-        out[order] = np.searchsorted(key, key + size - 1, "right") - np.searchsorted(key, key - size + 1)
-        return out
-
-    return within
+    out[order] = np.searchsorted(key, key + size - 1, "right") - np.searchsorted(key, key - size + 1)
+    return out
 
 
-def _by_cosine(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, weight: np.ndarray, all_: np.ndarray, group: tuple) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
-    """(row, item, first word, end, cosine, share, answer) of the leaks of the passages of a latent space. `weight`: squared weights of
-    the words, `all_`: their sums before each word."""
-    table, places, classes, every, owned = group
-    n = np.diff(bounds)
+def _by_cosine(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, weight: np.ndarray, group: tuple) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
+    """(row, item, first word, end, cosine, share, answer) of the leaks of the passages of a latent space. `weight`: squared weights of the words."""
+    places, classes, every, owned = group
     place = places[cells]
     known = np.flatnonzero(place >= 0)
-    nth = np.zeros(len(h) + 1, np.int64)  # known words before each word
-    nth[known + 1] = 1
-    nth = np.cumsum(nth)
-    spans_, times = [], _times(place[known], known)
-    for size, _, _, _, own, *_ in classes:
+    place = place[known]
+    bound = weight[known] * _times(place, known, max(c[0] for c in classes))
+    less = weight * np.float64(-COSINE * COSINE)
+    for size, table, owners, hashes, own, whose, least in classes:
         a, b, row = _windows(bounds, size)
-        mine = np.concatenate([[0], np.cumsum(np.where(own[place[known]], weight[known] * times(size), 0), dtype=np.float64)])
-        whole = np.maximum(all_[b] - all_[a], 1e-9)
         # The cosine is at most the share of the window's weight on words of the class's passages. A word that
         # stands in it c times adds c * c times its weight, and for each place _times() is at least c.
-        near = np.flatnonzero(mine[nth[b]] - mine[nth[a]] >= (COSINE * COSINE) * whole)
-        spans_.append((a[near], b[near], row[near], whole[near]))
-    # Only words in such windows are projected.
-    inside = np.zeros(len(h) + 1, np.int32)
-    for a, b, *_ in spans_:
-        np.add.at(inside, a, 1)
-        np.add.at(inside, b, -1)
-    used = known[np.cumsum(inside)[known] > 0]
-    every = every[cells]
-    nth = np.zeros(len(h) + 1, np.int64)
-    nth[used + 1] = 1
-    nth = np.cumsum(nth)
-    latent = np.zeros((len(used) + 1, table.shape[1]), np.float32)
-    np.cumsum(table[place[used]], axis=0, out=latent[1:])
-    for (a, b, row, whole), (size, vectors, owners, hashes, _, whose, least) in zip(spans_, classes, strict=True):
-        for k in range(0, len(a), 4096):
-            w = np.arange(k, min(k + 4096, len(a)))
-            cos = (latent[nth[b[w]]] - latent[nth[a[w]]]) @ vectors.T / np.sqrt(whole[w])[:, None].astype(np.float32)
+        nth = own[place]
+        mine = np.flatnonzero(nth >= 0)
+        at, nth = known[mine], nth[mine]
+        more = less.copy()
+        more[at] += bound[mine]
+        sums = np.zeros(len(h) + 1)
+        np.cumsum(more, out=sums[1:])
+        near = np.flatnonzero(sums[b] - sums[a] >= -1e-6)
+        # Only words in such windows, of the class's passages, are projected.
+        low, high = np.searchsorted(at, a[near]), np.searchsorted(at, b[near])
+        some = high > low
+        near, low, high = near[some], low[some], high[some]
+        inside = np.zeros(len(at) + 1, np.int32)
+        np.add.at(inside, low, 1)
+        np.add.at(inside, high, -1)
+        used = np.flatnonzero(np.cumsum(inside) > 0)
+        low, high = np.searchsorted(used, low), np.searchsorted(used, high)
+        latent = np.zeros((len(used) + 1, table.shape[1]), np.float32)
+        np.cumsum(table[nth[used]], axis=0, out=latent[1:])
+        for k in range(0, len(near), 4096):
+            w = near[k : k + 4096]
+            inner = np.arange(size)
+            word = a[w, None] + inner
+            within = word < b[w, None]
+            word = np.minimum(word, len(h) - 1)
+            whole = np.maximum(np.where(within, weight[word], 0).sum(axis=1), 1e-9)
+            cos = (latent[high[k : k + 4096]] - latent[low[k : k + 4096]]) / np.sqrt(whole)[:, None]
             found, of = np.nonzero(cos >= COSINE)
             for j in range(0, len(found), 4096):
                 i, q = found[j : j + 4096], of[j : j + 4096]
-                # A common subsequence has at most as many words as the window has words, or others of their cells, of the passage.
-                at = a[w[i], None] + np.arange(size)
-                at = np.where(at < b[w[i], None], every[np.minimum(at, len(every) - 1)], -1)
-                likely = np.flatnonzero((owned[whose[q][:, None], at] > 0).sum(axis=1) >= least[q])
-                # Nor has it a word more often than the passage.
-                i, q, at = i[likely], q[likely], np.sort(at[likely], axis=1)
-                new = np.ones(at.shape, bool)
-                new[:, 1:] = at[:, 1:] != at[:, :-1]
-                rank = np.arange(size) - np.maximum.accumulate(np.where(new, np.arange(size), 0), axis=1)
-                likely = (rank < owned[whose[q][:, None], at]).sum(axis=1) >= least[q]
+                # A common subsequence has at most as many words as the window has words, or others of their cells, of the passage, and none more often than the passage.
+                places_ = np.where(within[i], every[cells[word[i]]], -1) % owned.shape[1]
+                likely = _held(places_, owned, whose[q]) >= least[q]
                 for i, q in zip(i[likely].tolist(), q[likely].tolist(), strict=True):
                     x, y = int(a[w[i]]), int(b[w[i]])
                     share, answer, leak = is_leak(hashes[q], h[x:y].tolist())
@@ -394,7 +440,7 @@ def _by_cosine(h: np.ndarray, cells: np.ndarray, bounds: np.ndarray, weight: np.
 def _search(shared):
     def run(batches):
         idf, groups, light = shared.value
-        groups = [(idf[vocabulary][:, None] * space, _places(vocabulary), classes, _places(every), owned) for vocabulary, space, classes, every, owned in groups]
+        groups = [(_places(vocabulary), classes, _places(every), owned) for vocabulary, classes, every, owned in groups]
         some = np.zeros(CELLS, bool)
         for _, p in light:
             some[_cells(p)] = True
@@ -408,8 +454,7 @@ def _search(shared):
             ids, rows = piece.column("doc_id").to_pylist(), piece.column("row").to_pylist()
             cells = _cells(h)
             weight = idf[cells] ** 2
-            all_ = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
-            leaks = [_by_cosine(h, cells, bounds, weight, all_, g) for g in groups]
+            leaks = [_by_cosine(h, cells, bounds, weight, g) for g in groups]
             if light:
                 leaks.append(_by_count(h, cells, bounds, some, light))
             for r, item, x, y, cosine, share, answer in (leak for some in leaks for leak in some):
@@ -482,7 +527,8 @@ def _block(docs: DataFrame, texts: DataFrame, block: list[tuple[int, np.ndarray]
 
 
 def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple:
-    """(vocabulary, basis, classes of windows, all cells, how often each passage has which) of at most SHARED passages; each has its own vector and, if it has companions, its latent one."""
+    """(vocabulary, classes of windows, all cells, how often each passage has which) of at most SHARED passages; each has its own vector and, if it has companions, its latent one.
+    A class has the weighted vectors over the words that any of them has."""
     vocabulary = np.unique(np.concatenate([_cells(p) for _, p in block] + [w for w, _ in companions]))
     vocabulary = vocabulary[idf[vocabulary] > 0]
     plain = _rows([p for _, p in block], vocabulary, idf)
@@ -491,11 +537,8 @@ def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarra
     for row, i in zip(latent, of, strict=True):
         words, weights = companions[i]
         row[np.searchsorted(vocabulary, words)] += weights
-    queries = np.concatenate([plain, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)])
+    vectors = np.concatenate([plain, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)])
     whose = np.array([*range(len(block)), *of], np.int64)
-    space = np.linalg.qr(queries.T.astype(np.float64))[0].astype(np.float32)
-    vectors = queries @ space
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     # Words without weight count in common subsequences; the last column is that of other words.
     every = np.unique(np.concatenate([_cells(p) for _, p in block]))
     owned = np.zeros((len(block), len(every) + 1), np.int16)
@@ -506,6 +549,9 @@ def _group(block: list[tuple[int, np.ndarray]], companions: list[tuple[np.ndarra
     for w in WINDOWS:
         here = np.flatnonzero(fits == w)
         if len(here):
-            own = np.isin(vocabulary, np.concatenate([x for i in whose[here] for x in (_cells(block[i][1]), companions[i][0])]))
-            classes.append((w, np.ascontiguousarray(vectors[here]), [block[i][0] for i in whose[here]], [block[i][1].tolist() for i in whose[here]], own, whose[here], LIKELY * np.array([len(block[i][1]) for i in whose[here]])))
-    return vocabulary, space, classes, every, owned
+            some = np.flatnonzero((vectors[here] != 0).any(axis=0))
+            own = np.full(len(vocabulary), -1, np.int32)
+            own[some] = np.arange(len(some))
+            table = np.ascontiguousarray((vectors[np.ix_(here, some)] * idf[vocabulary[some]]).T)
+            classes.append((w, table, [block[i][0] for i in whose[here]], [block[i][1].tolist() for i in whose[here]], own, whose[here], LIKELY * np.array([len(block[i][1]) for i in whose[here]])))
+    return vocabulary, classes, every, owned

@@ -439,6 +439,59 @@ def test_the_latent_space_is_that_of_all_passages(spark, make_prose, monkeypatch
     assert np.allclose(space.T @ (x.T @ (x @ space)), np.diag(strength), atol=1e-3 * strength[0])
 
 
+def test_a_word_that_fills_a_window_is_no_candidate(monkeypatch):
+    """Windows that hold one word of a passage many times are told apart by counts, none is compared; the passage itself is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strikeflow.llm import decontaminate as D
+
+    passage = "a b c d e f g h i j"
+    h, bounds = D.words_of(pa.array(["a " * 3000 + passage + " b" * 3000]))
+    p = D.words_of(pa.array([passage]))[0]
+    some = np.zeros(D.CELLS, bool)
+    some[D._cells(p)] = True
+    compared = []
+    plain = D.is_leak
+    monkeypatch.setattr(D, "is_leak", lambda words, window: compared.append(window) or plain(words, window))
+    got = list(D._by_count(h, D._cells(h), bounds, some, [(7, p)]))
+    assert {g[1] for g in got} == {7} and max(g[5] for g in got) == 1.0
+    assert len(compared) < 20
+
+
+def test_words_are_those_of_each_text(make_prose, monkeypatch):
+    """However many bytes are cut into words together; texts that end and begin with a letter are not joined."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strikeflow.llm import decontaminate as D
+
+    rng = random.Random(8)
+    texts = ["", None, "a", "B", "é", " c ", None, "x" * 700] + [make_prose(rng, rng.randint(0, 90)).upper() for _ in range(60)] + ["a", ""]
+    want = [D.words_of(pa.array([t], pa.string()))[0] for t in texts]
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(D, "WORDS_BYTES", size)
+        h, bounds = D.words_of(pa.array(texts))
+        assert np.array_equal(h, np.concatenate(want)) and np.diff(bounds).tolist() == list(map(len, want))
+
+
+def test_sums_of_segments_against_dense_products():
+    import numpy as np
+
+    from strikeflow.llm import decontaminate as D
+
+    rng = np.random.default_rng(4)
+    matrix = rng.standard_normal((50, 7)).astype(np.float32)
+    count = np.concatenate([rng.integers(1, 9, 40), [1, 3 * D.GATHERED]])
+    starts = np.cumsum(count) - count
+    index, values = rng.integers(0, 50, count.sum()), rng.random(count.sum()).astype(np.float32)
+    dense = np.zeros((len(count), 50))
+    np.add.at(dense, (np.repeat(np.arange(len(count)), count), index), values)
+    assert np.allclose(D._sums(matrix, index, values, starts), dense @ matrix, atol=1e-2, rtol=1e-3)
+    empty = np.zeros(0, np.float64)
+    D._add_product(np.full((3, D.PASSAGE), -1), empty, matrix, empty)
+
+
 def test_run_hashes_against_plain_sums():
     import numpy as np
 

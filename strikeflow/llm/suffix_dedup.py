@@ -88,8 +88,22 @@ def anchored(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     return row[first], first, ends, gram[p], mix(whole + mix((p - first).astype(U64)) + (ends - first).astype(U64) * BASE)
 
 
+def _alike(row: np.ndarray, anchor: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments in the order of their places: the first of each kind in each text, the others by the first of their kind, and where among these those of each first one begin."""
+    order = np.argsort(mix(mark + mix(anchor + row.astype(U64) * BASE)), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (row, anchor, mark)], axis=0)
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[new][np.cumsum(new) - 1]
+    own = lead == np.arange(len(lead))
+    first, more = np.flatnonzero(own), np.flatnonzero(~own)
+    more = more[np.argsort(lead[more], kind="stable")]
+    return first, more, np.searchsorted(lead[more], np.append(first, len(lead)))
+
+
 def _segments(size: int):
-    """(row, doc_id, s0, s1, anchor, print) of all segments, block by block in long texts. Places count from `base` on."""
+    """(row, doc_id, s0, s1, anchor, print, more) of all segments, block by block in long texts. Places count from `base` on. Of segments of
+    one kind in a block of a text the first is a row, in which `more` has the places of the others."""
 
     def run(batches):
         for piece in pieces(batches, limit=BLOCK):
@@ -99,9 +113,13 @@ def _segments(size: int):
                 o = offs if piece.num_rows > 1 else np.array([0, len(cut)])
                 row, s0, s1, anchor, mark = anchored(cut, o, size)
                 base = at - o[row] + piece.column("base").to_numpy(zero_copy_only=False)[row]
+                s0, s1 = s0 + base, s1 + base
+                first, more, cuts = _alike(row, anchor, mark)
+                more = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(s0[more]))
+                row, s0, s1, anchor, mark = (x[first] for x in (row, s0, s1, anchor, mark))
                 yield pa.record_batch(
-                    [piece.column("row").take(pa.array(row)), piece.column("doc_id").take(pa.array(row)), pa.array(s0 + base), pa.array(s1 + base), pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64))],
-                    names=["row", "doc_id", "s0", "s1", "anchor", "print"],
+                    [piece.column("row").take(pa.array(row)), piece.column("doc_id").take(pa.array(row)), pa.array(s0), pa.array(s1), pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), more],
+                    names=["row", "doc_id", "s0", "s1", "anchor", "print", "more"],
                 )
                 if piece.num_rows > 1:
                     break
@@ -274,11 +292,11 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     spark = docs.sparkSession
     if not keep_first:  # then the order of documents does not matter
         docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
-    segments = stored(docs.mapInArrow(_segments(size), "row long, doc_id long, s0 long, s1 long, anchor long, print long"), "segments")
+    segments = stored(docs.mapInArrow(_segments(size), "row long, doc_id long, s0 long, s1 long, anchor long, print long, more array<long>"), "segments")
     # The first copy only matters where it stays; otherwise any stands for its kind, which needs no sorting. A segment is shorter than `size`.
     span = F.col("s0") * size + F.col("s1") - F.col("s0")
     one = [F.min(F.struct("doc_id", "row", "s0", "s1")).alias("one")] if keep_first else [F.first("row").alias("row"), F.first(span).alias("span")]
-    kinds = segments.groupBy("anchor", "print").agg(F.count("*").alias("n"), *one)
+    kinds = segments.groupBy("anchor", "print").agg(F.sum(F.size("more") + 1).alias("n"), *one)
     if not keep_first:
         s0 = F.expr(f"span div {size}")
         kinds = kinds.select("anchor", "print", "n", F.struct("row", s0.alias("s0"), (s0 + F.col("span") % size).alias("s1")).alias("one"))
@@ -286,11 +304,14 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     kinds = stored(kinds.join(anchors.where("total > 1"), "anchor"), "kinds")
     release(spark)
 
-    # A segment that occurs again is repeated as a whole.
+    # A segment that occurs again is repeated as a whole. A text has one row for all places of a kind.
     again = segments.join(kinds.where("n > 1").select("anchor", "print", "one"), ["anchor", "print"])
+    places = F.concat(F.array("s0"), "more")
     if keep_first:
-        again = again.where((F.col("row") != F.col("one.row")) | (F.col("s0") != F.col("one.s0")))
-    whole = stored(again.select("row", F.col("s0").alias("first"), F.col("s1").alias("last")), "repeats")
+        other = (F.col("row") != F.col("one.row")) | (F.col("s0") != F.col("one.s0"))
+        again, places = again.where(other | (F.size("more") > 0)), F.when(other, places).otherwise(F.col("more"))
+    span = F.col("s1") - F.col("s0")
+    whole = stored(again.select("row", F.transform(places, lambda at: F.struct(at.alias("first"), (at + span).alias("last"))).alias("found")), "repeats")
     release(spark, segments)
 
     # One of each kind where an anchor has several.
@@ -320,8 +341,8 @@ def repeated_windows(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     hot = marks.join(seen, "print")
     if keep_first:
         hot = hot.where((F.col("row") != F.col("one.row")) | (F.col("first") != F.col("one.first")))
-    runs = whole.unionAll(cool).unionAll(equal).unionAll(hot.select("row", "first", F.col("first").alias("last")))
-    out = stored(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found")), "found")
+    runs = cool.unionAll(equal).unionAll(hot.select("row", "first", F.col("first").alias("last"))).select("row", F.array(F.struct("first", "last")).alias("found"))
+    out = stored(whole.unionAll(runs).groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found")), "found")
     release(spark, whole, parts, classes, alike, marks)
     return out
 

@@ -78,6 +78,26 @@ def test_shorter_repeats_are_counted(spark, make_prose, keep_first):
     assert any(r["n_repeated"] > r["n_removed"] > 0 for r in got)
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_a_line_that_fills_texts(spark, make_prose, monkeypatch, keep_first):
+    """All places of a repeated line in a text are one row of the join with the kinds that occur again, and all of them are cut."""
+    rng = random.Random(10)
+    line = make_prose(rng, 60)[:300] + "."
+    rows = [(i, " ".join([line] * 20 + [make_prose(rng, 30)])) for i in range(12)] + [(20, make_prose(rng, 80)), (21, line), (22, None)]
+    stored, made = S.stored, {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert run(df, 200, keep_first) == brute(rows, 200, keep_first)
+    # A row for each kind of segment and text, not for each of 20 places.
+    assert made["repeats"] < 13 * 20
+
+
 def test_suffix_order():
     import numpy as np
 

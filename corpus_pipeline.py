@@ -50,6 +50,7 @@ def _stage(f: Stage) -> Stage:
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _clear(spark, docs)
+        release(spark)
         with folders_made() as made:
             out = f(spark, docs, sf_dir)
         _left.extend(made)

@@ -113,3 +113,30 @@ def test_rows_of_files_have_lasting_numbers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", small)
     assert len(set(rows.values())) == len(rows) == 334
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    import re
+    from pathlib import Path
+
+    from strikeflow.llm.textcore import release
+
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", status.read_text())[1]) >> 10
+    data = bytes(range(256)) * 4
+    release(spark)
+    release(spark)
+    before = held()
+    # Memory outside of the heap; what is freed below the last piece stays with the process.
+    made = []
+    for _ in range(2000):
+        made.append(jvm.java.util.zip.Deflater())
+        made[-1].setInput(data)
+        made[-1].deflate(bytearray(16))
+    grown = held() - before
+    for x in made[:-1]:
+        x.end()
+    freed = held() - before
+    release(spark)
+    assert grown > 100 and freed > grown // 2 and held() - before < grown // 2, (grown, freed, held() - before)

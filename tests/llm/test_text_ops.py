@@ -93,6 +93,22 @@ def test_language(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in identify_language(df.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
 
 
+def test_net_holds_its_passages_once(spark):
+    import tracemalloc
+
+    from strikeflow.llm.quality import PASSAGE_WORDS, WIDTH
+
+    docs = spark.range(1600).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {10 * PASSAGE_WORDS}), i -> concat('w', (i * 7 + id) % 90)), ' ')").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    tracemalloc.start()
+    try:
+        assert fit_quality(docs, labels, F.lit(True)) is not None
+        # Half of it as it came, and once as it is trained on.
+        assert tracemalloc.get_traced_memory()[1] < 2.2 * (4 * WIDTH * 16000)
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality(spark, make_prose, odd_docs, no_docs):
     rng = random.Random(9)
     bad = lambda: " ".join(f"{w.upper()}!!" for w in make_prose(rng, rng.randint(30, 300)).split())
